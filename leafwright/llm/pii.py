@@ -1,0 +1,242 @@
+"""Personal data by weak supervision.
+
+Strict patterns find e-mail addresses, IP addresses, payment cards and phone
+numbers (``base_spans``); these always stand.  Looser patterns propose further
+spans: local phone numbers, national ids, bank accounts, secrets, written-out
+addresses and names (``_LOOSE``).  Labelers vote on each proposal (+1 personal, -1
+not, 0 abstain): its shape, a gazetteer, the words before it, and how it is
+bounded.  Expectation-maximisation over the counts of all vote patterns in the
+corpus estimates how reliable each labeler is; its posteriors weigh the
+training of a logistic span classifier on the votes and the kind, which alone
+decides.
+
+A null text is an empty one and has no spans.  Spans are in code points, end
+exclusive.  Rows are judged one by one; what is collected is one count per
+kind and vote pattern, of which there are few.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafwright.llm import store
+
+BASE = ("email", "ip", "card", "phone")
+# The tail of an address; the part before is read backwards from the sign, in linear time.
+_AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile("[0-9]")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end), by kind as listed in ``BASE``, then start."""
+    out, done = [], 0
+    if "@" in text:
+        for m in _AT.finditer(text):
+            start = m.start()
+            while start > done and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < m.start():
+                out.append(("email", start, m.end()))
+                done = m.end()
+    if not _DIGIT.search(text):
+        return out
+    for m in _IP.finditer(text):
+        parts = [p.lstrip("0") for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
+            out.append(("ip", m.start(), m.end()))
+    for m in _CARD.finditer(text):
+        digits = m.group().replace(" ", "").replace("-", "")
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            out.append(("card", m.start(), m.end()))
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 9 <= len(_DIGIT.findall(m.group())) <= 15:
+                out.append(("phone", m.start(), m.end()))
+    return out
+
+
+_LOOSE = {
+    "local_phone": re.compile(r"(?:\([0-9]{3}\)\x20?|\b[0-9]{3}[-.\x20])[0-9]{3}[-.][0-9]{4}\b"),
+    "national_id": re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+    "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b"),
+    "secret": re.compile(r"\b(?:password|passwd|pwd|secret|token|api_key|apikey|access_key)\x20?[=:]\x20?\S{6,200}|\bAKIA[A-Z0-9]{16}\b"),
+    "spelled_email": re.compile(r"\b[A-Za-z0-9._-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,10}\b"),
+    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?\b"),
+}
+#: A text without any of these has no proposal.
+_HINT = re.compile(r"[0-9]{4}|[=:\[(]|\b(?:M[rs]|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor)")
+_GIVEN = frozenset("anna carlos claire david elena emma eva hans james jean john jose karl laura linda lucia maria marie martin mary michael paul peter robert sarah thomas william".split())
+_DOMAINS = frozenset("com org net edu gov de fr es eu io info".split())
+_FOR = re.compile(r"\b(?:call|phone|tel|fax|mobile|contact|ssn|social|id|iban|account|bank|mail|email|login|user|password|key|name|dear|by)\b[^.\n]{0,20}$", re.I)
+_AGAINST = re.compile(r"\b(?:isbn|issn|version|order|invoice|serial|part|ref|figure|chapter|example)\b[^.\n]{0,20}$", re.I)
+LABELERS = ("shape", "gazetteer", "context", "bounds")
+KINDS = tuple(_LOOSE)
+
+
+def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
+    """The labelers' votes on a proposed span."""
+    span, lead = text[start:end], text[max(0, start - 40) : start]
+    digits = "".join(_DIGIT.findall(span))
+    if kind == "national_id":
+        shape = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
+    elif kind == "local_phone":
+        shape = 1 if digits[0] not in "01" else -1
+    elif kind == "iban":
+        shape = 1 if _iban(span.replace(" ", "")) else -1
+    elif kind == "secret":
+        value = re.split(r"[=:]", span, maxsplit=1)[-1].strip()
+        shape = 1 if _DIGIT.search(value) and re.search("[A-Za-z]", value) else -1
+    else:
+        shape = 0
+    gazetteer = 0
+    if kind == "name":
+        gazetteer = 1 if _GIVEN & set(span.lower().split()) else 0
+    elif kind == "spelled_email":
+        gazetteer = 1 if re.split(r"[\])\x20]", span)[-1].lower() in _DOMAINS else -1
+    context = -1 if _AGAINST.search(lead) else 1 if _FOR.search(lead) or kind in ("secret", "name") else 0
+    near = text[max(0, start - 1) : start] + text[end : end + 1]
+    return shape, gazetteer, context, -1 if re.search(r"[0-9A-Za-z_/=-]", near) else 1
+
+
+def _iban(s: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """Loose spans outside the base ones, with their votes."""
+    out, taken = [], sorted((s, e) for _, s, e in base)
+    if not _HINT.search(text):
+        return out
+    starts = np.array([s for s, _ in taken])
+    reach = np.maximum.accumulate([e for _, e in taken]) if taken else starts
+    for kind, pattern in _LOOSE.items():
+        for m in pattern.finditer(text):
+            k = int(np.searchsorted(starts, m.end())) if taken else 0
+            if k == 0 or reach[k - 1] <= m.start():
+                out.append((kind, m.start(), m.end(), votes(kind, text, m.start(), m.end())))
+    return out
+
+
+def fit(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 40, prior: float = 1.0) -> dict[tuple[str, tuple[int, ...]], float]:
+    """Probability of being personal for each (kind, votes) seen.
+
+    EM starts from the balance of votes; labelers are independent given the
+    class.  The classifier is logistic in the kind and each labeler's two
+    votes, fitted by gradient steps to the posteriors, each pattern weighing
+    its count.
+    """
+    if not counts:
+        return {}
+    seen = sorted(counts)
+    n = np.array([counts[s] for s in seen], float)
+    v = np.array([s[1] for s in seen]) + 1
+    post = 1 / (1 + np.exp(-2.0 * (v - 1).sum(1)))
+    for _ in range(rounds):
+        held = np.stack([n * (1 - post), n * post])
+        score = np.log(held.sum(1) + prior)[:, None] * np.ones(len(seen))
+        for k in range(v.shape[1]):
+            # before any data, a labeler is right three times in four when it votes
+            seen_k = np.stack([held[:, v[:, k] == x].sum(1) for x in range(3)], 1) + prior * np.array([[3, 2, 1], [1, 2, 3]])
+            score += np.log(seen_k / seen_k.sum(1, keepdims=True))[:, v[:, k]]
+        post = 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
+    x = np.hstack([np.ones((len(seen), 1)), np.array([[s[0] == k for k in KINDS] for s in seen]), v == 0, v == 2]).astype(float)
+    w, total = np.zeros(x.shape[1]), n.sum()
+    for _ in range(2000):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        w -= 0.5 * (x.T @ (n * (p - post)) / total + 1e-4 * w)
+    return dict(zip(seen, (1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))).tolist(), strict=True))
+
+
+_SPAN = "array<struct<kind:string,start:int,end:int,votes:string>>"
+_SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string())]))
+
+
+def candidates(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
+    """``carry`` columns, base spans and proposals of every text."""
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, more = [], []
+            for scalar in batch.column(len(carry)):
+                text = scalar.as_py() or ""
+                found = base_spans(text)
+                base.append([{"kind": k, "start": s, "end": e, "votes": ""} for k, s, e in found])
+                more.append([{"kind": k, "start": s, "end": e, "votes": ",".join(map(str, x))} for k, s, e, x in proposals(text, found)])
+            cols = [*(batch.column(i) for i in range(len(carry))), pa.array(base, _SPAN_ARROW), pa.array(more, _SPAN_ARROW)]
+            yield pa.RecordBatch.from_arrays(cols, [*carry, "base", "more"])
+
+    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, base {_SPAN}, more {_SPAN}")
+
+
+def model(found: DataFrame) -> list[str]:
+    """The ``kind|votes`` that the classifier accepts, from all candidates."""
+    rows = found.select(F.explode("more").alias("s")).groupBy("s.kind", "s.votes").count().collect()
+    counts = Counter({(r[0], tuple(map(int, r[1].split(",")))): r[2] for r in rows})
+    return [f"{kind}|{','.join(map(str, v))}" for (kind, v), p in fit(counts).items() if p >= 0.5]
+
+
+def spans(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
+    """``carry`` columns, ``base`` and ``spans`` (all, by kind, then start)."""
+    found = store.cut(candidates(docs, carry, text_col), "pii")
+    good = F.array(*map(F.lit, model(found))).cast("array<string>")
+    kept = F.filter("more", lambda s: F.array_contains(good, F.concat_ws("|", s["kind"], s["votes"])))
+    return found.select(*carry, "base", F.concat("base", kept).alias("spans"))
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans); the counts
+    and the checksum are of the base spans."""
+    found = spans(docs, [id_col], text_col)
+
+    def shown(col: str) -> F.Column:
+        return F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> F.Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col(id_col), *map(number, BASE), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with every span replaced by its kind in angle brackets; spans
+    that overlap become one.  A text without spans stays as it is."""
+    good = set(model(store.cut(candidates(docs, [], text_col), "pii")))
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else _masked(t, good) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _masked(text: str, good: set[str]) -> str:
+    base = base_spans(text)
+    more = [(k, s, e) for k, s, e, v in proposals(text, base) if f"{k}|{','.join(map(str, v))}" in good]
+    out, done = [], 0
+    for kind, start, end in sorted([*base, *more], key=lambda x: (x[1], -x[2])):
+        if start >= done:
+            out += [text[done:start], f"<{kind}>"]
+        done = max(done, end)
+    return "".join([*out, text[done:]])

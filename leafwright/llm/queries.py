@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwright.llm import bpe, dac, language_id, mixing, quality, token_counts
+from leafwright.llm import bpe, dac, language_id, licenses, mixing, near_dups, pii, quality, token_counts, vectors
 
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -27,14 +27,30 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(documents(spark, sf_dir)).taken()
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_digest(spark, dac.write(documents(spark, sf_dir), WORD_BPE))
 
 
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(documents(spark, sf_dir))
+
+
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_dups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), BYTE_BPE)
 
@@ -47,8 +63,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
+    "op3_licenses": op3_licenses,
     "op4_language_id": op4_language_id,
+    "op5_pii": op5_pii,
     "op6_token_binary": op6_token_binary,
+    "op7_near_dups": op7_near_dups,
+    "op8_vectors": op8_vectors,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }
