@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm import store
@@ -172,7 +172,7 @@ _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 
 def candidates(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
     """``carry`` columns, base spans and proposals of every text."""
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +185,7 @@ def candidates(docs: DataFrame, carry: list[str], text_col: str = "text") -> Dat
             cols = [*(batch.column(i) for i in range(len(carry))), pa.array(base, _SPAN_ARROW), pa.array(more, _SPAN_ARROW)]
             yield pa.RecordBatch.from_arrays(cols, [*carry, "base", "more"])
 
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, base {_SPAN}, more {_SPAN}")
+    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, ", ".join([*kinds, f"base {_SPAN}", f"more {_SPAN}"]))
 
 
 def model(found: DataFrame) -> list[str]:
@@ -208,10 +208,10 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     and the checksum are of the base spans."""
     found = spans(docs, [id_col], text_col)
 
-    def shown(col: str) -> F.Column:
+    def shown(col: str) -> Column:
         return F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    def number(kind: str) -> F.Column:
+    def number(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(F.col(id_col), *map(number, BASE), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))

@@ -1,0 +1,88 @@
+"""Nulls, empty tables, repeated rows, hostile texts and clashing columns."""
+
+import pytest
+
+from leafwright.llm import bpe, dac, graph, language_id, licenses, mixing, near_dups, pii, quality, queries, token_counts, vectors
+from tests.llm import brute
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long, row long, count long, hits string"
+LONG = "one two three four five six seven eight nine ten " * 30
+ROWS = [
+    (1, None, None, None, None, 1, 1, ""), (2, "", "en", "a", 0, 1, 1, ""), (3, " \n\t ", "en", None, 3, 1, 1, ""),
+    (4, LONG, "en", "a", 5, 1, 1, ""), (4, LONG, "en", "a", 5, 1, 1, ""), (5, LONG.upper(), None, "b", 5, 1, 1, ""), (6, LONG + "eleven", "en", "b", 5, 1, 1, ""),
+    (7, "é" * 20000 + " a@b.co +1 (988) 555-2485 " + "1" * 5000, "fr", "b", 1, 1, 1, ""),
+    (8, "Used under the MIT License and the MIT licence. Apache License Version 2 CC-BY-NC", "en", "c", 1, 1, 1, ""),
+    (None, "no id here", "en", "c", 1, 1, 1, ""),
+]
+OPERATORS = {
+    "licenses": licenses.scan, "pii": pii.digest, "near_dups": near_dups.classes, "language": language_id.identify, "quality": quality.judge,
+    "bpe": lambda d: bpe.round_trip(d, queries.BYTE_BPE), "mixing": lambda d: mixing.Mix(d).taken(),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_every_row_has_a_result(spark, name):
+    docs = spark.createDataFrame(ROWS, KIND)
+    out = OPERATORS[name](docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == sorted((r[0] is None, r[0] or 0) for r in ROWS)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, name):
+    assert OPERATORS[name](spark.createDataFrame([], KIND)).collect() == []
+
+
+def test_token_files_of_odd_rows(spark):
+    docs = spark.createDataFrame([r for r in ROWS if r[0] is not None], KIND)
+    assert len(dac.read_digest(spark, dac.write(docs, queries.WORD_BPE)).collect()) == len(ROWS) - 1
+    path = token_counts.write_flat(docs, queries.BYTE_BPE, end_id=50256)
+    assert len(token_counts.scan(spark, path, end_id=50256).collect()) == len(ROWS) - 1
+
+
+def test_license_places(spark):
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(ROWS, KIND)).collect()}
+    r = found[8]
+    assert (r["n_base"], r["base_labels"], r["score"]) == (3, "apache-2,cc-by-nc,mit", 1.0)
+
+
+@pytest.mark.parametrize("text", ["a@b@c.d", "x@y.z@w.v", " @b.c@d.e", "1.2.3.4.5.6", "0000255.1.1.1", "999.1.1.1", "4111 1111 1111 1111", "++1 23 456-789", "+12", "a" * 999 + "@", "+1" + "-" * 999])
+def test_spans_as_the_patterns_find_them(text):
+    assert pii.base_spans(text) == brute.base_spans(text)
+
+
+def test_long_runs_are_linear():
+    for text in ("a" * 300000, "1" * 300000, "a@" * 100000, "+" * 300000, "1." * 100000, "+1" + " " * 300000):
+        pii.base_spans(text)
+
+
+def test_secrets_are_proposed_and_masked(spark):
+    docs = spark.createDataFrame([(1, "see password=b7db7aa4a5fcc78305 and mail a.b@c.org ok")], "doc_id long, text string")
+    assert pii.redact(docs).first()["text"] == "see <secret> and mail <email> ok"
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 5), (7, 7), (1, 160), (None, 3)]
+    found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 1 for i in range(100, 161)} | {9: 5}
+
+
+def test_chains_and_hubs_of_near_copies(spark):
+    words = [f"w{i}" for i in range(200)]
+    docs = [(0, " ".join(words))]
+    for k in range(1, 60):
+        own = list(words)
+        own[3 * k] = f"x{k}"
+        docs.append((k, " ".join(own)))
+    docs += [(100 + k, " ".join(f"u{k}_{j}" for j in range(50))) for k in range(20)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dups.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == brute.text_classes(docs)
+
+
+def test_odd_vectors(spark):
+    v, w = [1.0, 0.5, 0.25, 0.0], [1.0, 0.5, 0.25, 0.01]
+    rows = [(1, v, 1), (2, w, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 4, 1), (7, [1.0, None, 0.0, 0.0], 1), (8, [float("nan")] * 4, 1), (9, v, 1), (10, v[:3], 1), (11, [float("inf"), 0.0, 0.0, 0.0], 1), (12, [1.0], 1), (13, [], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = {r["vec_id"]: r for r in vectors.near_dups(table).collect()}
+    assert {i: r["n_links"] for i, r in found.items() if r["n_links"]} == {1: 2, 2: 2, 9: 2}
+    assert found[9]["component_id"] == found[2]["component_id"] == 1 and [i for i, r in found.items() if not r["kept"]] == [2, 9]
+    assert vectors.near_dups(table.limit(0)).collect() == []
