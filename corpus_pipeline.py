@@ -12,15 +12,13 @@ from pyspark.sql import functions as F
 from leafwright.llm import bpe, language_id, mixing, near_dups, pii, store
 from leafwright.llm.queries import BYTE_BPE
 
-#: The least cosine with the nearest language of a text that is kept.
-LEAST_SCORE = 0.2
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages."""
+    """Documents in one of the learned languages; those without a letter go.
+    Short texts score low in any language, so the score decides nothing."""
     model = language_id.prototypes(docs.where(~language_id.held_out()))
     judged = language_id.predict(docs, model, docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return judged.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
