@@ -27,6 +27,14 @@ DOC_TYPES = (
     (r"(?i)chiropractic|manipulation", "Chiropractic Note"),
 )
 DEFAULT_DOC_TYPE = "Clinical Note"
+# Words near a date of service, and near other dates; patterns
+# of separator and cover pages.
+SERVICE_WORDS = (
+    "date of service", "visit date", "encounter date", "date:", "dos:", "exam date", "procedure date", "session date", "date of visit", "treatment date", "date of injury", "injury date", "admission date",
+)
+OTHER_WORDS = ("date of birth", "dob:", "dob ", "print date", "printed:", "fax date", "date prepared", "date received", "date paid", "statement date")
+SEPARATOR_PAGE = r"(?i)={5,}|separator|records?\s+from"
+COVER_PAGE = r"(?i)medical records?\s+transmittal|records?\s+retrieval|cover\s+(sheet|page)|confidential.*hipaa"
 
 
 def found(text: Column, pattern: str, most: int) -> Column:
@@ -77,3 +85,36 @@ def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays as sets: 1 if both are empty, 0 if one is."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+
+def service_date(text: Column) -> Column:
+    """The date that most looks like one of service, or null.
+
+    In the window from 35 characters before a date's first place to 10 after
+    it, a word of service gives 10, another kind of date takes 20, and a place
+    in the first 500 characters gives 3; the first of the best counts, if its
+    score isn't negative.
+    """
+    low = F.lower(text)
+
+    def scored(d: Column, i: Column) -> Column:
+        at = F.instr(low, d) - 1
+        begin = F.greatest(at - 35, F.lit(0))
+        window = F.substring(low, begin + 1, at + F.length(d) + 10 - begin)
+        any_of = lambda words: reduce(lambda a, b: a | b, (F.contains(window, F.lit(w)) for w in words))
+        score = F.when(any_of(SERVICE_WORDS), 10).otherwise(0) - F.when(any_of(OTHER_WORDS), 20).otherwise(0) + F.when(at < 500, 3).otherwise(0)
+        return F.struct(score.alias("score"), (-i).alias("first"), d.alias("date"))
+
+    best = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(1)), scored))
+    return F.when(best["score"] >= 0, best["date"])
+
+
+def page_kind(text: Column) -> Column:
+    """"Separator" or "Cover Sheet" pages by their text, else null."""
+    return F.when(text.rlike(SEPARATOR_PAGE), "Separator").when(text.rlike(COVER_PAGE), "Cover Sheet")
+
+
+def digits_list(ids: Column) -> Column:
+    """The numbers of a comma-separated list; other entries go."""
+    return F.transform(F.filter(F.transform(F.split(ids, ","), lambda s: F.trim(s)), lambda s: s.rlike(r"^\d+$")), lambda s: s.cast("long"))

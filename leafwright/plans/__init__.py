@@ -1 +1,3 @@
+"""Queries over the driver's tables, one per operator, with their SQL."""
 
+from leafwright.plans import form_queries, queries  # noqa: F401  (both fill the same tables of queries)
