@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.llm.fragments import FragmentCodec, joined
+from leafwright.llm.fragments import shared_codec, joined
 from leafwright.llm.textscan import blocks
 
 
@@ -24,7 +24,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = FragmentCodec(tokenizer)
+        codec = shared_codec(tokenizer)
         for batch in batches:
             for b in blocks(batch.column(1)):
                 ids, starts = codec.encode(b)
@@ -40,7 +40,7 @@ def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFra
     schema = f"{id_col} {tokens.schema[id_col].dataType.simpleString()}, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = FragmentCodec(tokenizer).token_bytes()
+        table = shared_codec(tokenizer).token_bytes()
         for batch in batches:
             lists = batch.column(1)
             lengths = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
@@ -58,7 +58,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = FragmentCodec(tokenizer)
+        codec = shared_codec(tokenizer)
         pieces = codec.token_bytes()
         decimal = pa.array([b"%d," % i for i in range(len(pieces))], pa.large_binary())
         sha = hashlib.sha256

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.llm.fragments import FragmentCodec
+from leafwright.llm.fragments import shared_codec
 from leafwright.llm.store import load, save
 from leafwright.llm.textscan import blocks
 
@@ -119,7 +119,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, cut_at: str = "space
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = FragmentCodec(tokenizer, cut_at)
+        codec = shared_codec(tokenizer, cut_at)
         held: list[tuple] = []
         part, seq, begun = 0, 0, 0
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from leafwright.llm.textscan import IS_SPACE, Block, strings
 
 #: Distinct fragments kept by a worker; beyond, the cache starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -147,6 +147,19 @@ class FragmentCodec:
         return pa.array(table, pa.large_binary())
 
 
+_last: tuple[tuple, FragmentCodec] | None = None
+
+
+def shared_codec(path: str, cut_at: str = "pairs", plain_specials: bool = False) -> FragmentCodec:
+    """The codec of this worker process, whose tasks so share the fragments
+    already encoded; one is kept."""
+    global _last
+    key = (path, cut_at, plain_specials)
+    if _last is None or _last[0] != key:
+        _last = (key, FragmentCodec(*key))
+    return _last[1]
+
+
 def joined(table: pa.Array, ids: np.ndarray, starts: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """The table's entries for ``ids`` end to end, and where each text's begin."""
     taken = pc.take(table, pa.array(ids))

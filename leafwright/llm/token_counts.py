@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafwright.llm.fragments import FragmentCodec
+from leafwright.llm.fragments import shared_codec
 from leafwright.llm.store import load, save
 from leafwright.llm.textscan import blocks
 
@@ -38,7 +38,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BL
     source = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = FragmentCodec(tokenizer, plain_specials=True)
+        codec = shared_codec(tokenizer, plain_specials=True)
         if end_id > 0xFFFF or max(codec.vocab.values()) > 0xFFFF:
             raise ValueError("flat files hold ids of 16 bits")
         rest, part, seq = np.zeros(0, np.uint16), 0, 0
