@@ -12,9 +12,9 @@ a coordinate with the probability of their weighted Jaccard similarity.
 Equal texts are one from the start.  Bands of ``ROWS`` entries are
 sorted, not grouped: each text meets the text before it and the first one of
 its band value, however many share it, and the pairs met are checked by the
-Jaccard similarity of their sets of shingles.  This repeats between the groups
-found so far until no new link is found.  A pair whose band value is shared by
-others of lower similarity to both is met through them only.
+Jaccard similarity of their sets of shingles.  Then all texts of a band value
+that are not yet in one group are compared, block against block (``_rest``),
+so that every pair that shares a band value is in one group or was checked.
 
 A text of one to four words is one shingle.  A null text or one without a word
 is alike to none.  Repeated rows with one id share its class; what is
@@ -38,6 +38,8 @@ from leafwright.llm.textscan import Block, blocks, strings, word_spans
 WORDS, SIMILARITY, SIZE, ROWS = 5, 0.8, 80, 4
 #: Bytes of texts that a worker describes at a time; each needs some hundred times as much.
 SLICE_BYTES = 1 << 18
+#: Texts of a band value that are met pair by pair; of more, blocks of so many are met, by so many shingles at a time.
+FEW, BLOCK, COLUMNS = 8, 256, 4096
 _U = np.uint64
 
 
@@ -184,26 +186,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     described = store.cut(one.mapInArrow(lambda it: _described(it, words, size, rows), kind), "near-texts")
     if _repeats(members):
         described = store.cut(described.dropDuplicates(["text_id"]), "near-one")
-    links, tried, sets = None, None, None
     grouped = described.select("text_id", F.explode("bands").alias("key")).withColumn("grp", F.col("text_id"))
-    while True:
-        pairs = _candidates(grouped)
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        if sets is None:  # every text that shares a band value is met in the first round
-            pairs = store.cut(pairs, "near-pairs")
-            met = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
-            sets = store.cut(described.join(met, "text_id"), "near-sets")
-        checked = store.cut(_checked(pairs, sets, similarity), "near-checked")
-        new = checked.where("linked").select("a", "b")
-        found = new.isEmpty() is False
-        links = new if links is None else links.unionByName(new)
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        if not found:
-            break
-        group = components(links)
-        # a text that met none shares no band value, and groups are joined before bands are dealt out
-        joined = sets.select("text_id", "bands").join(group, F.col("text_id") == group["node"], "left")
-        grouped = joined.select("text_id", F.explode("bands").alias("key"), F.coalesce("component", "text_id").alias("grp"))
+    pairs = store.cut(_candidates(grouped), "near-pairs")
+    # a text that met none shares no band value
+    met = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
+    sets = store.cut(described.join(met, "text_id"), "near-sets")
+    checked = store.cut(_checked(pairs, sets, similarity), "near-checked")
+    links = checked.where("linked").select("a", "b")
+    group = components(links)
+    # groups are joined before bands are dealt out
+    joined = sets.select("text_id", "bands").join(group, F.col("text_id") == group["node"], "left")
+    grouped = joined.select("text_id", F.explode("bands").alias("key"), F.coalesce("component", "text_id").alias("grp"))
+    links = links.unionByName(_rest(grouped, sets, checked, similarity))
     return _membership(members, ids, components(links))
 
 
@@ -221,6 +215,77 @@ def _checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return p.select("a", "b", linked.alias("linked"))
 
 
+def _rest(rows: DataFrame, sets: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between all texts of a band value that are not in one
+    group, from rows (key, text_id, grp); of linked texts of two blocks as many
+    links as join them.  The largest group of a key is not met with itself."""
+    rows = store.cut(rows, "near-grouped")
+    held = rows.groupBy("key", "grp").agg(F.count("*").alias("n")).groupBy("key")
+    held = held.agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    rows = store.cut(rows.join(held.select("key", "n", F.col("top.n").alias("most"), F.col("top.grp").alias("bulk")), "key"), "near-open")
+
+    few = rows.where(F.col("n") <= FEW)
+    x, y = (few.select("key", F.col("text_id").alias(t), F.col("grp").alias(g)) for t, g in (("a", "g"), ("b", "h")))
+    pairs = x.join(y, "key").where("a < b and g <> h").select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    found = store.cut(_checked(store.cut(pairs, "near-pairs"), sets, similarity).where("linked").select("a", "b"), "near-links")
+
+    many = rows.where(F.col("n") > FEW).withColumn("others", F.ceil((F.col("n") - F.col("most")) / BLOCK)).withColumn("blocks", F.col("others") + F.ceil(F.col("most") / BLOCK))
+    salt, bulk = F.xxhash64("text_id"), F.col("grp") == F.col("bulk")
+    many = many.withColumn("own", F.when(bulk, F.col("others") + F.pmod(salt, F.col("blocks") - F.col("others"))).otherwise(F.pmod(salt, F.col("others"))))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(bulk, F.col("others")).otherwise(F.col("blocks")) - 1)))
+    dealt = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "text_id", "grp").join(sets.select("text_id", "shingles"), "text_id")
+    links = dealt.groupBy("key", "i", "j").applyInPandas(lambda key, pdf: _between(key, pdf, similarity), "a long, b long")
+    return found.unionByName(store.cut(links.distinct(), "near-links"))
+
+
+def _between(key: tuple[int, int, int], pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links that join the linked texts of two blocks of one key."""
+    left, right = pdf[pdf["own"] == key[1]], pdf[pdf["own"] == key[2]]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    n, m = (x["shingles"].map(len).to_numpy(np.int64) for x in (left, right))
+    shared = _shared(left["shingles"].to_list(), right["shingles"].to_list())
+    linked = (shared >= similarity * (n[:, None] + m[None] - shared) - 1e-9) & (left["grp"].to_numpy()[:, None] != right["grp"].to_numpy()[None])
+    a, b = left["text_id"].to_numpy(), right["text_id"].to_numpy()
+    out, rows_left, cols_left = [], linked.any(1), np.ones(len(b), bool)
+    while rows_left.any():
+        rows = [int(np.flatnonzero(rows_left)[0])]
+        rows_left[rows[0]] = False
+        while rows:
+            r = rows.pop()
+            for c in np.flatnonzero(linked[r] & cols_left):
+                cols_left[c] = False
+                out.append((a[r], b[c]))
+                more = np.flatnonzero(linked[:, c] & rows_left)
+                rows_left[more] = False
+                out += [(a[x], b[c]) for x in more]
+                rows += more.tolist()
+    ends = np.array(out, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": ends.min(1), "b": ends.max(1)})
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``."""
+    sides = [(np.repeat(np.arange(len(x)), [len(s) for s in x]), np.concatenate(x)) for x in (left, right)]
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    at = []
+    for of, values in sides:
+        column = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        use = both[column] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(column[use], kind="stable")
+        at.append((of[use][order], column[use][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(both), COLUMNS):
+        dense = []
+        for x, (of, column) in zip((left, right), at, strict=True):
+            own = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+            d = np.zeros((len(x), min(COLUMNS, len(both) - low)), np.float32)
+            d[of[own], column[own] - low] = 1
+            dense.append(d)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
 def _membership(members: DataFrame, ids: DataFrame, group: DataFrame) -> DataFrame:
     of = ids.join(group, ids["text_id"] == group["node"], "left").select("digest", F.coalesce("component", "text_id").alias("class_id"))
     out = store.cut(members.join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "near-classes")

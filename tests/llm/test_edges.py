@@ -78,6 +78,19 @@ def test_chains_and_hubs_of_near_copies(spark):
     assert found == brute.text_classes(docs)
 
 
+@pytest.mark.parametrize(("n", "base"), [(60, 30), (300, 150)])
+def test_family_around_its_base(spark, n, base):
+    docs = []
+    for k in range(n):
+        own = [f"w{i}" for i in range(100)]
+        if k != base:
+            own[5 + k % 40], own[55 + k // 40] = f"x{k}", f"y{k}"
+        docs.append((k, " ".join(own)))
+    docs += [(n + k, " ".join(f"u{k}_{j}" for j in range(50))) for k in range(20)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dups.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == brute.text_classes(docs)
+
+
 def test_odd_vectors(spark):
     v, w = [1.0, 0.5, 0.25, 0.0], [1.0, 0.5, 0.25, 0.01]
     rows = [(1, v, 1), (2, w, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 4, 1), (7, [1.0, None, 0.0, 0.0], 1), (8, [float("nan")] * 4, 1), (9, v, 1), (10, v[:3], 1), (11, [float("inf"), 0.0, 0.0, 0.0], 1), (12, [1.0], 1), (13, [], 1)]
