@@ -1,13 +1,13 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
-A text is the weighted set of its five-word shingles; a shingle that stands c
-times weighs 1 + ln c.  Every shingle's weight axis is cut into regions [0, 1),
+A text is the set of its five-word shingles; each weighs 1 however often it
+stands, as in the check of a pair.  Every shingle's weight axis is cut into regions [0, 1),
 [1, 2), [2, 4) and so on; in each, darts fall in order of rank at the region's
 width as rate, seeded by shingle and region alone.  A text keeps the darts
 below its shingles' weights and its rank limit, throws each into one of
 ``SIZE`` coordinates by hash, and the earliest dart of a coordinate is its
 entry; a text with an empty coordinate doubles its limit.  Two texts agree in
-a coordinate with the probability of their weighted Jaccard similarity.
+a coordinate with the probability of their Jaccard similarity.
 
 Equal texts are one from the start.  Bands of ``ROWS`` entries are
 sorted, not grouped: each text meets the text before it and the first one of
@@ -120,9 +120,8 @@ def _described(batches: Iterator[pa.RecordBatch], words: int, size: int, rows: i
             order = np.lexsort((code, doc))
             doc, code = doc[order], code[order]
             first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))
-            count = np.diff(np.append(first, len(doc)))
             doc, code = np.searchsorted(has, doc[first]), code[first]
-            sig = signatures(doc, code, 1 + np.log(count), len(has), size)
+            sig = signatures(doc, code, np.ones(len(code)), len(has), size)
             key = np.zeros((len(has), size // rows), _U)
             for k in range(rows):
                 key = mix(key * _U(5) + sig[:, k::rows][:, : size // rows])

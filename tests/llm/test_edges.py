@@ -91,6 +91,15 @@ def test_family_around_its_base(spark, n, base):
     assert found == brute.text_classes(docs)
 
 
+def test_repeated_passages(spark):
+    docs = []
+    for k in range(12):
+        own = " ".join(f"t{k}_{j}" for j in range(120))
+        docs += [(3 * k, own), (3 * k + 1, " ".join([own] * 3)), (3 * k + 2, " ".join([own] * 10))]
+    found = {r["doc_id"]: r["class_id"] for r in near_dups.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == brute.text_classes(docs) == {i: i - i % 3 for i in range(36)}
+
+
 def test_odd_vectors(spark):
     v, w = [1.0, 0.5, 0.25, 0.0], [1.0, 0.5, 0.25, 0.01]
     rows = [(1, v, 1), (2, w, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 4, 1), (7, [1.0, None, 0.0, 0.0], 1), (8, [float("nan")] * 4, 1), (9, v, 1), (10, v[:3], 1), (11, [float("inf"), 0.0, 0.0, 0.0], 1), (12, [1.0], 1), (13, [], 1)]
