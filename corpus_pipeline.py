@@ -34,10 +34,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole."""
-    plan = mixing.Mix(docs).taken().where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    plan = plan.groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0")
-    return docs.join(plan, "doc_id").withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    """The mix itself: one row per slot and piece of a document, its text that piece."""
+    drawn = mixing.Mix(docs, whole=True).texts()
+    return drawn.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafwright.llm.store import cut
+from leafwright.llm.textscan import blocks, word_spans
 
 BLOCK_WORDS, SHARD_SLOTS, GROUPS, SEED = 128, 8192, 1024, 97
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -82,11 +84,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Mix:
     """The plan of a mix over ``docs`` (doc_id, text, source)."""
 
-    def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+    def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False):
         self.spark, self.block, self.seed = docs.sparkSession, block_words, seed
+        self.columns, self.text_col = docs.schema, text_col
         sized = docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("digest"),
+            *([F.struct(*docs.columns).alias("row")] if whole else []),
         )
         self.docs = cut(sized.withColumn("grp", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(GROUPS)).cast("int")), "mix-docs")
         self.groups = self.docs.groupBy("source", "grp").agg(F.sum("size").alias("n"))
@@ -168,6 +172,35 @@ class Mix:
         """The mix: one row per slot and piece of a document."""
         return self.slots().join(self.pieces(), ["src", "block"])
 
+    def texts(self) -> DataFrame:
+        """The mix with the columns of ``docs``: one row per slot and piece of
+        a document, its text that piece.  Only for a plan made with ``whole``."""
+        names, size = self.columns.fieldNames(), self.block
+        at = 2 + names.index(self.text_col)
+        d = self.placed().where("size > 0").select("src", F.col("at").alias("place"), "row.*")
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.columns)
+
+        def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                src, place = batch.column(0), batch.column(1).to_numpy()
+                for b in blocks(batch.column(at)):
+                    starts, _, n = word_spans(b)
+                    first, raw, doc, block, text = np.cumsum(n) - n, b.data.tobytes(), [], [], []
+                    for i in range(len(b)):
+                        p = int(place[b.start + i])
+                        found = range(p // size, (p + int(n[i]) - 1) // size + 1)
+                        edges = [int(b.offsets[i]), *(int(starts[first[i] + k * size - p]) for k in found[1:]), int(b.offsets[i + 1])]
+                        doc += [b.start + i] * len(found)
+                        block += found
+                        text += [raw[x:y].decode() for x, y in zip(edges, edges[1:])]
+                    own = pa.array(doc, pa.int64())
+                    cols = [pa.array(text, pa.string()) if k == at else batch.column(k).take(own) for k in range(2, 2 + len(names))]
+                    yield pa.RecordBatch.from_arrays([src.take(own), pa.array(block, pa.int64()), *cols], ["_src", "_block", *names])
+
+        pieces = d.mapInArrow(cut_up, f"_src int, _block long, {kinds}")
+        slots = self.slots().select(F.col("src").alias("_src"), F.col("block").alias("_block"))
+        return slots.join(pieces, ["_src", "_block"]).select(*names)
+
     def taken(self) -> DataFrame:
         """(doc_id, source, size, source_size, target, taken) of each document."""
         p = self.pieces()

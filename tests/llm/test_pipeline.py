@@ -38,6 +38,23 @@ def test_stages(spark):
     assert P.run(spark, SF).exceptAll(bpe.round_trip(mixed, queries.BYTE_BPE)).isEmpty()
 
 
+def test_mix_meets_targets_of_long_documents(spark):
+    docs = [(i if i % 9 else None, " ".join(f"é{i}_{k}" for k in range(1 + i * 37 % 2000)) + "\n", "en", "abc"[i % 3], 0) for i in range(90)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = P.mix(spark, docs, SF).collect()
+    words = Counter()
+    for r in mixed:
+        words[r["source"]] += len(r["text"].split())
+        assert r["n_chars"] == len(r["text"])
+    plan = mixing.Mix(docs)
+    for source, target in zip(plan.sources, plan.targets, strict=True):
+        assert abs(words[source] - target) <= 256
+    taken = Counter()
+    for r in plan.taken().collect():
+        taken[r["doc_id"]] += r["taken"]
+    assert Counter({i: n for i, n in taken.items() if n}) == sum((Counter({r["doc_id"]: len(r["text"].split())}) for r in mixed), Counter())
+
+
 def test_empty_table(spark, tmp_path):
     queries.documents(spark, SF).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
