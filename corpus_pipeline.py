@@ -14,11 +14,17 @@ from leafwright.llm.queries import BYTE_BPE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter go.
-    Short texts score low in any language, so the score decides nothing."""
+    """Documents in one of the learned languages.  Those without a letter go, and
+    those without a label that score below all but one in a thousand of the
+    labelled ones of about their length.  All stay if no language was learned."""
     model = language_id.prototypes(docs.where(~language_id.held_out()))
-    judged = language_id.predict(docs, model, docs.columns)
-    return judged.where(F.col("lang_pred") != "und").select(*docs.columns)
+    if not model[0]:
+        return docs
+    judged = store.cut(language_id.predict(docs, model, docs.columns), "languages").where(F.col("lang_pred") != "und")
+    judged = judged.withColumn("about", F.floor(F.log2(F.length("text"))))
+    least = judged.where("lang is not null").groupBy("about").agg(F.percentile_approx("score", 0.001, 10000).alias("least"))
+    known = judged.join(F.broadcast(least), "about", "left")
+    return known.where("lang is not null or least is null or score >= least").select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

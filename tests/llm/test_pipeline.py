@@ -55,6 +55,16 @@ def test_mix_meets_targets_of_long_documents(spark):
     assert Counter({i: n for i, n in taken.items() if n}) == sum((Counter({r["doc_id"]: len(r["text"].split())}) for r in mixed), Counter())
 
 
+def test_language_rejects_by_score(spark):
+    docs = queries.documents(spark, SF)
+    odd = spark.createDataFrame([(-1, "zxq vkj qqx wzv xjq kvz " * 20, None, "a", 480), (-2, "12 34", None, "a", 5)], docs.schema)
+    clean = docs.where("length(text) > 400 and lang is not null").limit(3).selectExpr("-10 - doc_id as doc_id", "text", "cast(null as string) lang", "source", "n_chars").select(*docs.columns)
+    got = {r["doc_id"] for r in P.language(spark, docs.unionByName(odd).unionByName(clean), SF).collect()}
+    assert not got & {-1, -2} and len([i for i in got if i <= -10]) == 3
+    nameless = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert P.language(spark, nameless, SF).count() == docs.count()
+
+
 def test_empty_table(spark, tmp_path):
     queries.documents(spark, SF).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
