@@ -28,9 +28,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies."""
-    kept = near_dups.classes(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document, that with the smallest id, of each group of near copies;
+    all without an id, and rows that repeat an id and text once."""
+    kept = near_dups.classes(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id", F.md5("text")).count().where("count > 1").isEmpty() is False:
+        named = named.withColumn("_digest", F.md5("text")).dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

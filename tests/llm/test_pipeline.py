@@ -65,6 +65,15 @@ def test_language_rejects_by_score(spark):
     assert P.language(spark, nameless, SF).count() == docs.count()
 
 
+def test_null_ids_and_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "no id but a text", "en", "a", 16), (1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text, "en", "a", 5), (3, "other words here", "en", "b", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.deduplicate(spark, docs, SF).collect()
+    assert Counter(r["doc_id"] for r in got) == {None: 1, 1: 1, 3: 1}
+    assert None in {r["doc_id"] for r in P.mix(spark, docs, SF).collect()}
+
+
 def test_empty_table(spark, tmp_path):
     queries.documents(spark, SF).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
