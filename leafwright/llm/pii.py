@@ -78,7 +78,7 @@ _LOOSE = {
     "local_phone": re.compile(r"(?:\([0-9]{3}\)\x20?|\b[0-9]{3}[-.\x20])[0-9]{3}[-.][0-9]{4}\b"),
     "national_id": re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b"),
-    "secret": re.compile(r"\b(?:password|passwd|pwd|secret|token|api_key|apikey|access_key)\x20?[=:]\x20?\S{6,200}|\bAKIA[A-Z0-9]{16}\b"),
+    "secret": re.compile(r"\b(?:password|passwd|pwd|secret|token|api_key|apikey|access_key)\x20?[=:]\x20?\S{6,}+|\bAKIA[A-Z0-9]{16}\b"),
     "spelled_email": re.compile(r"\b[A-Za-z0-9._-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,10}\b"),
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?\b"),
 }

@@ -60,6 +60,12 @@ def test_secrets_are_proposed_and_masked(spark):
     assert pii.redact(docs).first()["text"] == "see <secret> and mail <email> ok"
 
 
+def test_long_secrets_are_masked_whole(spark):
+    docs = spark.createDataFrame([(1, "see token=" + "aB3" * 300 + " ok")], "doc_id long, text string")
+    assert pii.redact(docs).first()["text"] == "see <secret> ok"
+    assert pii.digest(docs).first()["spans"] == "secret:4:910"
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 5), (7, 7), (1, 160), (None, 3)]
     found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
