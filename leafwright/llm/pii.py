@@ -83,7 +83,7 @@ _LOOSE = {
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?\b"),
 }
 #: A text without any of these has no proposal.
-_HINT = re.compile(r"[0-9]{4}|[=:\[(]|\b(?:M[rs]|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor)")
+_HINT = re.compile(r"[0-9]{4}|[=:\[(]|\bAKIA|\b[A-Z]{2}[0-9]{2}[\x20A-Z0-9]|\b(?:M[rs]|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor)")
 _GIVEN = frozenset("anna carlos claire david elena emma eva hans james jean john jose karl laura linda lucia maria marie martin mary michael paul peter robert sarah thomas william".split())
 _DOMAINS = frozenset("com org net edu gov de fr es eu io info".split())
 _FOR = re.compile(r"\b(?:call|phone|tel|fax|mobile|contact|ssn|social|id|iban|account|bank|mail|email|login|user|password|key|name|dear|by)\b[^.\n]{0,20}$", re.I)
