@@ -9,16 +9,21 @@ below its shingles' weights and its rank limit, throws each into one of
 entry; a text with an empty coordinate doubles its limit.  Two texts agree in
 a coordinate with the probability of their Jaccard similarity.
 
-Equal texts are one from the start.  Bands of ``ROWS`` entries are
-sorted, not grouped: each text meets the text before it and the first one of
-its band value, however many share it, and the pairs met are checked by the
-Jaccard similarity of their sets of shingles.  Then all texts of a band value
-that are not yet in one group are compared, block against block (``_rest``),
-so that every pair that shares a band value is in one group or was checked.
+Equal texts are one from the start: they are told by their digest, and only
+digests, signatures and hashes are shuffled, never a text.  Bands of ``ROWS``
+entries are counted; a band value of one text says nothing.  Of a value of at
+most ``FEW`` texts all pairs are checked by the Jaccard similarity of their
+sets of shingles.  Texts of a more common value are sorted by a second band,
+and each meets the text before it and the first one; then all texts of that
+value that are not yet in one group are compared, block against block
+(``_rest``), so that every pair that shares a band value is in one group or
+was checked.
 
 A text of one to four words is one shingle.  A null text or one without a word
-is alike to none.  Repeated rows with one id share its class; what is
-collected is a few counts.
+is alike to none.  Rows are told apart by a key of their own: a null id and
+repeated ids do no harm, equal rows are of one class, and of each class one row
+is kept.  An empty table gives no rows; further columns are not read.  A text
+of any length is described by itself.  What is collected is a few counts.
 """
 
 from __future__ import annotations
@@ -111,130 +116,125 @@ def _throw(doc: np.ndarray, code: np.ndarray, weight: np.ndarray, limit: np.ndar
 
 
 def _described(batches: Iterator[pa.RecordBatch], words: int, size: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Adds shingles and band values, both empty without a word, in the place of the text."""
     for batch in batches:
-        for b in blocks(batch.column(1), SLICE_BYTES):
+        for b in blocks(batch.column(3), SLICE_BYTES):
             doc, code = shingles(b, words)
-            has = np.unique(doc)
-            if not len(has):
-                continue
             order = np.lexsort((code, doc))
             doc, code = doc[order], code[order]
-            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))
-            doc, code = np.searchsorted(has, doc[first]), code[first]
-            sig = signatures(doc, code, np.ones(len(code)), len(has), size)
+            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]))) if len(doc) else order
+            doc, code = doc[first], code[first]
+            has, own = np.unique(doc, return_inverse=True)
             key = np.zeros((len(has), size // rows), _U)
-            for k in range(rows):
-                key = mix(key * _U(5) + sig[:, k::rows][:, : size // rows])
-            key = mix(key + np.arange(size // rows, dtype=_U)[None])
-            at = np.searchsorted(doc, np.arange(len(has) + 1))
+            if len(has):
+                sig = signatures(own, code, np.ones(len(code)), len(has), size)
+                for k in range(rows):
+                    key = mix(key * _U(5) + sig[:, k::rows][:, : size // rows])
+                key = mix(key + np.arange(size // rows, dtype=_U)[None])
+            at = np.searchsorted(doc, np.arange(len(b) + 1))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((code >> _U(32)).astype(np.uint32).view(np.int32)))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * (size // rows), pa.int32()), pa.array(key.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has + b.start)), lists, keys], ["text_id", "shingles", "bands"])
+            at = np.searchsorted(has, np.arange(len(b) + 1)) * (size // rows)
+            keys = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key.ravel().view(np.int64)))
+            kept = [batch.column(i).slice(b.start, len(b)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept, lists, keys], ["row", "doc_id", "digest", "shingles", "bands"])
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a sorted run of (key, text_id, grp): each with the one before
-    and the first of its key.  The first texts of a partition's first and last
-    keys are given with that key, to be met across partitions."""
+    """Pairs of a sorted run of (key, side, node): each with the one before and
+    the first of its key.  The first and last texts of a partition's first and
+    last keys are given with that key, to be met across partitions."""
     key = hub = last = None
-    edge: list[tuple[int, int, int]] = []
-    opened = False
+    edge: list[tuple[int, int]] = []
     for pdf in batches:
         if not len(pdf):
             continue
-        k, t, g = (pdf[c].to_numpy() for c in ("key", "text_id", "grp"))
+        k, t = pdf["key"].to_numpy(), pdf["node"].to_numpy()
         new = np.append(key is None or k[0] != key, k[1:] != k[:-1])
         start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        hub_t, hub_g = (np.where(start >= 0, x[start], 0 if hub is None else hub[i]) for i, x in enumerate((t, g)))
-        prev_t, prev_g = (np.append(0 if last is None else last[i], x[:-1]) for i, x in enumerate((t, g)))
-        a = np.concatenate([hub_t[(~new) & (hub_g != g)], prev_t[(~new) & (prev_g != g)]])
-        b = np.concatenate([t[(~new) & (hub_g != g)], t[(~new) & (prev_g != g)]])
-        yield pd.DataFrame({"a": a, "b": b, "key": pd.array([pd.NA] * len(a), "Int64")}).drop_duplicates()
-        if not opened:
-            edge.append((k[0], t[0], t[0]))
-            opened = True
-        key, hub, last = k[-1], (hub_t[-1], hub_g[-1]), (t[-1], g[-1])
-    if opened:
-        edge.append((key, hub[0], hub[0]))
-        edge.append((key, last[0], last[0]))
-        yield pd.DataFrame({"a": [e[1] for e in edge], "b": [e[2] for e in edge], "key": pd.array([int(e[0]) for e in edge], "Int64")})
-
-
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, to check, from rows (key, text_id, grp)."""
-    near = rows.repartitionByRange("key", "grp", "text_id").sortWithinPartitions("key", "grp", "text_id")
-    met = store.cut(near.mapInPandas(_meet, "a long, b long, key long"), "near-met")
+        hubs = np.where(start >= 0, t[start], 0 if hub is None else hub)
+        before = np.append(0 if last is None else last, t[:-1])
+        old = ~new
+        yield pd.DataFrame({"a": np.append(hubs[old], before[old]), "b": np.append(t[old], t[old]), "key": pd.array([pd.NA] * (2 * int(old.sum())), "Int64")}).drop_duplicates()
+        if not edge:
+            edge.append((k[0], t[0]))
+        key, hub, last = k[-1], hubs[-1], t[-1]
+    if edge:
+        edge += [(key, hub), (key, last)]
+        yield pd.DataFrame({"a": [e[1] for e in edge], "b": [e[1] for e in edge], "key": pd.array([int(e[0]) for e in edge], "Int64")})
+
+
+def _neighbours(rows: DataFrame, tables: store.Tables) -> DataFrame:
+    """Pairs (a, b) to check, from rows (key, side, node): texts that agree in
+    a second band as well stand side by side."""
+    near = rows.select("key", "side", "node").repartitionByRange("key", "side", "node").sortWithinPartitions("key", "side", "node")
+    met = tables.cut(near.mapInPandas(_meet, "a long, b long, key long"), "met")
     ends = met.where("key is not null")
     across = ends.join(ends.groupBy("key").agg(F.min("a").alias("m")), "key").select("a", F.col("m").alias("b"))
-    both = met.where("key is null").select("a", "b").unionByName(across)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, size: int = SIZE, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, class_size, kept): the smallest id of the texts that
-    are linked to a document's, directly or through others; the document with
-    that id is kept.  A null id is its own class."""
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return met.where("key is null").select("a", "b").unionByName(across)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, size: int = SIZE, rows: int = ROWS, key_col: str | None = None) -> DataFrame:
+    """(doc_id, class_id, class_size, kept) of each row: the smallest id of the
+    rows whose texts are linked to its own, directly or through others (null
+    if none has an id), their number, and whether the row is the one of its
+    class to stay, the first with that id.  With ``key_col``, a column of
+    distinct integers, that column leads."""
+    tables = store.Tables(docs.sparkSession)
+    row = F.monotonically_increasing_id() if key_col is None else F.col(key_col)
+    text = F.col(text_col)
     # equal texts with a word are one; those that differ in white space only are linked later
-    d = d.select("doc_id", "text", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.md5("text")).alias("digest"))
-    members = store.cut(d.select("doc_id", "digest"), "near-members")
-    ids = store.cut(members.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("text_id")), "near-ids")
-    one = d.join(ids, (d["doc_id"] == ids["text_id"]) & (d["digest"] == ids["digest"])).select("text_id", "text")
-    kind = "text_id long, shingles array<int>, bands array<long>"
-    described = store.cut(one.mapInArrow(lambda it: _described(it, words, size, rows), kind), "near-texts")
-    if _repeats(members):
-        described = store.cut(described.dropDuplicates(["text_id"]), "near-one")
-    grouped = described.select("text_id", F.explode("bands").alias("key")).withColumn("grp", F.col("text_id"))
-    pairs = store.cut(_candidates(grouped), "near-pairs")
-    # a text that met none shares no band value
-    met = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
-    sets = store.cut(described.join(met, "text_id"), "near-sets")
-    checked = store.cut(_checked(pairs, sets, similarity), "near-checked")
-    links = checked.where("linked").select("a", "b")
-    group = components(links)
-    # groups are joined before bands are dealt out
-    joined = sets.select("text_id", "bands").join(group, F.col("text_id") == group["node"], "left")
-    grouped = joined.select("text_id", F.explode("bands").alias("key"), F.coalesce("component", "text_id").alias("grp"))
-    links = links.unionByName(_rest(grouped, sets, checked, similarity))
-    return _membership(members, ids, components(links))
-
-
-def _repeats(members: DataFrame) -> bool:
-    """Whether an id stands more than once with one text."""
-    return not members.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
-
-
-def _checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    p = pairs.join(texts.select(F.col("text_id").alias("a"), F.col("shingles").alias("x")), "a")
-    p = p.join(texts.select(F.col("text_id").alias("b"), F.col("shingles").alias("y")), "b")
+    d = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text))).alias("digest"), text.alias("text"))
+    kind = f"row long, doc_id {d.schema['doc_id'].dataType.simpleString()}, digest binary, shingles array<int>, bands array<long>"
+    described = tables.cut(d.mapInArrow(lambda it: _described(it, words, size, rows), kind), "texts")
+    nodes = tables.cut(described.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node")), "nodes")
+    bands = described.select(F.col("row").alias("node"), "bands").join(nodes.select("node").hint("merge"), "node", "left_semi")
+    bands = tables.cut(bands, "bands")
+
+    held = tables.cut(bands.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "held")
+    turned = "explode(zip_with(bands, concat(slice(bands, 2, size(bands) - 1), slice(bands, 1, 1)), (k, s) -> struct(k as key, s as side)))"
+    dealt = bands.select("node", F.expr(turned).alias("at")).select("node", "at.*")
+    few = dealt.drop("side").join(held.where(f"n <= {FEW}").select("key").hint("merge"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("of"))
+    pairs = few.select(F.explode(F.expr("flatten(transform(of, (x, i) -> transform(slice(of, i + 2, size(of)), y -> struct(x as a, y as b))))")).alias("p")).select("p.*")
+    many = tables.cut(dealt.join(tables.cut(held.where(f"n > {FEW}"), "many-held"), "key"), "many")
+    pairs = pairs.unionByName(_neighbours(many, tables)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    pairs = tables.cut(pairs.distinct(), "pairs")
+
+    met = pairs.select(F.explode(F.array("a", "b")).alias("row")).unionByName(many.select(F.col("node").alias("row"))).distinct()
+    sets = tables.cut(described.select("row", "shingles").join(tables.cut(met, "in-pairs"), "row", "left_semi").withColumnRenamed("row", "node"), "sets")
+    links = tables.cut(_checked(pairs, sets, similarity), "links")
+    group = tables.cut(components(links), "groups")
+    if not many.isEmpty():
+        grouped = many.join(group, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("grp"))
+        more = _rest(grouped, sets, similarity, tables)
+        if not more.isEmpty():
+            group = tables.cut(components(links.unionByName(more)), "groups")
+    return tables.finish(_membership(described, nodes, group, key_col), "near-dups")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    p = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    p = p.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     smaller, larger = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     shared = F.when(smaller >= similarity * larger - 1e-9, F.size(F.array_intersect("x", "y"))).otherwise(0)
-    linked = shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9
-    return p.select("a", "b", linked.alias("linked"))
+    return p.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def _rest(rows: DataFrame, sets: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+def _rest(rows: DataFrame, sets: DataFrame, similarity: float, tables: store.Tables) -> DataFrame:
     """Links (a, b) between all texts of a band value that are not in one
-    group, from rows (key, text_id, grp); of linked texts of two blocks as many
+    group, from rows (key, n, node, grp); of linked texts of two blocks as many
     links as join them.  The largest group of a key is not met with itself."""
-    rows = store.cut(rows, "near-grouped")
+    rows = tables.cut(rows, "grouped")
     held = rows.groupBy("key", "grp").agg(F.count("*").alias("n")).groupBy("key")
-    held = held.agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    rows = store.cut(rows.join(held.select("key", "n", F.col("top.n").alias("most"), F.col("top.grp").alias("bulk")), "key"), "near-open")
-
-    few = rows.where(F.col("n") <= FEW)
-    x, y = (few.select("key", F.col("text_id").alias(t), F.col("grp").alias(g)) for t, g in (("a", "g"), ("b", "h")))
-    pairs = x.join(y, "key").where("a < b and g <> h").select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    found = store.cut(_checked(store.cut(pairs, "near-pairs"), sets, similarity).where("linked").select("a", "b"), "near-links")
-
-    many = rows.where(F.col("n") > FEW).withColumn("others", F.ceil((F.col("n") - F.col("most")) / BLOCK)).withColumn("blocks", F.col("others") + F.ceil(F.col("most") / BLOCK))
-    salt, bulk = F.xxhash64("text_id"), F.col("grp") == F.col("bulk")
+    held = held.agg(F.max(F.struct("n", "grp")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    many = rows.join(held.select("key", F.col("top.n").alias("most"), F.col("top.grp").alias("bulk")), "key")
+    many = many.withColumn("others", F.ceil((F.col("n") - F.col("most")) / BLOCK)).withColumn("blocks", F.col("others") + F.ceil(F.col("most") / BLOCK))
+    salt, bulk = F.xxhash64("node"), F.col("grp") == F.col("bulk")
     many = many.withColumn("own", F.when(bulk, F.col("others") + F.pmod(salt, F.col("blocks") - F.col("others"))).otherwise(F.pmod(salt, F.col("others"))))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(bulk, F.col("others")).otherwise(F.col("blocks")) - 1)))
-    dealt = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "text_id", "grp").join(sets.select("text_id", "shingles"), "text_id")
+    dealt = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "grp").join(sets.hint("merge"), "node")
     links = dealt.groupBy("key", "i", "j").applyInPandas(lambda key, pdf: _between(key, pdf, similarity), "a long, b long")
-    return found.unionByName(store.cut(links.distinct(), "near-links"))
+    return tables.cut(links.distinct(), "more-links")
 
 
 def _between(key: tuple[int, int, int], pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -245,7 +245,7 @@ def _between(key: tuple[int, int, int], pdf: pd.DataFrame, similarity: float) ->
     n, m = (x["shingles"].map(len).to_numpy(np.int64) for x in (left, right))
     shared = _shared(left["shingles"].to_list(), right["shingles"].to_list())
     linked = (shared >= similarity * (n[:, None] + m[None] - shared) - 1e-9) & (left["grp"].to_numpy()[:, None] != right["grp"].to_numpy()[None])
-    a, b = left["text_id"].to_numpy(), right["text_id"].to_numpy()
+    a, b = left["node"].to_numpy(), right["node"].to_numpy()
     out, rows_left, cols_left = [], linked.any(1), np.ones(len(b), bool)
     while rows_left.any():
         rows = [int(np.flatnonzero(rows_left)[0])]
@@ -285,8 +285,10 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _membership(members: DataFrame, ids: DataFrame, group: DataFrame) -> DataFrame:
-    of = ids.join(group, ids["text_id"] == group["node"], "left").select("digest", F.coalesce("component", "text_id").alias("class_id"))
-    out = store.cut(members.join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "near-classes")
-    sizes = out.groupBy(F.col("class_id").alias("c")).agg(F.count("*").alias("class_size"))
-    return out.join(sizes, F.col("class_id").eqNullSafe(F.col("c"))).select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+def _membership(described: DataFrame, nodes: DataFrame, group: DataFrame, key_col: str | None) -> DataFrame:
+    of = nodes.join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("of"))
+    members = described.select("row", "doc_id", "digest").join(of, "digest", "left").select("row", "doc_id", F.coalesce("of", "row").alias("class"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first")
+    held = members.groupBy("class").agg(F.count("*").alias("class_size"), first)
+    lead = [] if key_col is None else [F.col("row").alias(key_col)]
+    return members.join(held, "class").select(*lead, "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leafwright.llm import bpe, dac, language_id, licenses, mixing, near_dups, pii, quality, token_counts, vectors
 
-#: Where the vocabulary files of public tokenizers are.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-BYTE_BPE, WORD_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
+#: The vocabulary files of public tokenizers; all machines hold them.
+BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

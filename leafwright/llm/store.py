@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="leafwright-")
     return _own
@@ -41,8 +43,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return load(df.sparkSession, save(df, name), df.schema)
 
 
+class Tables:
+    """The intermediate tables of one call, removed when it is finished."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(save(df, name))
+        return load(self.spark, self.paths[-1], df.schema)
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read again, with all tables before it removed."""
+        out = cut(df, name)
+        drop(self.spark, *self.paths)
+        return out
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
-    """Remove tables that no returned DataFrame reads any more."""
+    """Remove tables that no DataFrame reads any more."""
     jvm = spark._jvm
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
