@@ -113,7 +113,8 @@ class Mix:
         own = self.docs.withColumn("nth", F.row_number().over(inside)).withColumn("own_at", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
         same = own["source"].eqNullSafe(before["source"]) & (own["grp"] == before["grp"])
         d = own.join(before, same).select(own["*"], (F.col("own_at") + F.col("grp_at")).alias("at"))
-        return d.join(self.source_rows, d["source"].eqNullSafe(self.source_rows["source"])).drop(self.source_rows["source"])
+        # one row a source, as collected for the targets
+        return d.join(F.broadcast(self.source_rows), d["source"].eqNullSafe(self.source_rows["source"])).drop(self.source_rows["source"])
 
     def pieces(self) -> DataFrame:
         """The documents' parts by block: (..., block, first, n_words); a
@@ -164,13 +165,15 @@ class Mix:
                 key = _mix((src * 4 + turn + (seed << 40)).astype(np.uint64))
                 yield pd.DataFrame({"shard": pdf["shard"], "slot": pdf["slot"], "src": src, "pass": turn, "block": permuted(nth % n, n, key)})
 
+        # a row of a shard becomes up to SHARD_SLOTS rows
+        drawn = drawn.repartition("shard", "src")
         each = drawn.select("shard", "src", "slot_at", "nth_at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
         each = each.select("shard", (F.col("slot_at") + F.col("k")).alias("slot"), "src", (F.col("nth_at") + F.col("k")).alias("nth"))
         return each.mapInPandas(assign, "shard long, slot long, src int, pass long, block long")
 
     def joined(self) -> DataFrame:
         """The mix: one row per slot and piece of a document."""
-        return self.slots().join(self.pieces(), ["src", "block"])
+        return self.slots().hint("merge").join(self.pieces(), ["src", "block"])
 
     def texts(self) -> DataFrame:
         """The mix with the columns of ``docs``: one row per slot and piece of
@@ -199,12 +202,12 @@ class Mix:
 
         pieces = d.mapInArrow(cut_up, f"_src int, _block long, {kinds}")
         slots = self.slots().select(F.col("src").alias("_src"), F.col("block").alias("_block"))
-        return slots.join(pieces, ["_src", "_block"]).select(*names)
+        return slots.hint("merge").join(pieces, ["_src", "_block"]).select(*names)
 
     def taken(self) -> DataFrame:
         """(doc_id, source, size, source_size, target, taken) of each document."""
         p = self.pieces()
         s = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"))
-        d = p.join(s, ["src", "block"], "left")
+        d = p.join(s.hint("merge"), ["src", "block"], "left")
         words = F.coalesce(F.sum(F.col("n_words") * F.col("times")), F.lit(0)).alias("taken")
         return d.groupBy("src", "grp", "nth").agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")), words).drop("src", "grp", "nth")
