@@ -14,6 +14,7 @@ CURRENCY = r"\$\d+(?:,\d{3})*(?:\.\d{2})?"
 ICD10 = r"\b[A-TV-Z]\d{2}(?:\.[A-Z0-9]{1,5})?\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 NPI = r"(?i)\bNPI[:\s#]*(\d{10})\b"
+MRN = r"(?i)\b(?:MRN|MR#|Medical Record)\s*[:#]?\s*([A-Z0-9-]{4,15})\b"
 DATE = r"\b(\d{2}/\d{2}/\d{4})\b"
 KEY_VALUE = r"^([A-Z][A-Za-z\s/&'.()-]{2,40}):\s+(.{1,200})$"
 DOC_TYPES = (
@@ -69,6 +70,16 @@ def masked_ssns(text: Column) -> Column:
     return F.transform(found(text, SSN, 3), lambda s: F.concat(F.lit("***-**-"), F.right(s, F.lit(4))))
 
 
+def npis(text: Column) -> Column:
+    """The distinct provider numbers in text order, at most three."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(NPI), F.lit(1))), 1, 3)
+
+
+def mrns(text: Column) -> Column:
+    """The distinct record numbers in text order, at most three."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(MRN), F.lit(1))), 1, 3)
+
+
 def doc_type(text: Column) -> Column:
     """The first document type whose pattern the text has."""
     rest = F.lit(DEFAULT_DOC_TYPE)
