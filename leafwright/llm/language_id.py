@@ -6,15 +6,22 @@ text's vector bundles (adds) the vectors of all its n-grams, and a language's
 prototype bundles all its training texts.  A text gets the language whose
 prototype has the largest cosine with it.
 
-Symbols: 0 for any run of non-letters, 1-26 for a-z of either case, 27-31 for
-all other letters by code point.  A null text and one without a letter get
-"und" with score 0.  Training takes every labelled row it is given; the counts
-are integers, so the prototypes do not depend on how rows are dealt.
+Symbols: 0 for any run of non-letters, 1-26 for a-z of either case, the other
+``SYMBOLS - 27`` for all other letters by code point, so that the letters of
+one alphabet differ.  A null text and one without a letter get "und" with
+score 0.  Training takes every labelled row it is given; the sums are
+integers, so the prototypes do not depend on how rows are dealt.
+
+Repeated rows and ids are judged one by one, a tie goes to the language that
+is first in code-point order, an empty table gives no rows, without any
+labelled row all texts are "und", and further columns are not read.  A text of
+any length is one block; the others are taken ``BLOCK_BYTES`` at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +30,14 @@ from pyspark.sql import functions as F
 
 from leafwright.llm.textscan import Block, blocks
 
-DIM, SYMBOLS, SEED = 512, 32, 20240607
+DIM, BITS, SEED = 512, 7, 20240607
+SYMBOLS = 1 << BITS
+BLOCK_BYTES = 1 << 19
 _GRAMS = SYMBOLS**3
 _DOCS = 64
 
 
+@lru_cache(1)
 def symbol_table() -> np.ndarray:
     """The symbol of every code point."""
     out = np.zeros(0x110000, np.uint8)
@@ -35,28 +45,34 @@ def symbol_table() -> np.ndarray:
         c = chr(cp)
         if c.isalpha():
             low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low % 5
+            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
     return out
 
 
-def gram_vectors(seed: int = SEED) -> np.ndarray:
-    """The bound vector of each n-gram (first symbol most significant)."""
-    rng = np.random.Generator(np.random.Philox(seed))
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of the symbols, permuted twice, once and not."""
+    rng = np.random.Generator(np.random.Philox(SEED))
     letters = rng.choice(np.array([-1, 1], np.int8), (SYMBOLS, DIM))
     turn = rng.permutation(DIM)
-    once, twice = letters[:, turn], letters[:, turn][:, turn]
-    return (twice[:, None, None] * once[None, :, None] * letters[None, None]).reshape(_GRAMS, DIM)
+    return letters[:, turn][:, turn], letters[:, turn], letters
 
 
-def gram_keys(b: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_vectors(grams: np.ndarray) -> np.ndarray:
+    """The bound vectors of n-grams (first symbol most significant)."""
+    twice, once, plain = _letters()
+    return twice[grams >> 2 * BITS] * once[grams >> BITS & SYMBOLS - 1] * plain[grams & SYMBOLS - 1]
+
+
+def gram_keys(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text and n-gram of each n-gram of a block, and whether texts have letters."""
     points = np.frombuffer(b.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     at = np.zeros(len(b.data) + 1, np.int64)
     np.cumsum((b.data & 0xC0) != 0x80, out=at[1:])
     bounds = at[b.offsets]
     # each text is led by a zero, and a last one follows them all
-    code = np.insert(table[points], bounds, 0)
-    doc = np.repeat(np.arange(len(b) + 1), np.append(np.diff(bounds) + 1, 1))
+    code = np.insert(symbol_table()[points], bounds, 0)
+    doc = np.repeat(np.arange(len(b) + 1, dtype=np.int32), np.append(np.diff(bounds) + 1, 1))
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] > 0) | (code[:-1] > 0)
     return _grams(code[keep].astype(np.int32), doc[keep], len(b))
@@ -67,36 +83,43 @@ def _grams(code: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     letters = code > 0
     has[doc[letters]] = True
     a, b, c = code[:-2], code[1:-1], code[2:]
-    gram = (a * SYMBOLS + b) * SYMBOLS + c
+    gram = (a << 2 * BITS) + (b << BITS) + c
     # a zero between two letters may be the end of a text
     ok = (b > 0) | ((a > 0) & (c > 0) & (doc[:-2] == doc[2:]))
     own = np.where(b > 0, doc[1:-1], doc[:-2])
     return own[ok], gram[ok], has
 
 
+def _bundled(row: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the vectors of each of n rows' n-grams."""
+    seen = np.zeros(_GRAMS, bool)
+    seen[gram] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(_GRAMS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    tally = np.bincount(row * np.int64(len(used)) + place[gram], minlength=n * len(used)).reshape(n, len(used))
+    # counts and sums stay far below 2**53
+    return np.rint(tally.astype(np.float64) @ gram_vectors(used).astype(np.float64)) if len(used) else np.zeros((n, DIM))
+
+
 def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order, and their prototype vectors, from all rows of
     ``docs`` with a text and a language.  One vector per language is collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = symbol_table(), {}
+        seen = {}
         for batch in batches:
             lang = batch.column(1).to_pylist()
-            for b in blocks(batch.column(0)):
-                doc, gram, _ = gram_keys(b, table)
+            for b in blocks(batch.column(0), BLOCK_BYTES):
+                doc, gram, _ = gram_keys(b)
                 names = sorted(set(lang[b.start : b.stop]))
                 code = {x: i for i, x in enumerate(names)}
                 of = np.array([code[x] for x in lang[b.start : b.stop]], np.int64)
-                found = np.bincount(of[doc] * _GRAMS + gram, minlength=len(names) * _GRAMS).reshape(len(names), _GRAMS)
+                found = _bundled(of[doc], gram, len(names)).astype(np.int64)
                 for x, i in code.items():
                     seen[x] = seen.get(x, 0) + found[i]
-        if seen:
-            vectors = gram_vectors()
-            names = sorted(seen)
-            for x in names:
-                used = np.flatnonzero(seen[x])
-                total = seen[x][used] @ vectors[used].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([total.tolist()], pa.list_(pa.int64()))], ["lang", "part"])
+        for x in sorted(seen):
+            yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([seen[x].tolist()], pa.list_(pa.int64()))], ["lang", "part"])
 
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
     parts = known.mapInArrow(run, "lang string, part array<long>").select("lang", F.posexplode("part").alias("k", "v"))
@@ -108,36 +131,42 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return langs, out
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text_col: str = "text") -> DataFrame:
-    """``carry`` columns, ``lang_pred`` and ``score`` (the cosine, 0 if below)."""
+def predicted(model: tuple[list[str], np.ndarray], text_col: str = "text") -> Column:
+    """(lang_pred, score) of a text, the score its cosine, 0 if below; only the
+    text is handed to Python."""
     langs, proto = model
     norms = np.linalg.norm(proto, axis=1, keepdims=True)
     unit = proto / np.where(norms > 0, norms, 1)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vectors = symbol_table(), gram_vectors()
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = np.array([*langs, "und"], object)
-        for batch in batches:
-            for b in blocks(batch.column(len(carry))):
-                doc, gram, has = gram_keys(b, table)
-                best, score = np.full(len(b), len(langs)), np.zeros(len(b))
-                edge = np.searchsorted(doc, np.arange(0, len(b) + _DOCS, _DOCS))
-                for k, at in enumerate(range(0, len(b), _DOCS)):
-                    n = min(_DOCS, len(b) - at)
-                    own = slice(edge[k], edge[k + 1])
-                    tally = np.bincount((doc[own] - at) * _GRAMS + gram[own], minlength=n * _GRAMS).reshape(n, _GRAMS)
-                    used = np.flatnonzero(tally.any(0))
-                    if len(used) and langs:
-                        v = (tally[:, used].astype(np.float32) @ vectors[used].astype(np.float32)).astype(float)
-                        size = np.linalg.norm(v, axis=1)
-                        cos = v @ unit.T / np.where(size > 0, size, 1)[:, None]
-                        best[at : at + n], score[at : at + n] = cos.argmax(1), cos.max(1).clip(0, 1)
-                best[~has], score[~has] = len(langs), 0
-                kept = [batch.column(i).slice(b.start, len(b)) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best], pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
-
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+        for text in texts:
+            best, score = np.full(len(text), len(langs)), np.zeros(len(text))
+            for b in blocks(text, BLOCK_BYTES):
+                _judged(b, unit, best[b.start : b.stop], score[b.start : b.stop])
+            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+    return judge(F.col(text_col))
+
+
+def _judged(b: Block, unit: np.ndarray, best: np.ndarray, score: np.ndarray) -> None:
+    """Fill in the best language and score of the texts of a block that have letters."""
+    doc, gram, has = gram_keys(b)
+    edge = np.searchsorted(doc, np.arange(0, len(b) + _DOCS, _DOCS))
+    for k, at in enumerate(range(0, len(b), _DOCS)):
+        n, own = min(_DOCS, len(b) - at), slice(edge[k], edge[k + 1])
+        if own.start < own.stop and len(unit):
+            v = _bundled(doc[own] - at, gram[own], n)
+            size = np.linalg.norm(v, axis=1)
+            cos = v @ unit.T / np.where(size > 0, size, 1)[:, None]
+            known = np.flatnonzero(has[at : at + n])
+            best[at + known], score[at + known] = cos.argmax(1)[known], cos.max(1).clip(0, 1)[known]
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text_col: str = "text") -> DataFrame:
+    """``carry`` columns, ``lang_pred`` and ``score``."""
+    return docs.select(*(F.col(f"`{c}`") for c in carry), predicted(model, text_col).alias("_judged")).select(*(F.col(f"`{c}`") for c in carry), "_judged.lang_pred", "_judged.score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
