@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.extractors import authorization, injury, marks
+from leafwright.extractors import authorization, injury, intake, marks, questionnaire
 from leafwright.extractors import page as P
 from leafwright.plans.claim_queries import _answer, box, right_sql
 from leafwright.plans.queries import query
-from leafwright.sources.form_pages import Template, texts
+from leafwright.sources.form_pages import Template, clusters, texts
 
 _AUTH = Template(
     [
@@ -123,3 +123,90 @@ left join {_picked(_first(injury.TREATMENTS, _LABELLED, "join (select page, y1 b
 def injury_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = lambda c: F.array_join(c, ",")
     return injuries(spark, sf_dir).select("page", join("injured_body_parts").alias("parts"), "nature_of_injury", join("causes").alias("causes"), join("treatments").alias("treatments"))
+
+
+_DWC = Template(
+    [
+        (texts("Name (First, Last) ____", "EMPLOYEE NAME (FIRST"), "20", "20", "160"), (texts("Sex", "SEX:", "S"), "20", "60", "30"), ("'M'", "60 + k % 9", "62", "8"), ("'F'", "90", "61", "8"), ("'M'", "60", "140", "8"),
+        (texts("Time of accident", "TIME OF ACCIDENT ?"), "20", "90", "80"), ("'AM'", "120", "92", "14"), ("'PM'", "150", "90 + k % 40", "14"), ("'Date of Accident: ____'", "220", "20", "120"), ("'DATE OF BIRTH'", "400", "20", "70"),
+        ("'Occupation'", "20", "120", "60"), (texts("COMPANY NAME:", "The company name is"), "220", "120", "90"), ("'Part of body affected'", "20", "160", "100"), ("'Describe injury/illness that occurred'", "220", "160", "160"), ("'Place of accident'", "20", "200", "90"),
+    ],
+    drawings=[
+        ("58 + k % 60", "58 + k % 9", "14", "14", "0.9", "null"), ("117", "86", "20", "20", texts("0.8", "0.0", "0.04").replace("'", ""), "case when k % 2 = 0 then 0.7 end"), ("150", "90 + k % 30", "12", "10", "null", "0.6"), ("0", "0", "600", "800", "1.0", "null"),
+        ("90", "61", "1", "1", "1.0", "null"), ("88", "57 + k % 20", "10", "10", "0.05", "null"),
+    ],
+    spans=[
+        ("concat('Ann ', k)", "24 + k % 300", "30 + k % 20", "60", "255"), ("'printed'", "20", "31", "40", "0"), ("'Bob'", "30", "36", "30", "case when k % 3 = 0 then 128 else 0 end"), ("concat('0', 1 + k % 9, '/05/2024')", "225", "32 + k % 3", "60", "16711680"),
+        ("case when k % 2 = 0 then '02/02/1960' else 'unknown' end", "400", "33", "60", "255"), ("' Welder '", "22", "128 + k % 25", "40", "65280"), ("concat('Acme ', k % 7)", "290 + k % 60", "118 + k % 14", "60", "255"),
+        ("'arm'", "25", "171", "20", "255"), ("'fell'", "225", "175", "30", "4660"), ("'   '", "20", "172", "30", "255"), ("'yard'", "100 + k % 500", "212", "40", "255"),
+    ],
+)
+_DW = _DWC.anchors({"at_sex": ("sex",), "at_time": ("time of accident",)})
+_MK = """mk as (select *, case when s > 0.05 then 'stroke' else 'fill' end kind from dr where (s > 0.05 or f > 0.05) and greatest(x1 - x0, y1 - y0) between 2 and 40)"""
+_OV = "ov as (select page, i, trim(text) said, x0, x1, y0, cy, [color >> 16 & 255, color >> 8 & 255, color & 255] rgb from sp where color <> 0 and trim(text) <> '')"
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marks.marked_report(P.prepare(_DWC.pages(spark, sf_dir)))
+
+
+@query(f"with {_DW}, {_MK}, {_OV} select page, m.cy, m.cx, kind, rank_, n_overlaid, reds from (select *, row_number() over (partition by page order by cy, cx, i) rank_ from mk) m join (select page, count(*) n_overlaid, sum(rgb[1])::bigint reds from ov group by 1) using (page)")
+def page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = P.staged(_DWC.pages(spark, sf_dir), {"m": marks.found(), "o": marks.overlaid()})
+    p = p.select("page", F.size("o").cast("long").alias("n_overlaid"), F.expr("aggregate(o, 0L, (a, x) -> a + x.rgb[0])").alias("reds"), F.posexplode("m").alias("n", "m"))
+    return p.select("page", "m.cy", "m.cx", "m.kind", (F.col("n") + 1).cast("long").alias("rank_"), "n_overlaid", "reds")
+
+
+def _overlay(name: str, text: str, direction: str, dy: float, dx: float) -> str:
+    place = f"(instr(lower(text), '{text}') - 1)"
+    box = f"select page, arg_min({{x0: x0 + (x1 - x0) * {place} / len(text), x1: x0 + (x1 - x0) * ({place} + {len(text)}) / len(text), y0: y0, y1: y1}}, i) b from ln where contains(lower(text), '{text}') group by 1"
+    if direction == "below":
+        where, score = f"o.cy - b.y1 between -2 and {dy} and o.x0 between b.x0 - 20 and b.x1 + {dx}", "o.cy - b.y1 + abs(o.x0 - b.x0) * 0.1::double"
+    else:
+        where, score = f"o.x0 - b.x1 between -30 and {dx} and abs(o.cy - (b.y0 + b.y1) / 2) <= {dy}", "abs(o.x0 - b.x1) + abs(o.cy - (b.y0 + b.y1) / 2) * 0.5::double"
+    return f"(select page, arg_min(said, ({score}, o.i)) {name} from ({box}) bx join ov o using (page) where {where} group by page)"
+
+
+def _letter(name: str, a: str, letters: list[str], dx: float) -> str:
+    return f"""(select page, arg_min(o, q) {name} from (select l.page, o, q, arg_min({{x0: l.x0, y0: l.y0, x1: l.x1, y1: l.y1}}, l.i) b from an a join ln l on l.page = a.page and a.name = '{a}' join {_options(letters)} on l.said = o
+where abs(l.cy - a.cy) <= 25 and l.cx between a.x0 - 20 and a.x1 + {dx} group by 1, 2, 3) where exists (select 1 from mk m where m.page = page and m.x1 >= b.x0 - 8 and m.x0 <= b.x1 + 8 and m.y1 >= b.y0 - 6 and m.y0 <= b.y1 + 6) group by page)""".replace("m.page = page", "m.page = t.page").replace("group by 1, 2, 3) where", "group by 1, 2, 3) t where")
+
+
+@query(f"with {_DW}, {_MK}, {_OV} select page, employee_name, case when regexp_matches(accident_date, '^\\d{{2}}/\\d{{2}}/\\d{{4}}') then accident_date end accident_date, case when regexp_matches(employee_dob, '^\\d{{2}}/\\d{{2}}/\\d{{4}}') then employee_dob end employee_dob, occupation, company_name, body_part, injury_description, place_of_accident, employee_sex, am_pm from kk "
+       + " ".join(f"left join {_overlay(n, *v)} using (page)" for n, v in marks.OVERLAYS.items()) + f" left join {_letter('employee_sex', 'at_sex', ['M', 'F'], 120)} using (page) left join {_letter('am_pm', 'at_time', ['AM', 'PM'], 400)} using (page)")
+def marked_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked(spark, sf_dir).drop("marks_detected", "overlays_detected")
+
+
+_PHQ = Template(
+    [(texts("Total Score: 14", "TOTAL SCORE 35", "Total", "total  score:7"), "20", "400", "80"), (texts("Total score 3", None, None), "20", "420", "80")],
+    [box(f"case when (k % 11 > 0 or {r} <> 3 or {c} < 3) and (k % 7 > 2 or {r} < 8 + k % 3) then {300 + 30 * c} end", f"{100 + 14 * r + (c % 2)} + case when {r} >= 9 then 6 * (k % 4) else 0 end", f"(k * 5 + {r}) % 13 % 5 = {c}", "''") for r in range(11) for c in range(4)],
+)
+
+
+@query(f"""with {_PHQ.sql()}, rw as (select page, i // 4 r, count(*) n, min(cy) c0, count(*) filter (selected) s, max(i % 4) filter (selected) score from ct group by 1, 2), r4 as (select page, r, case when s = 1 then score end score, row_number() over (partition by page order by r) n,
+c0 as h0 from rw where n = 4), hh as (select page, r, list(cy order by cy, i) ys from ct group by 1, 2), hx as (select c.page, c.i // 4 r, c.cy, row_number() over (partition by c.page, c.i // 4 order by c.cy, c.i) m from ct c), h1 as (select page, r, max(cy) filter (m = 1) a, max(cy) filter (m = 2) b, max(cy) filter (m = 3) c, max(cy) filter (m = 4) d from hx group by 1, 2),
+h2 as (select page, r, (((a * 2 + b) / 3 * 3 + c) / 4 * 4 + d) / 5 h from h1), r5 as (select r4.*, h from r4 join h2 using (page, r)), gp as (select page, n - 1 as at_, h - lag(h) over (partition by page order by n) g from r5), gs as (select page, count(g) + 1 nr, list_sort(list(g) filter (g is not null)) gl, arg_max(at_, (g, -at_)) filter (g is not null) w, max(g) mg from gp group by 1),
+sp_ as (select page, nr, case when nr >= 10 and mg > gl[(nr - 1) // 2 + 1] * 1.5 and w >= 9 then w end w from gs),
+ev as (select page, list(score order by n) filter (w is null or n <= w) a, list(score order by n) filter (w is not null and n > w and score is not null) b, any_value(w) w from r5 join sp_ using (page) group by 1), al as (select page, case when w is null then a else list_concat(a, coalesce(b, [])[1:1]) end e from ev),
+pt as (select page, arg_min(v, i) total_printed from (select page, i, try_cast(nullif(regexp_extract(text, '(?i)total\\s*score\\s*:?\\s*(\\d{{1,2}})', 1), '') as int) v from ln) where v between 0 and 27 group by 1),
+sc as (select page, e, case when len(e) >= 9 then e[1:9] end s from al), tc as (select page, e, s, case when len(list_filter(s, lambda x: x is null)) = 0 then list_sum(s)::int end total_computed from sc)
+select page, array_to_string(list_transform(s, lambda x: coalesce(x::varchar, '-')), ',') scores, total_computed, total_printed, coalesce(total_printed, total_computed) total, case when len(e) > 9 then e[10]::int when coalesce(total_printed, total_computed) <= 4 then 0 when coalesce(total_printed, total_computed) <= 9 then 1 when coalesce(total_printed, total_computed) <= 14 then 2 when coalesce(total_printed, total_computed) > 14 then 3 end difficulty
+from kk left join tc using (page) left join pt using (page)""")
+def questionnaires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = questionnaire.questionnaire(P.prepare(_PHQ.pages(spark, sf_dir)))
+    return q.select("page", F.expr("array_join(transform(scores, s -> coalesce(cast(s as string), '-')), ',')").alias("scores"), "total_computed", "total_printed", "total", "difficulty")
+
+
+_DIG = Template(
+    [(f"case when (k + {r}) % 6 > 0 or {d} > 0 then '{d}' else 'o' end", f"{100 + 30 * d}", f"{50 + 15 * r} + (k + {d}) % 3", "6") for r in range(10) for d in (2, 0, 3, 1)],
+    drawings=[(f"{100 + 30 * c} + (k * {r + 1}) % 4 * 30 - 3", f"{48 + 15 * r}", "12", "12", "0.5", "null") for r in range(10) for c in (0,)] + [("190", "50", "9", "9", "0.9", "null")],
+)
+
+
+@query(f"""with recursive {_DIG.sql()}, {_MK}, it as (select *, row_number() over (partition by page order by cy, i) n from ln where said in ('0', '1', '2', '3')), {{CL}}, ls as (select page, arg_max(hs, n) hs from cl_f group by page), rr as (select page, row_, ls.hs[row_].h h from cl join ls using (page) join ln using (page, i) group by all having count(distinct said) = 4),
+dg as (select page, row_, min(said::int) score from cl join ln l using (page, i) where exists (select 1 from mk m where m.page = l.page and m.x1 >= l.x0 - 8 and m.x0 <= l.x1 + 8 and m.y1 >= l.y0 - 6 and m.y0 <= l.y1 + 6) group by 1, 2)
+select page, row_number() over (partition by page order by h, row_) n, score from rr left join dg using (page, row_)""".replace("{CL}", clusters("it", 4)))
+def likert_from_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = P.staged(P.prepare(_DIG.pages(spark, sf_dir)), {"marks": marks.found()}, {"s": marks.likert()})
+    return p.select("page", F.posexplode("s").alias("n", "score")).select("page", (F.col("n") + 1).cast("long").alias("n"), "score")

@@ -20,6 +20,10 @@ class Template:
 
     lines: list[tuple[str, str, str, str]]
     controls: list[tuple[str, str, str, str, str, str]] = field(default_factory=list)
+    #: (x0, y0, width, height, stroke, fill): the red of a colour, or null.
+    drawings: list[tuple[str, str, str, str, str, str]] = field(default_factory=list)
+    #: (text, x0, y0, width, colour).
+    spans: list[tuple[str, str, str, str, str]] = field(default_factory=list)
 
     def pages(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         line = ", ".join(f"named_struct('text', {t}, 'x0', cast({x} as double), 'y0', cast({y} as double), 'x1', cast({x} + {w} as double), 'y1', cast({y} + 10 as double))" for t, x, y, w in self.lines)
@@ -29,7 +33,13 @@ class Template:
         )
         kinds = "array<struct<kind:string,x:double,y:double,w:double,h:double,selected:boolean,label:string,conf:double>>"
         p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+        rect = lambda x, y, w, h: f"'x0', cast({x} as double), 'y0', cast({y} as double), 'x1', cast({x} + {w} as double), 'y1', cast({y} + {h} as double)"
+        red = lambda c: f"case when {c} is not null then array(cast({c} as double), 0D, 0D) end"
+        drawn = ", ".join(f"named_struct({rect(x, y, w, h)}, 'color', {red(s)}, 'fill', {red(f)})" for x, y, w, h, s, f in self.drawings)
+        spans = ", ".join(f"named_struct('text', {t}, {rect(x, y, w, '10')}, 'color', cast({c} as int))" for t, x, y, w, c in self.spans)
+        more = [F.expr(f"array({e})").alias(n) for n, e in (("drawings", drawn), ("spans", spans)) if e]
         return p.select(
+            *more,
             F.col("k").alias("page"), F.expr(f"filter(array({line}), l -> l.text is not null)").alias("lines"),
             F.expr(f"filter(cast(array({ctrl}) as {kinds}), c -> c.x is not null)").alias("controls"),
         )
@@ -44,6 +54,12 @@ ln as (select page, l.i, l.text, trim(l.text) said, trim(lower(l.text)) norm, l.
         if ctrl:
             out += f""", c0 as (select k page, unnest([{ctrl}]) c from kk),
 ct as (select page, c.i, c.kind, c.selected, c.label, c.x / (300::double / 72) x, (c.x + c.w) / (300::double / 72) right_, c.w / (300::double / 72) w, (c.x + c.w / 2) / (300::double / 72) cx, (c.y + c.w / 2) / (300::double / 72) cy from c0 where c.x is not null)"""
+        if self.drawings:
+            drawn = ", ".join(f"{{i: {i}, x0: ({x})::double, y0: ({y})::double, x1: ({x} + {w})::double, y1: ({y} + {h})::double, s: ({s})::double, f: ({f})::double}}" for i, (x, y, w, h, s, f) in enumerate(self.drawings))
+            out += f", d0 as (select k page, unnest([{drawn}]) d from kk), dr as (select page, d.*, (d.x0 + d.x1) / 2 cx, (d.y0 + d.y1) / 2 cy from d0)"
+        if self.spans:
+            spans = ", ".join(f"{{i: {i}, text: {t}, x0: ({x})::double, y0: ({y})::double, x1: ({x} + {w})::double, color: ({c})::int}}" for i, (t, x, y, w, c) in enumerate(self.spans))
+            out += f", s0 as (select k page, unnest([{spans}]) s from kk), sp as (select page, s.*, s.y0 + 5 cy from s0)"
         return out
 
     def anchors(self, anchors: dict[str, tuple[str, ...]], prefix: tuple[str, ...] = ()) -> str:
