@@ -210,3 +210,88 @@ select page, row_number() over (partition by page order by h, row_) n, score fro
 def likert_from_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = P.staged(P.prepare(_DIG.pages(spark, sf_dir)), {"marks": marks.found()}, {"s": marks.likert()})
     return p.select("page", F.posexplode("s").alias("n", "score")).select("page", (F.col("n") + 1).cast("long").alias("n"), "score")
+
+
+def _pair(y: str, i: int, labels: tuple[str, str] = ("Yes", "No")) -> list[tuple[str, str, str, str, str, str]]:
+    """Two answer boxes beside a label, sometimes with labels, sometimes one only."""
+    return [
+        box(f"120 + k % {5 + i}", y, f"(k + {i}) % 3 = 0", texts(labels[0], "", labels[0], "Fever")), box(f"case when (k + {i}) % 6 > 0 then 160 + k % 4 end", f"{y} + k % 3", f"(k * 2 + {i}) % 5 < 2", texts(labels[1], "", labels[1]), kind="'radio'"),
+    ]
+
+
+_INTAKE = Template(
+    [
+        (texts("Sex:", "Gender", "Sex", "X"), "20 + k % 3 * 300", "40", "40"), *[(f"'{s}'", f"{140 + 60 * i} + k % 3 * 300 - k % 2 * 20", f"{38 + 3 * i} + k % 7", "30") for i, s in enumerate(intake.SEXES)],
+        (texts("Smoker", "smoker?", "Tobacco"), "20", "80", "40"), ("'Diabetic'", "20", "100", "40"), (texts("Is this work-related?", "Work related", "Work"), "20", "120", "80"), (texts("Auto accident?", "MVA", "Motor vehicle crash"), "20", "140", "80"),
+        (texts("Allergies", "Known allergies (check all that apply)", "Allergy list", "None"), "20", "170", "80"), *[(texts(a, a.upper(), a), f"{40 + 110 * (i % 2)}", f"{186 + 14 * (i // 2)} + k % 3", "60") for i, a in enumerate(intake.ALLERGIES)],
+        (texts("Current symptoms", "Symptoms", "Presenting symptoms:"), "330 - k % 2 * 10", "170", "90"), *[(f"case when (k + {i}) % 5 > 0 then '{s}' end", "360 - k % 11", f"{186 + 13 * i}", "70") for i, s in enumerate(intake.SYMPTOMS)], ("'cough'", "360", "330 + k % 9", "40"),
+        (texts("Claim type:", "claim types", "Type"), "20", "360", "60"),
+    ],
+    [
+        *[box(f"{125 + 60 * i} + k % 3 * 300 - k % 2 * 20", f"40 + (k + {i}) % 4 * 5", f"(k + {i}) % 4 = 0", texts(s, "", "x", s.lower(), ""), kind="'radio'") for i, s in enumerate(intake.SEXES)],
+        *[c for i, y in enumerate(("80", "100", "120", "140")) for c in _pair(y, i)],
+        *[box(f"{22 + 110 * (i % 2)} + k % 3", f"{187 + 14 * (i // 2)}", f"k % 5 > 0 and (k + {i}) % 3 = 0", texts("", a, "")) for i, a in enumerate(intake.ALLERGIES)],
+        *[box("342 - k % 13", f"{187 + 13 * i}", f"k % 4 > 0 and (k + {i}) % 4 = 0", texts("", s.upper(), "q")) for i, s in enumerate(intake.SYMPTOMS)],
+        *[box(f"{70 + 60 * i} + k % 5 * 60", "362 + k % 4 * 35", f"(k + {i}) % 5 = 0", f"'{c}'") for i, c in enumerate(intake.CLAIM_TYPES)],
+    ],
+)
+_IV = {n: P.variant(ts) for n, ts in intake.ANCHORS.items()}
+_IA = _INTAKE.anchors({n: tuple(t for t in ts if len(t) >= 4) for n, ts in _IV.items()}) + ", xv(name, k, v) as (values " + ", ".join(f"('{n}', {q}, '{t}')" for n, ts in _IV.items() for q, t in enumerate(ts)) + """), xa as (select page, name, arg_min(i, (k, i)) i from ln join xv on contains(lower(text), v) group by 1, 2),
+av as (select coalesce(x.name, n.name) as name, l.* from (select page, name, i from xa) x full join (select page, name, i from an) n on x.page = n.page and x.name = n.name join ln l on l.page = coalesce(x.page, n.page) and l.i = coalesce(x.i, n.i))"""
+
+
+def _near(name: str, dx: float, dy: float) -> str:
+    return f"select c.*, a.cy ay from av a join ct c on c.page = a.page and a.name = '{name}' and c.kind in ('checkbox', 'radio') and (c.cx < 306) = (a.cx < 306) and abs(c.cy - a.cy) <= {dy} and c.cx - a.x1 between -12 and {dx}"
+
+
+_OTHERS = tuple(intake.ALLERGIES + intake.SYMPTOMS + intake.CLAIM_TYPES + intake.SEXES)
+
+
+def _told(name: str, out: str, dx: float, dy: float) -> tuple[str, str]:
+    """Expressions of the closest row of an anchor's answer boxes, and the answers."""
+    cte = f"{name}_i as (select *, row_number() over (partition by page order by cx, i) n from ({_near(name, dx, dy)}) where label not in {_OTHERS}), {clusters(name + '_i', 6, name + '_c')}, {name}_l as (select page, arg_max(hs, n) hs from {name}_c_f group by page), {name}_b as (select page, arg_min(row_, (abs(hs[row_].h - ay), row_)) b from {name}_c join {name}_l using (page) join {name}_i using (page, i) group by page), {name}_r as (select i.page, row_number() over (partition by i.page order by x, i) n, selected, case label when 'Yes' then 'YES' when 'No' then 'NO' end label from {name}_i i join {name}_c c using (page, i) join {name}_b b using (page) where c.row_ = b.b)"
+    return cte, f"left join {_answer(f'select * from {name}_r', out)} using (page)"
+
+
+_TOLD = [_told("at_smoker", "smoker", 320, 26), _told("at_diabetic", "diabetic", 320, 26), _told("at_work", "work_related", 320, 26), _told("at_auto", "auto_accident", 220, 20)]
+
+
+def intakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.intake(P.prepare(_INTAKE.pages(spark, sf_dir)))
+
+
+@query(f"with recursive {_IA}, {', '.join(c for c, _ in _TOLD)} select page, smoker, diabetic, work_related, auto_accident from kk {' '.join(j for _, j in _TOLD)}")
+def intake_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intakes(spark, sf_dir).select("page", "smoker", "diabetic", "work_related", "auto_accident")
+
+
+_SEX_SQL = f"""sx as (select *, row_number() over (partition by page order by cx, i) n, row_number() over (partition by page order by x, i) - 1 px from ({_near("at_sex", 320, 26)})),
+sl as (select l.*, a.cy as acy, row_number() over (partition by l.page order by l.cy, l.i) n from ln l join av a on a.page = l.page and a.name = 'at_sex' and (l.cx < 306) = (a.x0 < 306)),
+sq(page, n, h, c, r) as (select page, n, cy, 1::bigint, 1::bigint from sl where n = 1 union all select q.page, l.n, case when abs(l.cy - q.h) <= 9 then (q.h * q.c + l.cy) / (q.c + 1) else l.cy end, case when abs(l.cy - q.h) <= 9 then q.c + 1 else 1 end, case when abs(l.cy - q.h) <= 9 then q.r else q.r + 1 end from sq q join sl l on l.page = q.page and l.n = q.n + 1),
+sr as (select page, r, arg_max(h, n) h from sq group by 1, 2), sb as (select s.page, s.i, arg_min(sr.r, (abs(sr.h - s.cy), sr.r)) r, min(abs(sr.h - s.cy)) d from sx s join sr on sr.page = s.page group by 1, 2),
+sw as (select s.page, s.i, arg_min(l.said, (l.x0 - s.cx, l.i)) said from sx s join sb on sb.page = s.page and sb.i = s.i and d <= 14 join sq on sq.page = s.page and sq.r = sb.r join sl l on l.page = s.page and l.n = sq.n where l.x0 - s.cx between 0 and 60 group by 1, 2),
+s1 as (select page, arg_min(coalesce(nullif(trim(label), ''), said), n) v from sx left join sw using (page, i) where selected and coalesce(nullif(trim(label), ''), said) in ('Male', 'Female', 'Other') group by page),
+s2 as (select page, {intake.SEXES}[min(px) filter (selected and px < 3) + 1] v from sx group by page), s3 as (select c.page, arg_min(label, case label when 'Male' then 0 when 'Female' then 1 else 2 end) v from ct c join av a on a.page = c.page and a.name = 'at_sex' where selected and label in ('Male', 'Female', 'Other') and abs(c.cy - a.cy) <= 30 group by 1),
+s5 as (select page, case when count(*) filter (selected and label in ('Male', 'Female', 'Other')) = 0 then 'Other' end v from sx group by page)"""
+
+
+@query(f"""with recursive {_IA}, {_SEX_SQL}, ca as (select page, min(i) i from ln where starts_with(lower(said), 'claim type') group by 1), cl as (select l.* from ca join ln l using (page, i)),
+c1 as (select c.page, arg_min(o, q) v from ct c join cl a on a.page = c.page join {_options(intake.CLAIM_TYPES)} on o = label where selected and (c.cx < 306) = (a.x0 < 306) and abs(c.cy - a.cy) < 120 and c.cx - a.x1 > -20 and c.cx - a.x1 < 260 group by 1),
+c2 as (select page, arg_min(o, q) v from ct join {_options(intake.CLAIM_TYPES)} on o = label where selected group by 1)
+select page, coalesce(s1.v, s2.v, s3.v, s5.v) sex, coalesce(c1.v, c2.v) claim_type from kk left join s1 using (page) left join s2 using (page) left join s3 using (page) left join s5 using (page) left join c1 using (page) left join c2 using (page)""")
+def intake_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intakes(spark, sf_dir).select("page", "sex", "claim_type")
+
+
+_BOX = "select b.page, b.o, b.q, b.li, arg_min(selected, (b.x0 - c.cx, c.i)) s from ({}) b join ct c on c.page = b.page and abs(c.cy - b.cy) <= 12 and b.x0 - c.cx between 0 and 35 {} group by 1, 2, 3, 4"
+
+
+@query(f"""with {_IA}, al as (select l.page, o, q, l.i li, l.x0, l.cy from av a join ln l on l.page = a.page and a.name = 'at_allergies' and l.cy - a.cy between 4 and 220 join {_options(intake.ALLERGIES)} on lower(l.said) = lower(o)),
+a1 as (select page, o, min(li) f from ({_BOX.format("select * from al", "")}) where s group by 1, 2), a1s as (select page, string_agg(o, ',' order by f) v from a1 group by 1), a2 as (select page, string_agg(distinct o, ',' order by o) v0, list(distinct {{q: q, o: o}}) l from ct join {_options(intake.ALLERGIES)} on o = label where selected group by 1),
+a2s as (select page, array_to_string(list_transform(list_sort(l), lambda zz: zz.o), ',') v from a2),
+sl as (select l.page, o, q, arg_min(l.i, (l.y0, l.i)) li, arg_min(l.x0, (l.y0, l.i)) x0, arg_min(l.cy, (l.y0, l.i)) cy, any_value(a.x0) ax from av a join ln l on l.page = a.page and a.name = 'at_symptoms' and (l.cx < 306) = (a.x0 < 306) and l.cy > a.cy join {_options(intake.SYMPTOMS)} on lower(l.said) = lower(o) group by 1, 2, 3),
+y1 as (select page, string_agg(o, ',' order by q) v from ({_BOX.format("select * from sl", "and (c.cx < 306) = (b.ax < 306)")}) where s group by 1),
+y2 as (select page, array_to_string(list_transform(list_sort(list(distinct {{q: q, o: o}})), lambda zz: zz.o), ',') v from ct join {_options(intake.SYMPTOMS)} on lower(o) = lower(label) where selected group by 1)
+select page, coalesce(a1s.v, a2s.v, '') allergies, coalesce(y1.v, y2.v, '') symptoms from kk left join a1s using (page) left join a2s using (page) left join y1 using (page) left join y2 using (page)""")
+def intake_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intakes(spark, sf_dir).select("page", F.array_join("allergies", ",").alias("allergies"), F.array_join("symptoms", ",").alias("symptoms"))
