@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The patterns of extracted entities.
+# The patterns of extracted entities, and of document types.
 PHONE = r"\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 CURRENCY = r"\$\d+(?:,\d{3})*(?:\.\d{2})?"
@@ -86,10 +87,19 @@ def doc_type(text: Column) -> Column:
     return reduce(lambda other, x: F.when(text.rlike(x[0]), x[1]).otherwise(other), reversed(DOC_TYPES), rest)
 
 
+def tokens_of(words: Column) -> Column:
+    """Words in lower case without signs; one that signs divide ("a-b") is one token."""
+    return F.filter(F.transform(words, lambda w: F.trim(F.lower(F.regexp_replace(w, "[^A-Za-z0-9]+", " ")))), lambda t: t != "")
+
+
 def header_tokens(text: Column, most: int) -> Column:
-    """The distinct ASCII words among the first ``most`` of a text."""
-    cleaned = F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
-    return F.array_distinct(F.slice(F.filter(F.split(cleaned, " "), lambda w: w != ""), 1, most))
+    """The distinct tokens among the first ``most`` of a text."""
+    return F.array_distinct(F.slice(tokens_of(F.split(text, r"\s+")), 1, most))
+
+
+def top_tokens(words: Column, height: float = 108) -> Column:
+    """The tokens of words (word, y0) that begin in the top of a page."""
+    return tokens_of(F.transform(F.filter(words, lambda w: w["y0"] <= height), lambda w: w["word"]))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -98,7 +108,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-
 def service_date(text: Column) -> Column:
     """The date that most looks like one of service, or null.
 
@@ -107,18 +116,24 @@ def service_date(text: Column) -> Column:
     in the first 500 characters gives 3; the first of the best counts, if its
     score isn't negative.
     """
-    low = F.lower(text)
 
-    def scored(d: Column, i: Column) -> Column:
-        at = F.instr(low, d) - 1
+    def placed(d: Column, i: Column) -> Column:
+        at = F.instr(text, d) - 1
         begin = F.greatest(at - 35, F.lit(0))
-        window = F.substring(low, begin + 1, at + F.length(d) + 10 - begin)
-        any_of = lambda words: reduce(lambda a, b: a | b, (F.contains(window, F.lit(w)) for w in words))
-        score = F.when(any_of(SERVICE_WORDS), 10).otherwise(0) - F.when(any_of(OTHER_WORDS), 20).otherwise(0) + F.when(at < 500, 3).otherwise(0)
-        return F.struct(score.alias("score"), (-i).alias("first"), d.alias("date"))
+        return F.struct(d.alias("date"), i.alias("i"), at.alias("at"), F.lower(F.substring(text, begin + 1, at + F.length(d) + 10 - begin)).alias("near"))
+
+    def scored(p: Column) -> Column:
+        score = F.when(p["near"].rlike(_any(SERVICE_WORDS)), 10).otherwise(0) - F.when(p["near"].rlike(_any(OTHER_WORDS)), 20).otherwise(0) + F.when(p["at"] < 500, 3).otherwise(0)
+        return F.struct(score.alias("score"), (-p["i"]).alias("first"), p["date"].alias("date"))
+
+    # a lambda's variable is computed once: places first, then their scores
+    places = F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(1)), placed)
+    best = F.transform(F.array(F.array_max(F.transform(places, scored))), lambda s: F.when(s["score"] >= 0, s["date"]))
+    return F.get(best, F.lit(0))
+
 
-    best = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(1)), scored))
-    return F.when(best["score"] >= 0, best["date"])
+def _any(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(w) for w in words)
 
 
 def page_kind(text: Column) -> Column:

@@ -19,8 +19,7 @@ SIGNATURES = {
 }
 
 
-def _best(text: Column) -> Column:
-    low = F.translate(F.lower(text), "‘’“”", "''\"\"")
+def _best(low: Column) -> Column:
     scored = []
     for kind, (priority, phrases) in SIGNATURES.items():
         hits = reduce(lambda a, b: a + b, (F.contains(low, F.lit(p)).cast("int") for p in phrases))
@@ -31,6 +30,8 @@ def _best(text: Column) -> Column:
 def classify(pages: DataFrame, text_col: str = "text") -> DataFrame:
     """``pages`` with form_type and confidence: the type with the largest share
     of its phrases, then the highest priority; "unknown" (0) without any."""
-    best = pages.withColumn("_best", _best(F.coalesce(F.col(text_col), F.lit(""))))
+    low = F.translate(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "‘’“”", "''\"\"")
+    # never copied into the tests of phrases, as it depends on the partition in form
+    best = pages.withColumn("_low", F.when(F.spark_partition_id() >= 0, low)).withColumn("_best", _best(F.col("_low"))).drop("_low")
     out = best.withColumn("form_type", F.coalesce("_best.kind", F.lit("unknown")))
     return out.withColumn("confidence", F.coalesce(F.bround("_best.conf", 3), F.lit(0.0))).drop("_best")

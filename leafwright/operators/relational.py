@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,22 +18,59 @@ def search_field(documents: DataFrame, fields: DataFrame, name: str, like: str |
 
 
 def breakdown(documents: DataFrame) -> DataFrame:
-    """Documents and mean confidence (in percent) per form type."""
+    """Documents, mean confidence (in percent) and mean time per form type."""
     mean = F.round(F.avg(F.col("confidence").cast("decimal(18,4)")) * 100, 2).cast("double")
-    return documents.groupBy("form_type").agg(F.count("*").alias("documents"), mean.alias("confidence_pct"))
+    ms = F.round(F.avg(F.col("processing_time_ms").cast("decimal(18,4)"))).cast("double")
+    return documents.groupBy("form_type").agg(F.count("*").alias("documents"), mean.alias("confidence_pct"), ms.alias("mean_ms"))
 
 
-def stats(documents: DataFrame, service_lines: DataFrame, diagnoses: DataFrame) -> DataFrame:
-    """One row of totals."""
-    d = documents.agg(F.count("*").alias("documents"), F.countDistinct("form_type").alias("form_types"))
-    s = service_lines.agg(F.count("*").alias("service_lines"))
-    # each side is one row
-    return d.crossJoin(s).crossJoin(diagnoses.agg(F.countDistinct("icd10_code").alias("codes")))
+def stats(documents: DataFrame, service_lines: DataFrame, diagnoses: DataFrame, index: DataFrame) -> DataFrame:
+    """One row of totals, with the documents of each type, the most first."""
+    kinds = documents.groupBy("form_type").agg(F.count("*").alias("n"))
+    each = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "form_type", "n")))
+    # a few form types; each side is one row
+    d = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.count("*").alias("form_types"), F.transform(each, lambda s: F.struct(s["form_type"].alias("form_type"), s["n"].alias("n"))).alias("by_type"))
+    s, i = service_lines.agg(F.count("*").alias("service_lines")), index.agg(F.count("*").alias("index_entries"))
+    return d.crossJoin(s).crossJoin(i).crossJoin(diagnoses.agg(F.countDistinct("icd10_code").alias("codes")))
 
 
-def shred(documents: DataFrame, names: list[str]) -> DataFrame:
-    """(document_id, field_name, field_value, field_type), one row per field;
-    a null field has none."""
+#: Keys of a record that are no fields.
+NO_FIELDS = ("form_type", "extraction_mode", "stats", "enriched_via_generic", "service_lines", "diagnoses", "marks_detected", "overlays_detected")
+
+
+def _kind(type_name: str) -> str:
+    if type_name.startswith(("array", "struct", "map", "variant")):
+        return "json"
+    if type_name == "boolean":
+        return "boolean"
+    return "numeric" if type_name.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")) else "text"
+
+
+def shred(documents: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(document_id, field_name, field_value, field_type), one row per named
+    field, or per column but the id and those of ``NO_FIELDS``.  A null field
+    has a null value and is text, as its type can't be told from it; nested
+    values are JSON."""
     kinds = dict(documents.dtypes)
-    values = F.array(*(F.struct(F.lit(n).alias("field_name"), F.col(n).cast("string").alias("field_value"), F.lit({"string": "text", "boolean": "boolean"}.get(kinds[n], "numeric")).alias("field_type")) for n in names))
-    return documents.select(F.col("id").alias("document_id"), F.explode(values).alias("f")).select("document_id", "f.*").where("field_value is not null")
+    names = [c for c in documents.columns if c != "id" and c not in NO_FIELDS] if names is None else names
+
+    def value(n: str) -> Column:
+        kind = _kind(kinds[n])
+        shown = F.to_json(n) if kind == "json" else F.initcap(F.col(n).cast("string")) if kind == "boolean" else F.col(n).cast("string")
+        return F.struct(F.lit(n).alias("field_name"), shown.alias("field_value"), F.when(F.col(n).isNull(), "text").otherwise(kind).alias("field_type"))
+
+    return documents.select(F.col("id").alias("document_id"), F.explode(F.array(*map(value, names))).alias("f")).select("document_id", "f.*")
+
+
+def lenient_number(text: Column) -> Column:
+    """The number that a text begins with, 0 where it begins with none."""
+    return F.when(text.isNotNull(), F.coalesce(F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double"), F.lit(0.0)))
+
+
+def listed(documents: DataFrame, form_type: str | None = None) -> DataFrame:
+    """All documents, or those of one type, the latest first; an empty type is none."""
+    return (documents.where(F.col("form_type") == form_type) if form_type else documents).orderBy(F.desc("extracted_at"))
+
+
+def by_ids(documents: DataFrame, ids: list[int]) -> DataFrame:
+    return documents.where(F.col("id").isin(ids))

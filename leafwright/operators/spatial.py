@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 
 def label_controls(controls: DataFrame, lines: DataFrame, band: float = 12, reach: float = 80) -> DataFrame:
-    """Each control (page, ctrl, x, y, edge) with its label: among lines
-    (page, line, lx, lcx, ly, text) of its band, the nearest one that begins
-    within ``reach`` right of it, else the one with the nearest centre."""
-    gap = F.col("lx") - F.col("edge")
+    """Each control (page, ctrl, x, y), x and y its centre, with its label:
+    among lines (page, line, lx, lcx, ly, text) of its band, the nearest one
+    that begins within ``reach`` right of its centre, else the one with the
+    nearest centre."""
+    gap = F.col("lx") - F.col("x")
     ahead = gap.between(0, reach)
     rank = F.struct(F.when(ahead, 0).otherwise(1), F.when(ahead, gap).otherwise(F.abs(F.col("lcx") - F.col("x"))), F.col("line"))
     near = controls.join(lines, "page").where(F.abs(F.col("ly") - F.col("y")) <= band)
@@ -23,10 +24,11 @@ def label_controls(controls: DataFrame, lines: DataFrame, band: float = 12, reac
 
 
 def text_right(lines: DataFrame, anchor: Column, most_dx: float, most_dy: float = 4) -> DataFrame:
-    """(page, line, value): the nearest text in the band right of each anchor."""
-    a = lines.where(anchor).select("page", F.col("line").alias("anchor"), F.col("right").alias("ax"), F.col("ly").alias("ay"))
+    """(page, anchor, value): the nearest text in the band right of each anchor;
+    a text with a colon is a label, unless the anchor has one as well."""
+    a = lines.where(anchor).select("page", F.col("line").alias("anchor"), F.col("right").alias("ax"), F.col("ly").alias("ay"), F.contains("text", F.lit(":")).alias("labelled"))
     dx = F.col("lx") - F.col("ax")
-    near = a.join(lines, "page").where(dx.between(0, most_dx) & (F.abs(F.col("ly") - F.col("ay")) <= most_dy) & (F.col("line") != F.col("anchor")))
+    near = a.join(lines, "page").where(dx.between(0, most_dx) & (F.abs(F.col("ly") - F.col("ay")) <= most_dy) & (F.col("line") != F.col("anchor")) & (F.col("labelled") | ~F.contains("text", F.lit(":"))))
     return near.groupBy("page", "anchor").agg(F.min_by("text", F.struct(dx, F.col("line"))).alias("value"))
 
 

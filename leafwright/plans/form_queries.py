@@ -65,9 +65,9 @@ def first_checkbox_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.box_left_of_label(V.lines(spark, sf_dir), V.controls(spark, sf_dir), 60, 20, nearest=False)
 
 
-@query(f"with {_TXT} select a.page, a.line anchor, arg_min(b.text, b.line) as value from txt a join txt b on a.page = b.page and b.ly > a.ly and b.ly <= a.ly + 40 and b.lx between a.lx - 5 and a.lx + 200 where a.line % 3 = 0 group by 1, 2")
+@query(f"with {_TXT} select a.page, a.line anchor, arg_min(b.text, b.line) as value from txt a join txt b on a.page = b.page and b.ly > a.ly and b.ly <= a.ly + 40 and b.lx between a.lx - 5 and a.lx + 200 group by 1, 2")
 def text_below_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.text_below(V.lines(spark, sf_dir), F.col("line") % 3 == 0, 40)
+    return layout.text_below(V.lines(spark, sf_dir), F.lit(True), 40)
 
 
 @query(f"with {_CTRL}, {_TXT}, n as (select c.page, ctrl anchor, line span, row_number() over (partition by c.page, ctrl order by ly - y + abs(lx - x) * 0.1::double, line) r from ctrl c join txt t on c.page = t.page and ly - y between 0 and 50 and abs(lx - x) <= 60) select page, anchor, span from n where r = 1")

@@ -25,7 +25,7 @@ def query(sql: str) -> Callable[[Query], Query]:
 
 
 # Views in SQL, as in the sources.
-_DOCS = "docs as (select o_orderkey id, 'doc_' || o_orderkey || '.pdf' file_name, 'form' || (o_orderkey % 8) form_type, (o_orderkey % 40 + 60) / 100.0::double confidence, strftime(o_orderdate, '%Y-%m-%d') extracted_at from orders)"
+_DOCS = "docs as (select o_orderkey id, 'doc_' || o_orderkey || '.pdf' file_name, 'form' || (o_orderkey % 8) form_type, (o_orderkey % 40 + 60) / 100.0::double confidence, strftime(o_orderdate, '%Y-%m-%d') extracted_at, (o_orderkey % 1000 + 0.25)::double processing_time_ms from orders)"
 _DX = "dx as (select l_orderkey document_id, l_linenumber as position, substr('ABCDEFGHIJKLMNOPQRSTVWXYZ', (l_partkey % 25 + 1)::int, 1) || (l_partkey % 90 + 10) icd10_code from lineitem)"
 _LINES = r"forms as (select o_orderkey id, concat_ws(chr(10), 'Patient Name: Person ' || o_orderkey, 'Date of Service: ' || strftime(o_orderdate, '%m/%d/%Y'), 'NPI: ' || lpad(o_orderkey::varchar, 10, '0'), 'Total: $' || (o_orderkey % 900 + 100) || '.50 of $20.00', 'SSN 123-45-' || lpad((o_orderkey % 10000)::varchar, 4, '0'), 'Dx M' || (o_orderkey % 90 + 10) || '.2 and S13.4', (['progress note', 'MRI of knee', 'plain', 'surgery'])[(o_orderkey % 4 + 1)::int]) as text from orders)"
 _BUNDLES = "pages_ as (select user_id bundle, event_id page, case event_type when 'click' then 'A' when 'purchase' then 'B' when 'signup' then 'C' end provider, case when event_id % 3 <> 0 then strftime(ts, '%m/%d/%Y') end dos, case when event_type <> 'view' then event_type end as type, event_type = 'error' as is_separator from events)"
@@ -59,7 +59,7 @@ def classify_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify(V.pages(spark, sf_dir)).select("id", "form_type", "confidence")
 
 
-@query(f"with {_DOCS} select form_type, count(*) documents, round(avg(confidence::decimal(18,4)) * 100, 2)::double confidence_pct from docs group by 1")
+@query(f"with {_DOCS} select form_type, count(*) documents, round(avg(confidence::decimal(18,4)) * 100, 2)::double confidence_pct, round(avg(processing_time_ms::decimal(18,4)))::double mean_ms from docs group by 1")
 def form_type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.breakdown(V.documents(spark, sf_dir))
 
@@ -74,20 +74,37 @@ def search_by_cpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.search_child(V.documents(spark, sf_dir), V.service_lines(spark, sf_dir), "cpt_code", "10042").select("id", "file_name", "charge", "date_of_service")
 
 
-@query(f"with {_DOCS} select id, file_name, c_name field_value from orders join customer on o_custkey = c_custkey join docs on o_orderkey = id where c_name ilike '%CUSTOMER#%7'")
+@query(f"with {_DOCS} select id, file_name, c_name field_value from orders join customer on o_custkey = c_custkey join docs on o_orderkey = id where c_name ilike '%CUSTOMER#%'")
 def search_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, f = V.documents(spark, sf_dir), V.fields(spark, sf_dir)
-    return relational.search_field(d, f, "patient_name", "customer#").where(F.col("field_value").endswith("7")).select("id", "file_name", "field_value")
+    return relational.search_field(d, f, "patient_name", "customer#").select("id", "file_name", "field_value")
 
 
-@query(f"with {_DOCS}, {_DX} select (select count(*) from docs) documents, (select count(distinct form_type) from docs) form_types, (select count(*) from lineitem) service_lines, (select count(distinct icd10_code) from dx) codes")
+@query(f"""with {_DOCS}, {_DX}, g as (select form_type, count(*) n from docs group by 1) select (select sum(n)::bigint from g) documents, (select count(*) from g) form_types, (select string_agg(form_type || '=' || n, ',' order by n desc, form_type) from g) by_type, (select count(*) from lineitem) service_lines, (select count(*) from events) index_entries, (select count(distinct icd10_code) from dx) codes""")
 def db_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.stats(V.documents(spark, sf_dir), V.service_lines(spark, sf_dir), V.diagnoses(spark, sf_dir))
+    s = relational.stats(V.documents(spark, sf_dir), V.service_lines(spark, sf_dir), V.diagnoses(spark, sf_dir), V.table(spark, sf_dir, "events"))
+    return s.withColumn("by_type", F.expr("array_join(transform(by_type, x -> concat(x.form_type, '=', x.n)), ',')"))
 
 
-@query(f"with {_DOCS} select id document_id, 'file_name' field_name, file_name field_value, 'text' field_type from docs union all select id, 'extracted_at', extracted_at, 'text' from docs union all select id, 'id', id::varchar, 'numeric' from docs")
+@query(f"""with {_DOCS} select id document_id, 'file_name' field_name, case when id % 5 > 0 then file_name end field_value, 'text' field_type from docs union all select id, 'confidence', case when id % 3 > 0 then (id % 40)::varchar end, case when id % 3 > 0 then 'numeric' else 'text' end from docs
+union all select id, 'flag', case when id % 2 = 0 then 'True' else 'False' end, 'boolean' from docs union all select id, 'codes', case when id % 7 > 0 then '["A' || id || '","B"]' end, case when id % 7 > 0 then 'json' else 'text' end from docs union all select id, 'seen', extracted_at, 'text' from docs""")
 def shred_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.shred(V.documents(spark, sf_dir), ["file_name", "extracted_at", "id"])
+    d, k = V.documents(spark, sf_dir), F.col("id")
+    return relational.shred(d.select(
+        "id", F.when(k % 5 > 0, F.col("file_name")).alias("file_name"), F.when(k % 3 > 0, k % 40).alias("confidence"), (k % 2 == 0).alias("flag"), F.when(k % 7 > 0, F.array(F.concat(F.lit("A"), k.cast("string")), F.lit("B"))).alias("codes"),
+        F.to_date("extracted_at").alias("seen"), F.lit("x").alias("form_type"), F.array(F.lit(1)).alias("diagnoses"),
+    ))
+
+
+@query(f"with {_DOCS} select id, file_name, extracted_at from docs where form_type = 'form3'")
+def documents_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.listed(V.documents(spark, sf_dir), "form3").select("id", "file_name", "extracted_at")
+
+
+@query("with t as (select o_orderkey id, case o_orderkey % 6 when 0 then ' 12.5 USD' when 1 then 'n/a' when 2 then '-3e2x' when 3 then null when 4 then '.5.1' else o_orderkey || 'a' end v from orders) select id, case when v is not null then coalesce(try_cast(regexp_extract(v, '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', 1) as double), 0.0::double) end amount from t")
+def lenient_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.expr("case cast(o_orderkey % 6 as int) when 0 then ' 12.5 USD' when 1 then 'n/a' when 2 then '-3e2x' when 3 then null when 4 then '.5.1' else concat(o_orderkey, 'a') end")
+    return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), relational.lenient_number(v).alias("amount"))
 
 
 @query(f"with {_LINES}, l as (select id, unnest(string_split(text, chr(10))) line from forms) select id, regexp_extract(trim(line), '^([A-Z][A-Za-z ]+):', 1) as key, regexp_extract(trim(line), ': (.*)$', 1) as value from l where line like '%: %'")
@@ -97,10 +114,12 @@ def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("id", F.regexp_extract(line, T.KEY_VALUE, 1).alias("key"), F.regexp_extract(line, T.KEY_VALUE, 2).alias("value"))
 
 
-@query(f"with {_LINES} select id, 'M' || (id % 90 + 10) || '.2,S13.4' icd10, case when id % 900 + 100 > 20 then '$' || (id % 900 + 100) || '.50,$20.00' end amounts, '***-**-' || lpad((id % 10000)::varchar, 4, '0') ssn, lpad(id::varchar, 10, '0') npi from forms")
+@query(rf"""with {_LINES} select id, 'M' || (id % 90 + 10) || '.2,S13.4' icd10, case when id % 900 + 100 > 20 then '$' || (id % 900 + 100) || '.50,$20.00' end amounts, '***-**-' || lpad((id % 10000)::varchar, 4, '0') ssn,
+array_to_string(regexp_extract_all(text || case when id % 2 = 0 then ' npi 1234567890 NPI: 2234567890 NPI#3234567890' else '' end, '(?i)\bNPI[:\s#]*(\d{{10}})\b', 1)[1:3], ',') npi from forms""")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, join = F.col("text"), lambda c: F.array_join(c, ",")
-    return V.form_lines(spark, sf_dir).select("id", join(T.icd10(text)).alias("icd10"), join(T.amounts(text)).alias("amounts"), join(T.masked_ssns(text)).alias("ssn"), F.regexp_extract(text, T.NPI, 1).alias("npi"))
+    more = F.concat(text, F.when(F.col("id") % 2 == 0, " npi 1234567890 NPI: 2234567890 NPI#3234567890").otherwise(""))
+    return V.form_lines(spark, sf_dir).select("id", join(T.icd10(text)).alias("icd10"), join(T.amounts(text)).alias("amounts"), join(T.masked_ssns(text)).alias("ssn"), join(T.npis(more)).alias("npi"))
 
 
 @query(f"with p as (select doc_id, {_PHONES} a from documents), u as (select doc_id, unnest(a) s, generate_subscripts(a, 1) i from p), f as (select doc_id, s, min(i) i from u group by 1, 2), r as (select *, row_number() over (partition by doc_id order by i) n from f) select doc_id, string_agg(s, ',' order by n) phones from r where n <= 5 group by 1")
@@ -133,7 +152,7 @@ def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.split_segments(V.bundles(spark, sf_dir))
 
 
-@query(r"""with t as (select source bundle, doc_id page, list_distinct(list_filter(string_split(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))), ' '), lambda w: w <> '')[1:20]) tokens from documents),
+@query(r"""with t as (select source bundle, doc_id page, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: trim(lower(regexp_replace(w, '[^A-Za-z0-9]+', ' ', 'g')))), lambda w: w <> '')[1:20]) tokens from documents),
 p as (select *, lag(tokens) over (partition by bundle order by page) prev from t)
 select bundle, page, round(case when len(tokens) + len(prev) = 0 then 1.0::double else len(list_intersect(tokens, prev))::double / len(list_distinct(list_concat(tokens, prev))) end, 6) similarity from p where prev is not null""")
 def header_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,14 +166,15 @@ def table_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.islands(e, "doc", "row_", "cells")
 
 
-@query(f"with {_CTRL}, {_TXT}, n as (select c.page, ctrl, text, row_number() over (partition by c.page, ctrl order by case when lx - c.rgt between 0 and 80 then 0 else 1 end, case when lx - c.rgt between 0 and 80 then lx - c.rgt else abs(lcx - x) end, line) r from ctrl c join txt t on c.page = t.page and abs(ly - y) <= 12) select c.page, c.ctrl, text as label from ctrl c left join n on c.page = n.page and c.ctrl = n.ctrl and r = 1")
+@query(f"with {_CTRL}, {_TXT}, n as (select c.page, ctrl, text, row_number() over (partition by c.page, ctrl order by case when lx - x between 0 and 80 then 0 else 1 end, case when lx - x between 0 and 80 then lx - x else abs(lcx - x) end, line) r from ctrl c join txt t on c.page = t.page and abs(ly - y) <= 12) select c.page, c.ctrl, text as label from ctrl c left join n on c.page = n.page and c.ctrl = n.ctrl and r = 1")
 def label_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.label_controls(V.controls(spark, sf_dir), V.lines(spark, sf_dir)).select("page", "ctrl", "label")
 
 
-@query(f"with {_TXT}, n as (select a.page, a.line anchor, b.text, row_number() over (partition by a.page, a.line order by b.lx - a.rgt, b.line) r from txt a join txt b on a.page = b.page and a.line <> b.line and b.lx - a.rgt between 0 and 200 and abs(b.ly - a.ly) <= 15 where a.line % 3 = 0) select page, anchor, text as value from n where r = 1")
+@query(f"with {_TXT}, tx as (select * replace (case when line % 4 = 0 then text || ':' else text end as text) from txt), n as (select a.page, a.line anchor, b.text, row_number() over (partition by a.page, a.line order by b.lx - a.rgt, b.line) r from tx a join tx b on a.page = b.page and a.line <> b.line and b.lx - a.rgt between 0 and 200 and abs(b.ly - a.ly) <= 15 and (not contains(b.text, ':') or contains(a.text, ':'))) select page, anchor, text as value from n where r = 1")
 def nearest_text_right(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.text_right(V.lines(spark, sf_dir), F.col("line") % 3 == 0, 200, 15)
+    labelled = F.when(F.col("line") % 4 == 0, F.concat("text", F.lit(":"))).otherwise(F.col("text"))
+    return spatial.text_right(V.lines(spark, sf_dir).withColumn("text", labelled), F.lit(True), 200, 15)
 
 
 @query(f"with {_CTRL}, {_TXT}, n as (select c.page, ctrl point, line mark, row_number() over (partition by c.page, ctrl order by (lx - x) ** 2 + (ly - y) ** 2, line) r from ctrl c join txt t on c.page = t.page and (lx - x) ** 2 + (ly - y) ** 2 < 1600) select page, point, mark from n where r = 1")

@@ -23,11 +23,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, file_name, form_type, confidence, extracted_at)."""
+    """(id, file_name, form_type, confidence, extracted_at, processing_time_ms)."""
     kinds = F.array(*(F.lit(f"form{i}") for i in range(8)))
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("doc_"), F.col("o_orderkey"), F.lit(".pdf")).alias("file_name"), F.element_at(kinds, (F.col("o_orderkey") % 8 + 1).cast("int")).alias("form_type"),
-        ((F.col("o_orderkey") % 40 + 60) / 100).alias("confidence"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("extracted_at"),
+        ((F.col("o_orderkey") % 40 + 60) / 100).alias("confidence"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("extracted_at"), (F.col("o_orderkey") % 1000 + 0.25).cast("double").alias("processing_time_ms"),
     )
 
 
