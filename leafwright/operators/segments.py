@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,53 +17,114 @@ def header_similarity(pages: DataFrame, bundle: str = "bundle", page: str = "pag
 
 
 def index_segments(pages: DataFrame) -> DataFrame:
-    """Segments of (bundle, page, provider, dos, is_separator): one starts at a
-    bundle's first page, at and after a separator, where the provider changes,
-    and where a page with a provider states another date of service.
+    """Segments of (bundle, page, provider, dos, doc_type, is_separator,
+    is_cover): one starts at a bundle's first page, at and after a separator or
+    cover, where the provider changes, and where a page with a provider states
+    another date of service.
 
     A page without a provider continues the one before it.  A segment has the
-    provider and date of its last page.
+    provider and date of its last page; its type is the last one stated after
+    its head, plain clinical notes apart, else that of its head.
     """
     order = W.partitionBy("bundle").orderBy("page")
     so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     first = F.row_number().over(order) == 1
-    p = pages.withColumn("sep", F.col("is_separator") & ~first)
-    p = p.withColumn("prov", F.coalesce(F.last(F.when(~F.col("sep"), F.col("provider")), ignorenulls=True).over(so_far), F.lit("Unknown")))
-    turn = first | F.col("sep") | F.coalesce(F.lag("sep").over(order), F.lit(False)) | ~F.col("prov").eqNullSafe(F.lag("prov").over(order))
-    p = p.withColumn("turn", turn).withColumn("run", F.sum(turn.cast("int")).over(so_far))
+    p = pages.withColumn("sep", (F.col("is_separator") | F.col("is_cover")) & ~first)
+    p = p.withColumn("prov", F.coalesce(F.last("provider", ignorenulls=True).over(so_far), F.lit("Unknown")))
+    p = p.withColumn("fresh", first | (~F.col("sep") & ~F.col("prov").eqNullSafe(F.lag("prov").over(order))))
+    p = p.withColumn("turn", F.col("fresh") | F.col("sep") | F.coalesce(F.lag("sep").over(order), F.lit(False))).withColumn("run", F.sum(F.col("turn").cast("int")).over(so_far))
     within = W.partitionBy("bundle", "run").orderBy("page")
     until = within.rowsBetween(W.unboundedPreceding, W.currentRow)
     strong = F.when((F.col("provider").isNotNull() | F.col("turn")) & ~F.col("sep"), F.col("dos"))
     weak = F.when(F.col("provider").isNull() & ~F.col("turn") & ~F.col("sep"), F.col("dos"))
     p = p.withColumn("cur_dos", F.coalesce(F.last(strong, ignorenulls=True).over(until), F.first(weak, ignorenulls=True).over(until)))
     before = F.lag("cur_dos").over(within)
-    other = F.col("provider").isNotNull() & F.col("dos").isNotNull() & ~F.col("dos").eqNullSafe(before)
-    p = p.withColumn("segment", F.sum((F.col("turn") | other).cast("int")).over(so_far))
+    p = p.withColumn("other", ~F.col("sep") & F.col("provider").isNotNull() & F.col("dos").isNotNull() & ~F.col("dos").eqNullSafe(before))
+    starts = F.col("turn") | F.col("other")
+    p = p.withColumn("starts", starts).withColumn("segment", F.sum(starts.cast("int")).over(so_far))
+    hard, kind = F.col("fresh") | F.col("other"), F.col("doc_type")
+    told = F.when(kind.isNotNull() & (kind != "Clinical Note") & ~(F.col("starts") & hard), F.struct("page", "doc_type"))
     last = lambda c: F.max_by(c, "page")
-    g = p.groupBy("bundle", "segment").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.count("*").alias("page_count"), last("prov").alias("provider"), last("cur_dos").alias("dos"), F.max("sep").alias("is_separator"))
-    return g.withColumn("dos", F.when(~F.col("is_separator"), F.col("dos")))
+    g = p.groupBy("bundle", "segment").agg(
+        F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.count("*").alias("page_count"), last("prov").alias("provider"), last("cur_dos").alias("dos"), F.max("sep").alias("is_separator"),
+        F.max(F.col("is_cover") & F.col("sep")).alias("cover"), F.max(told).alias("told"), F.max(F.when(F.col("starts") & hard, kind)).alias("head"),
+    )
+    kinds = F.when(F.col("is_separator"), F.when(F.col("cover"), "Cover Sheet").otherwise("Separator")).otherwise(F.coalesce("told.doc_type", "head", F.lit("Unknown")))
+    return g.withColumn("dos", F.when(~F.col("is_separator"), F.col("dos"))).withColumn("doc_type", kinds).drop("cover", "told", "head")
 
 
-def split_segments(pages: DataFrame) -> DataFrame:
-    """Parts of (bundle, page, type, is_separator): one starts at the first
-    page, at and after a separator, and where a stated type differs from the
-    last stated one."""
+def split_segments(pages: DataFrame, threshold: float = 0.2, hysteresis: int = 1) -> DataFrame:
+    """Parts of (bundle, page, type, is_separator, tokens): one starts at the
+    first page, at and after a separator, where a stated type differs from the
+    last stated one, and where headers have been unlike the ones before for
+    ``hysteresis`` pages in a row; then from the first of these on.
+
+    With a hysteresis of 1 windows say it all; a longer one has a state, and
+    the pages of a bundle are folded in order.
+    """
     order = W.partitionBy("bundle").orderBy("page")
     so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     first = F.row_number().over(order) == 1
-    p = pages.withColumn("sep", F.col("is_separator") & ~first)
-    event = F.when(F.col("sep"), F.struct(F.lit(None).cast("string").alias("t"))).when(F.col("type").isNotNull(), F.struct(F.col("type").alias("t")))
+    p = header_similarity(pages).withColumn("sep", F.col("is_separator") & ~first).withColumn("unlike", ~first & (F.col("similarity") < threshold))
+    if hysteresis > 1:
+        return _parts(p, hysteresis)
+    none = F.struct(F.lit(None).cast("string").alias("t"))
+    event = F.when(F.col("sep"), none).when(F.col("type").isNotNull(), F.struct(F.col("type").alias("t"))).when(F.col("unlike"), none)
     p = p.withColumn("cur", F.last(event, ignorenulls=True).over(so_far)["t"])
-    start = first | F.col("sep") | F.coalesce(F.lag("sep").over(order), F.lit(False)) | (F.col("type").isNotNull() & ~F.col("type").eqNullSafe(F.lag("cur").over(order)))
+    start = first | F.col("sep") | F.coalesce(F.lag("sep").over(order), F.lit(False)) | (F.col("type").isNotNull() & ~F.col("type").eqNullSafe(F.lag("cur").over(order))) | F.col("unlike")
     p = p.withColumn("part", F.sum(start.cast("int")).over(so_far))
     g = p.groupBy("bundle", "part").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.max("sep").alias("is_separator"), F.max_by("cur", "page").alias("cur"))
     return g.select("bundle", "part", "start_page", "end_page", F.when(F.col("is_separator"), "separator").otherwise(F.col("cur")).alias("type"))
 
 
+def _parts(pages: DataFrame, hysteresis: int) -> DataFrame:
+    bundle = pages.schema["bundle"].dataType.simpleString()
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("page")
+        number, kinds, seps, unlike = (pdf[c].tolist() for c in ("page", "type", "sep", "unlike"))
+        out, start, kind, run = [], 0, kinds[0], 0
+
+        def cut(last: int, kind: str | None) -> int:
+            if last >= start:
+                out.append((key[0], number[start], number[last], kind))
+            return last + 1
+
+        for i in range(1, len(number)):
+            if seps[i]:
+                start = cut(i - 1, kind)
+                start, kind, run = cut(i, "separator"), None, 0
+            elif kinds[i] is not None and kinds[i] != kind:
+                start, kind, run = cut(i - 1, kind), kinds[i], 0
+            else:
+                run = run + 1 if unlike[i] else 0
+                if run >= hysteresis:
+                    start, kind, run = cut(i - hysteresis, kind), kinds[i], 0
+        cut(len(number) - 1, kind)
+        rows = [(b, n, s, e, k) for n, (b, s, e, k) in enumerate(out, 1)]
+        return pd.DataFrame(rows, columns=["bundle", "part", "start_page", "end_page", "type"])
+
+    # pages of one bundle, without their texts
+    slim = pages.select("bundle", "page", "type", "sep", F.coalesce("unlike", F.lit(False)).alias("unlike"))
+    return slim.groupBy("bundle").applyInPandas(fold, f"bundle {bundle}, part long, start_page long, end_page long, type string")
+
+
 def provider_summary(segments: DataFrame) -> DataFrame:
-    """Segments, pages and dates of service of each bundle's providers."""
+    """Segments, pages, dates of service and encounters (dos, doc_type, pages,
+    page_count) by date, of each bundle's providers."""
     s = segments.where(~F.col("is_separator"))
-    return s.groupBy("bundle", "provider").agg(F.count("*").alias("encounters"), F.sum("page_count").alias("pages"), F.array_join(F.array_sort(F.collect_set("dos")), ",").alias("dates"))
+    spread = F.concat_ws("-", "start_page", "end_page")
+    each = F.array_sort(F.collect_list(F.struct(F.coalesce("dos", F.lit("")).alias("by"), "start_page", "dos", "doc_type", spread.alias("pages"), "page_count")))
+    return s.groupBy("bundle", "provider").agg(
+        F.count("*").alias("encounters"), F.sum("page_count").alias("pages"), F.array_join(F.array_sort(F.collect_set("dos")), ",").alias("dates"),
+        F.transform(each, lambda e: e.dropFields("by", "start_page")).alias("visits"),
+    )
+
+
+def index_totals(segments: DataFrame) -> DataFrame:
+    """(bundle, total_pages, total_segments, provider_count, encounter_count)."""
+    real = ~F.col("is_separator")
+    return segments.groupBy("bundle").agg(F.sum("page_count").alias("total_pages"), F.count("*").alias("total_segments"), F.countDistinct(F.when(real, F.col("provider"))).alias("provider_count"), F.count_if(real).alias("encounter_count"))
 
 
 def islands(rows: DataFrame, group: str, order: str, cells: str, least_cells: int = 3, least_rows: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwright.functions import text as T
-from leafwright.operators import classify, metrics, relational, segments, spatial
+from leafwright.operators import classify, indexing, metrics, relational, segments, spatial
 from leafwright.sources import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,19 +28,23 @@ def query(sql: str) -> Callable[[Query], Query]:
 _DOCS = "docs as (select o_orderkey id, 'doc_' || o_orderkey || '.pdf' file_name, 'form' || (o_orderkey % 8) form_type, (o_orderkey % 40 + 60) / 100.0::double confidence, strftime(o_orderdate, '%Y-%m-%d') extracted_at, (o_orderkey % 1000 + 0.25)::double processing_time_ms from orders)"
 _DX = "dx as (select l_orderkey document_id, l_linenumber as position, substr('ABCDEFGHIJKLMNOPQRSTVWXYZ', (l_partkey % 25 + 1)::int, 1) || (l_partkey % 90 + 10) icd10_code from lineitem)"
 _LINES = r"forms as (select o_orderkey id, concat_ws(chr(10), 'Patient Name: Person ' || o_orderkey, 'Date of Service: ' || strftime(o_orderdate, '%m/%d/%Y'), 'NPI: ' || lpad(o_orderkey::varchar, 10, '0'), 'Total: $' || (o_orderkey % 900 + 100) || '.50 of $20.00', 'SSN 123-45-' || lpad((o_orderkey % 10000)::varchar, 4, '0'), 'Dx M' || (o_orderkey % 90 + 10) || '.2 and S13.4', (['progress note', 'MRI of knee', 'plain', 'surgery'])[(o_orderkey % 4 + 1)::int]) as text from orders)"
-_BUNDLES = "pages_ as (select user_id bundle, event_id page, case event_type when 'click' then 'A' when 'purchase' then 'B' when 'signup' then 'C' end provider, case when event_id % 3 <> 0 then strftime(ts, '%m/%d/%Y') end dos, case when event_type <> 'view' then event_type end as type, event_type = 'error' as is_separator from events)"
+_BUNDLES = """pages_ as (select user_id bundle, event_id page, case event_type when 'click' then 'A' when 'purchase' then 'B' when 'signup' then 'C' when 'error' then case when event_id % 3 = 0 then 'B' end end provider, case when event_id % 3 <> 0 then strftime(ts, '%m/%d/%Y') end dos,
+case when event_type <> 'view' then event_type end as type, case when event_type <> 'error' then (['Clinical Note', 'Lab Result', 'Clinical Note', 'Imaging Report', 'Clinical Note', 'Clinical Note', 'ER Report'])[(event_id % 7 + 1)::int] end doc_type, event_type = 'error' as is_separator, event_type = 'error' and event_id % 2 = 0 as is_cover,
+['w' || event_id % 3, 'x' || event_id % 2, 'y' || event_id % 5, 'z' || event_id % 7] tokens from events)"""
 _PHONES = r"regexp_extract_all(text, '\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}')"
 _CTRL = "ctrl as (select p_partkey // 20 page, p_partkey ctrl, p_partkey * 7 % 300 x, p_partkey * 7 % 300 + 10 as rgt, p_partkey * 13 % 200 y from part)"
 _TXT = "txt as (select p_partkey // 20 page, p_partkey line, p_partkey * 11 % 320 lx, p_partkey * 11 % 320 + 25 lcx, p_partkey * 11 % 320 + 50 as rgt, p_partkey * 17 % 200 ly, p_name as text from part)"
 _RESULTS = "results as (select 'f' || (d.doc_id // 50) as file, d.source as field, case when d.doc_id % 7 = 0 then null else (n_chars > 400)::int::varchar end predicted, quality::varchar truth from labels join documents d using (doc_id))"
 _SEGMENTS = f"""{_BUNDLES}, a as (select *, row_number() over o = 1 as fst, is_separator and row_number() over o > 1 as sep from pages_ window o as (partition by bundle order by page)),
-b as (select *, coalesce(last_value(case when not sep then provider end ignore nulls) over (partition by bundle order by page rows unbounded preceding), 'Unknown') prov from a),
-c as (select *, fst or sep or coalesce(lag(sep) over o, false) or prov is distinct from lag(prov) over o as turn from b window o as (partition by bundle order by page)),
+b as (select *, coalesce(last_value(provider ignore nulls) over (partition by bundle order by page rows unbounded preceding), 'Unknown') prov from a),
+b2 as (select *, fst or not sep and prov is distinct from lag(prov) over o as fresh, coalesce(lag(sep) over o, false) after_ from b window o as (partition by bundle order by page)), c as (select *, fresh or sep or after_ as turn from b2),
 d as (select *, sum(turn::int) over (partition by bundle order by page rows unbounded preceding) run from c),
 e as (select *, coalesce(last_value(case when (provider is not null or turn) and not sep then dos end ignore nulls) over w, first_value(case when provider is null and not turn and not sep then dos end ignore nulls) over w) cur_dos from d window w as (partition by bundle, run order by page rows unbounded preceding)),
-f as (select *, turn or (provider is not null and dos is not null and dos is distinct from lag(cur_dos) over (partition by bundle, run order by page)) as starts from e),
-g as (select *, sum(starts::int) over (partition by bundle order by page rows unbounded preceding)::bigint as segment from f),
-segs as (select bundle, segment, min(page) start_page, max(page) end_page, count(*) page_count, arg_max(prov, page) provider, case when not bool_or(sep) then last(cur_dos order by page) end dos, bool_or(sep) is_separator from g group by 1, 2)"""
+f as (select *, not sep and provider is not null and dos is not null and dos is distinct from lag(cur_dos) over (partition by bundle, run order by page) as other from e), f2 as (select *, turn or other as starts from f),
+g as (select *, sum(starts::int) over (partition by bundle order by page rows unbounded preceding)::bigint as segment from f2),
+sg as (select bundle, segment, min(page) start_page, max(page) end_page, count(*) page_count, arg_max(prov, page) provider, case when not bool_or(sep) then last(cur_dos order by page) end dos, bool_or(sep) is_separator, bool_or(sep and is_cover) cover, arg_max(doc_type, page) filter (doc_type <> 'Clinical Note' and not (starts and (fresh or other))) told,
+max(doc_type) filter (starts and (fresh or other)) head from g group by 1, 2),
+segs as (select * exclude (cover, told, head), case when is_separator then case when cover then 'Cover Sheet' else 'Separator' end else coalesce(told, head, 'Unknown') end doc_type from sg)"""
 
 
 def _classify_sql() -> str:
@@ -138,20 +142,74 @@ def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.index_segments(V.bundles(spark, sf_dir))
 
 
-@query(f"with {_SEGMENTS} select bundle, provider, count(*) encounters, sum(page_count)::bigint pages, coalesce(array_to_string(list_sort(list(distinct dos) filter (dos is not null)), ','), '') dates from segs where not is_separator group by 1, 2")
+@query(f"""with {_SEGMENTS} select bundle, provider, count(*) encounters, sum(page_count)::bigint pages, coalesce(array_to_string(list_sort(list(distinct dos) filter (dos is not null)), ','), '') dates,
+string_agg(concat_ws(' ', dos, doc_type, start_page || '-' || end_page, page_count), ';' order by coalesce(dos, ''), start_page) visits from segs where not is_separator group by 1, 2""")
 def provider_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.provider_summary(segments.index_segments(V.bundles(spark, sf_dir)))
+    s = segments.provider_summary(segments.index_segments(V.bundles(spark, sf_dir)))
+    return s.withColumn("visits", F.expr("array_join(transform(visits, v -> concat_ws(' ', v.dos, v.doc_type, v.pages, v.page_count)), ';')"))
 
 
-@query(f"""with {_BUNDLES}, a as (select *, is_separator and row_number() over o > 1 as sep, row_number() over o = 1 as fst from pages_ window o as (partition by bundle order by page)),
-b as (select *, last_value(case when sep then '-' else type end ignore nulls) over (partition by bundle order by page rows unbounded preceding) cur from a),
-c as (select *, fst or sep or coalesce(lag(sep) over o, false) or (type is not null and type is distinct from lag(cur) over o) as starts from b window o as (partition by bundle order by page)),
+@query(f"with {_SEGMENTS} select bundle, sum(page_count)::bigint total_pages, count(*) total_segments, count(distinct provider) filter (not is_separator) provider_count, count(*) filter (not is_separator) encounter_count from segs group by 1")
+def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.index_totals(segments.index_segments(V.bundles(spark, sf_dir)))
+
+
+_SPLIT = f"""{_BUNDLES}, a0 as (select *, row_number() over o = 1 as fst, lag(tokens) over o prev from pages_ window o as (partition by bundle order by page)),
+a as (select *, is_separator and not fst as sep, coalesce(not fst and len(list_intersect(tokens, prev))::double / len(list_distinct(list_concat(tokens, prev))) < 0.2::double, false) unlike from a0)"""
+
+
+@query(f"""with {_SPLIT}, b as (select *, last_value(case when sep then '-' when type is not null then type when unlike then '-' end ignore nulls) over (partition by bundle order by page rows unbounded preceding) cur from a),
+c as (select *, fst or sep or coalesce(lag(sep) over o, false) or (type is not null and type is distinct from lag(cur) over o) or unlike as starts from b window o as (partition by bundle order by page)),
 d as (select *, sum(starts::int) over (partition by bundle order by page rows unbounded preceding)::bigint part from c)
 select bundle, part, min(page) start_page, max(page) end_page, case when bool_or(sep) then 'separator' else nullif(last(cur order by page), '-') end as type from d group by 1, 2""")
 def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.split_segments(V.bundles(spark, sf_dir))
 
 
+@query(f"""with recursive {_SPLIT}, n as (select *, row_number() over (partition by bundle order by page) i from a), r(bundle, i, page, kind, run, back, sep_) as (select bundle, i, page, type, 0::bigint, case when fst then 0::bigint end, false from n where i = 1
+union all select r.bundle, n.i, n.page, case when n.sep then null when n.type is not null and n.type is distinct from r.kind then n.type when n.unlike and r.run = 1 then n.type else r.kind end,
+case when n.sep or n.type is not null and n.type is distinct from r.kind then 0 when n.unlike then case when r.run = 1 then 0 else r.run + 1 end else 0 end,
+case when n.sep or r.sep_ or n.type is not null and n.type is distinct from r.kind then 0 when n.unlike and r.run = 1 then 1 end, n.sep from r join n on n.bundle = r.bundle and n.i = r.i + 1),
+s as (select bundle, i - back si from r where back is not null), u as (select distinct bundle, si from s), v as (select r.*, (select max(si) from u where u.bundle = r.bundle and u.si <= r.i) si from r),
+w as (select bundle, si, min(page) start_page, max(page) end_page, bool_or(sep_) sp, arg_max({{k: kind}}, i) lk, max(i) li from v group by 1, 2)
+select w.bundle, row_number() over (partition by w.bundle order by w.si) part, start_page, end_page, case when sp then 'separator' else q.kind end as type from w left join (select bundle, i, kind from r) q on q.bundle = w.bundle and q.i = w.li""")
+def split_with_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.split_segments(V.bundles(spark, sf_dir), hysteresis=2)
+
+
+_PAGE_TEXT = """case (o_orderkey % 8)::int when 0 then 'Records from Valley Clinic ==' || chr(10) || 'x' when 1 then 'Cover sheet' || chr(10) || 'Provider: Dr. ' || o_orderkey when 2 then 'Office visit on 0' || (1 + o_orderkey % 9) || '/02/2024 date of birth: 01/01/1960' when 3 then 'separator'
+when 4 then 'DOB: 03/03/1970 MRI of knee, exam date 0' || (1 + o_orderkey % 9) || '/04/2024 and again 05/05/2023' when 5 then 'printed: 06/06/2024' when 6 then 'Confidential under HIPAA. records from X' else repeat('long ', 120) || '07/07/2021 surgery ' || repeat('y', 60) || ' visit date 08/08/2021' end"""
+
+
+@query(rf"""with t as (select o_orderkey k, {_PAGE_TEXT} t, [{{s: 18 + o_orderkey % 3, y: 30, t: 'Medical Records Transmittal'}}, {{s: 16, y: 40 + o_orderkey % 5, t: ' Clinic ' || o_orderkey % 11}}, {{s: 16, y: 42, t: 'Clinic Twin'}}, {{s: 30, y: 121, t: 'Below'}}, {{s: 40, y: 10, t: 'ab'}}] sp from orders),
+f as (select *, regexp_matches(t, '(?i)={{5,}}|separator|records?\s+from') is_separator, regexp_matches(t, '(?i)medical records?\s+transmittal|records?\s+retrieval|cover\s+(sheet|page)|confidential.*hipaa') is_cover from t), u as (select k, unnest(sp) s from f),
+h as (select k, arg_min(trim(s.t), (-s.s, s.y)) p from u where s.y <= 120 and len(trim(s.t)) > 2 and not regexp_matches(lower(s.t), 'medical records|transmittal|confidential|cover|separator|===') group by 1),
+x as (select *, trim(rtrim(trim(regexp_extract(t, '(?i)records?\s+from\s+(.+?)(?:\n|$)', 1)), '=')) n1, trim(rtrim(trim(regexp_extract(t, '(?i)provider[:\s]+(.+?)(?:\n|$)', 1)), '=')) n2 from f),
+d as (select k, unnest(regexp_extract_all(t, '\b(\d{{2}}/\d{{2}}/\d{{4}})\b', 1)) d, generate_subscripts(regexp_extract_all(t, '\b(\d{{2}}/\d{{2}}/\d{{4}})\b', 1), 1) j, lower(t) t from f), e as (select k, d, j, instr(t, d) - 1 p, t from d), e2 as (select *, t[greatest(p - 35, 0) + 1:p + len(d) + 10] w from e),
+e3 as (select *, case when {{SERVICE}} then 10 else 0 end - case when {{OTHER}} then 20 else 0 end + case when p < 500 then 3 else 0 end sc from e2), e4 as (select k, arg_max(d, (sc, -j)) d, max(sc) m from e3 group by 1)
+select k page, case when is_separator or is_cover then case when len(n1) > 2 then n1 when len(n2) > 2 then n2 end else h.p end provider, case when not (is_separator or is_cover) and m >= 0 then d end dos,
+case when is_separator or is_cover then null when regexp_matches(t, '(?i)office\s+visit|progress\s+note') then 'Office Visit' when regexp_matches(t, '(?i)operative\s+report|surgery') then 'Operative Report' when regexp_matches(t, '(?i)mri') then 'Imaging Report' else 'Clinical Note' end doc_type, is_separator, is_cover from x left join h using (k) left join e4 using (k)"""
+       .replace("{SERVICE}", " or ".join(f"contains(w, '{x}')" for x in T.SERVICE_WORDS)).replace("{OTHER}", " or ".join(f"contains(w, '{x}')" for x in T.OTHER_WORDS)))
+def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = V.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    text = F.expr(_PAGE_TEXT.replace("::int", "").replace("o_orderkey % 8)", "cast(o_orderkey % 8 as int))").replace("chr(10)", "'\\n'"))
+    span = lambda size, y, t: F.struct(F.lit(size).cast("double").alias("size") if isinstance(size, int) else size.cast("double").alias("size"), y.cast("double").alias("y0"), t.alias("text"))
+    spans = F.array(
+        span(18 + k % 3, F.lit(30), F.lit("Medical Records Transmittal")), span(16, 40 + k % 5, F.concat(F.lit(" Clinic "), (k % 11).cast("string"))), span(16, F.lit(42), F.lit("Clinic Twin")), span(30, F.lit(121), F.lit("Below")), span(40, F.lit(10), F.lit("ab")),
+    )
+    return indexing.page_info(o.select(F.lit(0).alias("bundle"), k.alias("page"), text.alias("text"), spans.alias("spans"))).drop("bundle")
+
+
+@query("select o_orderkey id, case (o_orderkey % 6)::int when 0 then 'medical_intake' when 1 then 'insurance_claim' when 2 then 'authorization' when 3 then 'cover' when 4 then 'separator' end header_type, case when o_orderkey % 6 = 5 then 'a b|plain' end tokens from orders")
+def header_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    heads = ["Patient-Intake FORM", "An Insurance Claim, release", "HIPAA: separator", "FAX cover sheet", "== SEPARATOR ==", "a-b plain!"]
+    words = F.split(F.element_at(F.array(*map(F.lit, heads)), (k % 6 + 1).cast("int")), " ")
+    placed = F.concat(F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(50.0).alias("y0"))), F.array(F.struct(F.lit("low").alias("word"), F.lit(109.0).alias("y0"))))
+    d = V.table(spark, sf_dir, "orders").select(k.alias("id"), T.top_tokens(placed).alias("t"))
+    return d.select("id", indexing.header_type(F.col("t")).alias("header_type"), F.when(F.col("id") % 6 == 5, F.array_join("t", "|")).alias("tokens"))
+
+
 @query(r"""with t as (select source bundle, doc_id page, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: trim(lower(regexp_replace(w, '[^A-Za-z0-9]+', ' ', 'g')))), lambda w: w <> '')[1:20]) tokens from documents),
 p as (select *, lag(tokens) over (partition by bundle order by page) prev from t)
 select bundle, page, round(case when len(tokens) + len(prev) = 0 then 1.0::double else len(list_intersect(tokens, prev))::double / len(list_distinct(list_concat(tokens, prev))) end, 6) similarity from p where prev is not null""")

@@ -62,12 +62,15 @@ def form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(bundle, page, provider, dos, type, is_separator): a page per event."""
-    kind = F.col("event_type")
+    """(bundle, page, provider, dos, type, doc_type, is_separator, is_cover, tokens): a page per event."""
+    kind, k = F.col("event_type"), F.col("event_id")
+    types = F.element_at(F.array(*map(F.lit, ("Clinical Note", "Lab Result", "Clinical Note", "Imaging Report", "Clinical Note", "Clinical Note", "ER Report"))), (k % 7 + 1).cast("int"))
+    word = lambda letter, n: F.concat(F.lit(letter), (k % n).cast("string"))
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("bundle"), F.col("event_id").alias("page"), F.when(kind == "click", "A").when(kind == "purchase", "B").when(kind == "signup", "C").alias("provider"),
-        F.when(F.col("event_id") % 3 != 0, F.date_format("ts", "MM/dd/yyyy")).alias("dos"), F.when(kind == "view", None).otherwise(kind).alias("type"), (kind == "error").alias("is_separator"),
-    )
+        F.col("user_id").alias("bundle"), k.alias("page"), F.when(kind == "click", "A").when(kind == "purchase", "B").when(kind == "signup", "C").when((kind == "error") & (k % 3 == 0), "B").alias("provider"),
+        F.when(k % 3 != 0, F.date_format("ts", "MM/dd/yyyy")).alias("dos"), F.when(kind == "view", None).otherwise(kind).alias("type"), F.when(kind != "error", types).alias("doc_type"),
+        (kind == "error").alias("is_separator"), ((kind == "error") & (k % 2 == 0)).alias("is_cover"), F.array(word("w", 3), word("x", 2), word("y", 5), word("z", 7)).alias("tokens"),
+    )
 
 
 def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
