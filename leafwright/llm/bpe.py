@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm.fragments import shared_codec, joined
-from leafwright.llm.textscan import blocks
+from leafwright.llm.textscan import blocks, tidy
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,7 +31,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.start, len(b)), lists], [id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
@@ -49,7 +49,7 @@ def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFra
             texts = [bytes(data[a:z]).decode("utf-8", "replace") for a, z in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return tokens.select(F.col(id_col), F.col("ids")).mapInArrow(run, schema)
+    return tokens.select(F.col(id_col), F.col("ids")).mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +74,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                     [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def _utf8(raw: memoryview) -> bytes:

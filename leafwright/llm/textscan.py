@@ -1,25 +1,68 @@
 """Arrow string columns as byte arrays with document offsets.
 
-All scanning operators work on the UTF-8 bytes of some megabytes of texts at a
+All scanning operators work on the UTF-8 bytes of half a megabyte of texts at a
 time, so that one numpy call covers many documents and memory stays bounded
 whatever the number of documents in an Arrow batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 
 #: The separators of words: space, tab, LF, VT, FF, CR.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches with matrix products on the task's own core, after
+    which a worker gives back the memory that its allocators keep, since it may
+    stand idle beside others for long."""
+
+    def inner(batches: Iterator) -> Iterator:
+        one_thread()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return inner
+
+
+@lru_cache(1)
+def one_thread() -> None:
+    """Every core has a task: threads of one task's matrix products would wait for the others', turning."""
+    import ctypes
+
+    try:
+        with open("/proc/self/maps", encoding="utf-8") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            limit = getattr(library, name, None)
+            if limit is not None:
+                limit(1)
+
+
+def _trim() -> None:
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim is not None:
+        trim(0)
+
+
 class Block:
     """Consecutive texts: their bytes, and where each begins and ends."""
 
