@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from leafwright.llm import store
 from leafwright.llm.graph import components
-from leafwright.llm.textscan import Block, blocks, strings, word_spans
+from leafwright.llm.textscan import Block, blocks, one_thread, strings, tidy, word_spans
 
 WORDS, SIMILARITY, SIZE, ROWS = 5, 0.8, 80, 4
 #: Bytes of texts that a worker describes at a time; each needs some hundred times as much.
@@ -185,15 +185,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     # equal texts with a word are one; those that differ in white space only are linked later
     d = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text))).alias("digest"), text.alias("text"))
     kind = f"row long, doc_id {d.schema['doc_id'].dataType.simpleString()}, digest binary, shingles array<int>, bands array<long>"
-    described = tables.cut(d.mapInArrow(lambda it: _described(it, words, size, rows), kind), "texts")
+    described = tables.cut(d.mapInArrow(tidy(lambda it: _described(it, words, size, rows)), kind), "texts")
     nodes = tables.cut(described.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node")), "nodes")
-    bands = described.select(F.col("row").alias("node"), "bands").join(nodes.select("node").hint("merge"), "node", "left_semi")
+    bands = described.select(F.col("row").alias("node"), "bands").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
     bands = tables.cut(bands, "bands")
 
     held = tables.cut(bands.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "held")
     turned = "explode(zip_with(bands, concat(slice(bands, 2, size(bands) - 1), slice(bands, 1, 1)), (k, s) -> struct(k as key, s as side)))"
     dealt = bands.select("node", F.expr(turned).alias("at")).select("node", "at.*")
-    few = dealt.drop("side").join(held.where(f"n <= {FEW}").select("key").hint("merge"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("of"))
+    few = dealt.drop("side").join(held.where(f"n <= {FEW}").select("key").hint("shuffle_hash"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("of"))
     pairs = few.select(F.explode(F.expr("flatten(transform(of, (x, i) -> transform(slice(of, i + 2, size(of)), y -> struct(x as a, y as b))))")).alias("p")).select("p.*")
     many = tables.cut(dealt.join(tables.cut(held.where(f"n > {FEW}"), "many-held"), "key"), "many")
     pairs = pairs.unionByName(_neighbours(many, tables)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
@@ -208,12 +208,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         more = _rest(grouped, sets, similarity, tables)
         if not more.isEmpty():
             group = tables.cut(components(links.unionByName(more)), "groups")
-    return tables.finish(_membership(described, nodes, group, key_col), "near-dups")
+    return tables.finish(_membership(described, nodes, group, key_col, tables), "near-dups")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
-    p = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    # the pairs are built into a table, and sets stream by unsorted
+    p = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(pairs.hint("shuffle_hash"), "a")
     p = p.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     smaller, larger = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     shared = F.when(smaller >= similarity * larger - 1e-9, F.size(F.array_intersect("x", "y"))).otherwise(0)
@@ -239,6 +240,7 @@ def _rest(rows: DataFrame, sets: DataFrame, similarity: float, tables: store.Tab
 
 def _between(key: tuple[int, int, int], pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Links that join the linked texts of two blocks of one key."""
+    one_thread()
     left, right = pdf[pdf["own"] == key[1]], pdf[pdf["own"] == key[2]]
     if not len(left) or not len(right):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -285,10 +287,16 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _membership(described: DataFrame, nodes: DataFrame, group: DataFrame, key_col: str | None) -> DataFrame:
+def _membership(described: DataFrame, nodes: DataFrame, group: DataFrame, key_col: str | None, tables: store.Tables) -> DataFrame:
     of = nodes.join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("of"))
     members = described.select("row", "doc_id", "digest").join(of, "digest", "left").select("row", "doc_id", F.coalesce("of", "row").alias("class"))
+    members = tables.cut(members, "members")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first")
-    held = members.groupBy("class").agg(F.count("*").alias("class_size"), first)
+    # a table of its own, so that the join with a class of many rows can be split
+    held = tables.cut(members.groupBy("class").agg(F.count("*").alias("n"), first).where("n > 1"), "classes")
     lead = [] if key_col is None else [F.col("row").alias(key_col)]
-    return members.join(held, "class").select(*lead, "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+    alone = F.col("n").isNull()
+    return members.join(held, "class", "left").select(
+        *lead, "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("n", F.lit(1).cast("long")).alias("class_size"),
+        (alone | F.coalesce(F.col("row") == F.col("first.row"), F.lit(False))).alias("kept"),
+    )
