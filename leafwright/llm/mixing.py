@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafwright.llm.store import cut
-from leafwright.llm.textscan import blocks, word_spans
+from leafwright.llm.textscan import blocks, tidy, word_spans
 
 BLOCK_WORDS, SHARD_SLOTS, GROUPS, SEED = 128, 8192, 1024, 97
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -86,11 +86,15 @@ class Mix:
 
     def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False):
         self.spark, self.block, self.seed = docs.sparkSession, block_words, seed
-        self.columns, self.text_col = docs.schema, text_col
+        self.columns, self.text_col, self.keyed = docs.schema, text_col, None
+        of, key = F.col, []
+        if whole:
+            row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+            docs = self.keyed = cut(docs.select(F.monotonically_increasing_id().alias("key"), row), "mix-keyed")
+            of, key = lambda c: F.col("row")[c], [F.col("key")]
         sized = docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("digest"),
-            *([F.struct(*docs.columns).alias("row")] if whole else []),
+            of(id_col).alias("doc_id"), of(source_col).cast("string").alias("source"), *key,
+            F.coalesce(F.regexp_count(of(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(of(text_col)).alias("digest"),
         )
         self.docs = cut(sized.withColumn("grp", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(GROUPS)).cast("int")), "mix-docs")
         self.groups = self.docs.groupBy("source", "grp").agg(F.sum("size").alias("n"))
@@ -177,32 +181,36 @@ class Mix:
 
     def texts(self) -> DataFrame:
         """The mix with the columns of ``docs``: one row per slot and piece of
-        a document, its text that piece.  Only for a plan made with ``whole``."""
-        names, size = self.columns.fieldNames(), self.block
-        at = 2 + names.index(self.text_col)
-        d = self.placed().where("size > 0").select("src", F.col("at").alias("place"), "row.*")
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.columns)
+        a document, its text that piece.  Only for a plan made with ``whole``.
+
+        Slots meet pieces by their numbers alone; each document then gets the
+        list of its pieces, no longer than its text, and texts move once."""
+        at = 1 + self.columns.fieldNames().index(self.text_col)
+        # columns go by numbers, as the names of some can't be given to mapInArrow
+        names = [f"c{i}" for i in range(len(self.columns))]
+        kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, self.columns, strict=True))
 
         def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                src, place = batch.column(0), batch.column(1).to_numpy()
+                picks = batch.column(0).to_pylist()
                 for b in blocks(batch.column(at)):
                     starts, _, n = word_spans(b)
-                    first, raw, doc, block, text = np.cumsum(n) - n, b.data.tobytes(), [], [], []
+                    first, raw, doc, text = np.cumsum(n) - n, b.data.tobytes(), [], []
                     for i in range(len(b)):
-                        p = int(place[b.start + i])
-                        found = range(p // size, (p + int(n[i]) - 1) // size + 1)
-                        edges = [int(b.offsets[i]), *(int(starts[first[i] + k * size - p]) for k in found[1:]), int(b.offsets[i + 1])]
-                        doc += [b.start + i] * len(found)
-                        block += found
-                        text += [raw[x:y].decode() for x, y in zip(edges, edges[1:])]
+                        for begin, length, times in picks[b.start + i]:
+                            x = int(b.offsets[i]) if begin == 0 else int(starts[first[i] + begin])
+                            y = int(b.offsets[i + 1]) if begin + length >= n[i] else int(starts[first[i] + begin + length])
+                            doc += [b.start + i] * times
+                            text += [raw[x:y].decode()] * times
                     own = pa.array(doc, pa.int64())
-                    cols = [pa.array(text, pa.string()) if k == at else batch.column(k).take(own) for k in range(2, 2 + len(names))]
-                    yield pa.RecordBatch.from_arrays([src.take(own), pa.array(block, pa.int64()), *cols], ["_src", "_block", *names])
-
-        pieces = d.mapInArrow(cut_up, f"_src int, _block long, {kinds}")
-        slots = self.slots().select(F.col("src").alias("_src"), F.col("block").alias("_block"))
-        return slots.hint("merge").join(pieces, ["_src", "_block"]).select(*names)
+                    cols = [pa.array(text, pa.string()) if k == at else batch.column(k).take(own) for k in range(1, 1 + len(names))]
+                    yield pa.RecordBatch.from_arrays(cols, names)
+
+        times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"))
+        taken = self.pieces().where("size > 0").select("key", "src", "block", "first", "n_words").join(times.hint("merge"), ["src", "block"])
+        picks = taken.groupBy("key").agg(F.collect_list(F.array("first", "n_words", "times")).alias("_picks"))
+        # picks are built into a table, and texts stream by unsorted
+        return self.keyed.join(picks.hint("shuffle_hash"), "key").select("_picks", "row.*").toDF("picks", *names).mapInArrow(tidy(cut_up), kinds).toDF(*self.columns.fieldNames())
 
     def taken(self) -> DataFrame:
         """(doc_id, source, size, source_size, target, taken) of each document."""
