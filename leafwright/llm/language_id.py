@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.llm.textscan import Block, blocks
+from leafwright.llm.textscan import Block, blocks, tidy
 
 DIM, BITS, SEED = 512, 7, 20240607
 SYMBOLS = 1 << BITS
@@ -90,16 +90,42 @@ def _grams(code: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return own[ok], gram[ok], has
 
 
-def _bundled(row: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
-    """The sums of the vectors of each of n rows' n-grams."""
-    seen = np.zeros(_GRAMS, bool)
-    seen[gram] = True
-    used = np.flatnonzero(seen)
-    place = np.zeros(_GRAMS, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    tally = np.bincount(row * np.int64(len(used)) + place[gram], minlength=n * len(used)).reshape(n, len(used))
-    # counts and sums stay far below 2**53
-    return np.rint(tally.astype(np.float64) @ gram_vectors(used).astype(np.float64)) if len(used) else np.zeros((n, DIM))
+class _Bundler:
+    """Sums of n-gram vectors, with the vectors of the n-grams met so far."""
+
+    #: Vectors kept by a worker; beyond, the table starts anew.
+    MOST = 1 << 15
+
+    def __init__(self):
+        self.row, self.vectors = np.full(_GRAMS, -1, np.int32), np.zeros((0, DIM), np.int8)
+        self.place = np.zeros(_GRAMS, np.int32)
+
+    def _of(self, used: np.ndarray) -> np.ndarray:
+        new = used[self.row[used] < 0]
+        if len(self.vectors) + len(new) > self.MOST:
+            self.row[:], self.vectors, new = -1, self.vectors[:0], used
+        if len(new):
+            self.row[new] = np.arange(len(self.vectors), len(self.vectors) + len(new))
+            self.vectors = np.concatenate([self.vectors, gram_vectors(new)])
+        return self.vectors[self.row[used]]
+
+    def sums(self, row: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+        """The sum of the vectors of each of n rows' n-grams."""
+        seen = np.zeros(_GRAMS, bool)
+        seen[gram] = True
+        used = np.flatnonzero(seen)
+        if not len(used):
+            return np.zeros((n, DIM))
+        self.place[used] = np.arange(len(used), dtype=np.int32)
+        tally = np.bincount(row * np.int64(len(used)) + self.place[gram], minlength=n * len(used)).reshape(n, len(used))
+        # sums of no more than 2**24 units are exact in single precision
+        kind = np.float32 if len(gram) < 1 << 24 else np.float64
+        return np.rint(tally.astype(kind) @ self._of(used).astype(kind)).astype(np.float64)
+
+
+@lru_cache(1)
+def _bundler() -> _Bundler:
+    return _Bundler()
 
 
 def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -115,14 +141,14 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 names = sorted(set(lang[b.start : b.stop]))
                 code = {x: i for i, x in enumerate(names)}
                 of = np.array([code[x] for x in lang[b.start : b.stop]], np.int64)
-                found = _bundled(of[doc], gram, len(names)).astype(np.int64)
+                found = _bundler().sums(of[doc], gram, len(names)).astype(np.int64)
                 for x, i in code.items():
                     seen[x] = seen.get(x, 0) + found[i]
         for x in sorted(seen):
             yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([seen[x].tolist()], pa.list_(pa.int64()))], ["lang", "part"])
 
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
-    parts = known.mapInArrow(run, "lang string, part array<long>").select("lang", F.posexplode("part").alias("k", "v"))
+    parts = known.mapInArrow(tidy(run), "lang string, part array<long>").select("lang", F.posexplode("part").alias("k", "v"))
     sums = parts.groupBy("lang", "k").agg(F.sum("v").alias("v")).collect()
     langs = sorted({r[0] for r in sums})
     out = np.zeros((len(langs), DIM))
@@ -141,11 +167,15 @@ def predicted(model: tuple[list[str], np.ndarray], text_col: str = "text") -> Co
     @F.arrow_udf("lang_pred string, score double")
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = np.array([*langs, "und"], object)
-        for text in texts:
-            best, score = np.full(len(text), len(langs)), np.zeros(len(text))
-            for b in blocks(text, BLOCK_BYTES):
-                _judged(b, unit, best[b.start : b.stop], score[b.start : b.stop])
-            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+        def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for text in arrays:
+                best, score = np.full(len(text), len(langs)), np.zeros(len(text))
+                for b in blocks(text, BLOCK_BYTES):
+                    _judged(b, unit, best[b.start : b.stop], score[b.start : b.stop])
+                yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+        yield from tidy(run)(texts)
 
     return judge(F.col(text_col))
 
@@ -157,7 +187,7 @@ def _judged(b: Block, unit: np.ndarray, best: np.ndarray, score: np.ndarray) ->
     for k, at in enumerate(range(0, len(b), _DOCS)):
         n, own = min(_DOCS, len(b) - at), slice(edge[k], edge[k + 1])
         if own.start < own.stop and len(unit):
-            v = _bundled(doc[own] - at, gram[own], n)
+            v = _bundler().sums(doc[own] - at, gram[own], n)
             size = np.linalg.norm(v, axis=1)
             cos = v @ unit.T / np.where(size > 0, size, 1)[:, None]
             known = np.flatnonzero(has[at : at + n])
