@@ -2,17 +2,26 @@
 
 Each stage is written as Parquet in the shared folder and read again, so a
 lost executor repeats one stage at most.
+
+Null ids and repeated ids or rows are documents like others, up to the second
+stage, which keeps one row of equal texts.  Null and empty texts leave in the
+first stage.  Further columns, of any name, are carried up to the last stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwright.llm import bpe, language_id, mixing, near_dups, pii, store
 from leafwright.llm.queries import BYTE_BPE
 
 
+def _whole(docs: DataFrame) -> Column:
+    """A document's columns as one, so that no further column clashes with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages.  Those without a letter go, and
     those without a label that score below all but one in a thousand of the
@@ -20,33 +29,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.prototypes(docs.where(~language_id.held_out()))
     if not model[0]:
         return docs
-    judged = store.cut(language_id.predict(docs, model, docs.columns), "languages").where(F.col("lang_pred") != "und")
-    judged = judged.withColumn("about", F.floor(F.log2(F.length("text"))))
-    least = judged.where("lang is not null").groupBy("about").agg(F.percentile_approx("score", 0.001, 10000).alias("least"))
+    judged = docs.select(_whole(docs), language_id.predicted(model).alias("found"))
+    judged = judged.select("row", "found.score", (F.col("found.lang_pred") != "und").alias("known"), F.floor(F.log2(F.length("row.text"))).alias("about")).where("known")
+    # scored twice rather than written: the scores are cheaper than a copy of the texts
+    least = judged.where("row.lang is not null").groupBy("about").agg(F.percentile_approx("score", 0.001, 10000).alias("least"))
+    # one row for each power of two of lengths
     known = judged.join(F.broadcast(least), "about", "left")
-    return known.where("lang is not null or least is null or score >= least").select(*docs.columns)
+    return known.where("row.lang is not null or least is null or score >= least").select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies;
-    all without an id, and rows that repeat an id and text once."""
-    kept = near_dups.classes(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id", F.md5("text")).count().where("count > 1").isEmpty() is False:
-        named = named.withColumn("_digest", F.md5("text")).dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row, that with the smallest id, of each group of equal or near texts;
+    rows without an id are documents like others."""
+    keyed = store.cut(docs.select(F.monotonically_increasing_id().alias("key"), _whole(docs)), "near-keyed")
+    kept = near_dups.classes(keyed.select("key", "row.doc_id", "row.text"), key_col="key").where("kept").select("key")
+    # shuffled at any size, as the ids kept grow with the documents; texts stream by unsorted
+    return keyed.join(kept.hint("shuffle_hash"), "key", "left_semi").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked."""
     masked = pii.redact(docs)
-    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: one row per slot and piece of a document, its text that piece."""
     drawn = mixing.Mix(docs, whole=True).texts()
-    return drawn.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return drawn.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
