@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm import store
+from leafwright.llm.textscan import tidy
 
 BASE = ("email", "ip", "card", "phone")
 # The tail of an address; the part before is read backwards from the sign, in linear time.
@@ -79,13 +80,20 @@ _LOOSE = {
     "national_id": re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b"),
     "secret": re.compile(r"\b(?:password|passwd|pwd|secret|token|api_key|apikey|access_key)\x20?[=:]\x20?\S{6,}+|\bAKIA[A-Z0-9]{16}\b"),
-    "spelled_email": re.compile(r"\b[A-Za-z0-9._-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,10}\b"),
-    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?\b"),
+    "spelled_email": re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,}+(?![A-Za-z0-9_])"),
+    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?(?![A-Za-z0-9_])"),
 }
 #: A text without any of these has no proposal.
 _HINT = re.compile(r"[0-9]{4}|[=:\[(]|\bAKIA|\b[A-Z]{2}[0-9]{2}[\x20A-Z0-9]|\b(?:M[rs]|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor)")
-_GIVEN = frozenset("anna carlos claire david elena emma eva hans james jean john jose karl laura linda lucia maria marie martin mary michael paul peter robert sarah thomas william".split())
-_DOMAINS = frozenset("com org net edu gov de fr es eu io info".split())
+# Gazetteers: given names of several languages, and top-level domains.
+_GIVEN = frozenset("""
+    adam alan albert alex alice amelie amy ana andrea andrew angela anna anne annette antonio barbara ben bernd brian camille carla carlos carmen caroline catherine charles charlotte christian christine claire clara claude
+    daniel david diego dieter elena elizabeth emil emily emma erik eva felix fernando francisco frank franz fritz george greta hans heinz helen helga henri henry hugo ines ingrid isabel jack jacques james jan jane jean
+    jennifer jens joan john jorge jose joseph juan julia julie jürgen karen karin karl katrin kevin klaus laura lena leo lin linda louis louise lucas lucia luis manuel marc margaret maria marie mario mark marta martin mary
+    max michael miguel monika nancy nicolas nina olga oliver oscar pablo patricia patrick paul pedro peter petra philip pierre rachel rafael richard rita robert rosa ruth sabine sandra sarah simon sofia sophie stefan susan
+    sylvia teresa thomas ursula uwe victor walter werner william wolfgang
+""".split())
+_DOMAINS = frozenset("ai at au be biz br ca ch cn co com cz de dev dk edu es eu fi fr gov gr hu ie in info int io it jp kr mil mx net nl no nz org pl pt ro ru se tr uk us".split())
 _FOR = re.compile(r"\b(?:call|phone|tel|fax|mobile|contact|ssn|social|id|iban|account|bank|mail|email|login|user|password|key|name|dear|by)\b[^.\n]{0,20}$", re.I)
 _AGAINST = re.compile(r"\b(?:isbn|issn|version|order|invoice|serial|part|ref|figure|chapter|example)\b[^.\n]{0,20}$", re.I)
 LABELERS = ("shape", "gazetteer", "context", "bounds")
@@ -117,12 +125,31 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     return shape, gazetteer, context, -1 if re.search(r"[0-9A-Za-z_/=-]", near) else 1
 
 
+#: Cuts between lengths of spans, and between shares of digits.
+_LENGTHS, _SHARES = (8, 12, 16, 24, 40), (0.01, 0.35, 0.7, 0.95)
+FEATURES = ("length", "digits", "case", "before", "opening", "after", "position")
+
+
+def features(text: str, start: int, end: int) -> tuple[int, ...]:
+    """What the classifier sees of a span and its surroundings, in few levels
+    each: length, share of digits, mix of cases, the sign before it, whether
+    its line begins with it, the sign after it, and the third of the text."""
+    span = text[start:end]
+    lead, tail = text[max(0, start - 2) : start].rstrip(" "), text[end : end + 1]
+    share = sum(c.isdigit() for c in span) / len(span)
+    case = 2 * any(c.isupper() for c in span) + any(c.islower() for c in span)
+    return (
+        sum(len(span) >= n for n in _LENGTHS), sum(share >= x for x in _SHARES), case, 1 if lead[-1:] in (":", "=") else 2 if lead[-1:] in ("(", "[", "<", "\"") else 3 if lead[-1:] in (",", ";", ".") else 0,
+        int(start == 0 or text[start - 1] == "\n"), 1 if tail in ("", "\n") else 2 if tail in ".,;:)" else 0, min(2, 3 * start // max(1, len(text))),
+    )
+
+
 def _iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """Loose spans outside the base ones, with their votes."""
+def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]]:
+    """Loose spans outside the base ones, with their votes and features."""
     out, taken = [], sorted((s, e) for _, s, e in base)
     if not _HINT.search(text):
         return out
@@ -132,17 +159,21 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
         for m in pattern.finditer(text):
             k = int(np.searchsorted(starts, m.end())) if taken else 0
             if k == 0 or reach[k - 1] <= m.start():
-                out.append((kind, m.start(), m.end(), votes(kind, text, m.start(), m.end())))
+                out.append((kind, m.start(), m.end(), votes(kind, text, m.start(), m.end()), features(text, m.start(), m.end())))
     return out
 
 
-def fit(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 40, prior: float = 1.0) -> dict[tuple[str, tuple[int, ...]], float]:
-    """Probability of being personal for each (kind, votes) seen.
+Pattern = tuple[str, tuple[int, ...], tuple[int, ...]]
+
+
+def fit(counts: dict[Pattern, int], rounds: int = 40, prior: float = 1.0) -> dict[Pattern, float]:
+    """Probability of being personal for each (kind, votes, features) seen.
 
     EM starts from the balance of votes; labelers are independent given the
-    class.  The classifier is logistic in the kind and each labeler's two
-    votes, fitted by gradient steps to the posteriors, each pattern weighing
-    its count.
+    class.  The classifier is logistic in the kind, each labeler's two votes
+    and the levels of the features, fitted by gradient steps to the
+    posteriors, each pattern weighing its count: it so learns from spans on
+    which labelers agree what the others look like.
     """
     if not counts:
         return {}
@@ -158,11 +189,13 @@ def fit(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 40, prior:
             seen_k = np.stack([held[:, v[:, k] == x].sum(1) for x in range(3)], 1) + prior * np.array([[3, 2, 1], [1, 2, 3]])
             score += np.log(seen_k / seen_k.sum(1, keepdims=True))[:, v[:, k]]
         post = 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
-    x = np.hstack([np.ones((len(seen), 1)), np.array([[s[0] == k for k in KINDS] for s in seen]), v == 0, v == 2]).astype(float)
+    levels = np.array([s[2] for s in seen])
+    shown = [levels[:, k, None] == np.unique(levels[:, k])[None] for k in range(levels.shape[1])]
+    x = np.hstack([np.ones((len(seen), 1)), np.array([[s[0] == k for k in KINDS] for s in seen]), v == 0, v == 2, *shown]).astype(float)
     w, total = np.zeros(x.shape[1]), n.sum()
     for _ in range(2000):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        w -= 0.5 * (x.T @ (n * (p - post)) / total + 1e-4 * w)
+        w -= 0.3 * (x.T @ (n * (p - post)) / total + 1e-4 * w)
     return dict(zip(seen, (1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))).tolist(), strict=True))
 
 
@@ -181,31 +214,38 @@ def candidates(docs: DataFrame, carry: list[str], text_col: str = "text") -> Dat
                 text = scalar.as_py() or ""
                 found = base_spans(text)
                 base.append([{"kind": k, "start": s, "end": e, "votes": ""} for k, s, e in found])
-                more.append([{"kind": k, "start": s, "end": e, "votes": ",".join(map(str, x))} for k, s, e, x in proposals(text, found)])
+                more.append([{"kind": k, "start": s, "end": e, "votes": _shown(x, y)} for k, s, e, x, y in proposals(text, found)])
             cols = [*(batch.column(i) for i in range(len(carry))), pa.array(base, _SPAN_ARROW), pa.array(more, _SPAN_ARROW)]
             yield pa.RecordBatch.from_arrays(cols, [*carry, "base", "more"])
 
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, ", ".join([*kinds, f"base {_SPAN}", f"more {_SPAN}"]))
+    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(tidy(run), ", ".join([*kinds, f"base {_SPAN}", f"more {_SPAN}"]))
 
 
 def model(found: DataFrame) -> list[str]:
-    """The ``kind|votes`` that the classifier accepts, from all candidates."""
+    """The ``kind|votes;features`` that the classifier accepts, from all
+    candidates; what is collected is the patterns seen, of a few levels each."""
     rows = found.select(F.explode("more").alias("s")).groupBy("s.kind", "s.votes").count().collect()
-    counts = Counter({(r[0], tuple(map(int, r[1].split(",")))): r[2] for r in rows})
-    return [f"{kind}|{','.join(map(str, v))}" for (kind, v), p in fit(counts).items() if p >= 0.5]
+    split = lambda t: tuple(tuple(map(int, part.split(","))) for part in t.split(";"))
+    counts = Counter({(r[0], *split(r[1])): r[2] for r in rows})
+    return [f"{kind}|{_shown(v, f)}" for (kind, v, f), p in fit(counts).items() if p >= 0.5]
+
+
+def _shown(votes: tuple[int, ...], levels: tuple[int, ...]) -> str:
+    return ";".join(",".join(map(str, x)) for x in (votes, levels))
 
 
 def spans(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
     """``carry`` columns, ``base`` and ``spans`` (all, by kind, then start)."""
     found = store.cut(candidates(docs, carry, text_col), "pii")
-    good = F.array(*map(F.lit, model(found))).cast("array<string>")
-    kept = F.filter("more", lambda s: F.array_contains(good, F.concat_ws("|", s["kind"], s["votes"])))
+    accepted = model(found)
+    good = F.create_map(*(F.lit(x) for p in accepted for x in (p, True))) if accepted else F.create_map().cast("map<string,boolean>")
+    kept = F.filter("more", lambda s: F.coalesce(F.try_element_at(good, F.concat_ws("|", s["kind"], s["votes"])), F.lit(False)))
     return found.select(*carry, "base", F.concat("base", kept).alias("spans"))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans); the counts
-    and the checksum are of the base spans."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans); the
+    counts of kinds and the checksum are of the base spans, the last of all."""
     found = spans(docs, [id_col], text_col)
 
     def shown(col: str) -> Column:
@@ -214,26 +254,28 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def number(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select(F.col(id_col), *map(number, BASE), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+    return found.select(F.col(id_col), *map(number, BASE), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; spans
     that overlap become one.  A text without spans stays as it is."""
     good = set(model(store.cut(candidates(docs, [], text_col), "pii")))
-    at, names = docs.columns.index(text_col), docs.columns
+    # columns go by numbers, as the names of some can't be given to mapInArrow
+    at, names = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else _masked(t, good) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*names).mapInArrow(tidy(run), kinds).toDF(*docs.columns)
 
 
 def _masked(text: str, good: set[str]) -> str:
     base = base_spans(text)
-    more = [(k, s, e) for k, s, e, v in proposals(text, base) if f"{k}|{','.join(map(str, v))}" in good]
+    more = [(k, s, e) for k, s, e, v, f in proposals(text, base) if f"{k}|{_shown(v, f)}" in good]
     out, done = [], 0
     for kind, start, end in sorted([*base, *more], key=lambda x: (x[1], -x[2])):
         if start >= done:
