@@ -20,16 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm.store import cut
-from leafwright.llm.textscan import IS_SPACE, Block, blocks, strings, word_spans
+from leafwright.llm.textscan import IS_SPACE, Block, blocks, strings, tidy, word_spans
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC3:0xF5] = True
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_stops"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_stops", "n_upper"]
 
 
 def block_counts(b: Block) -> list[np.ndarray]:
@@ -41,7 +43,7 @@ def block_counts(b: Block) -> list[np.ndarray]:
         return [zero] * len(COUNTS)
     word_chars = b.per_doc(((data & 0xC0) != 0x80) & ~IS_SPACE[data])
     dup, lines = _duplicate_lines(b, starts)
-    return [n_words, word_chars, b.per_doc(_SYMBOL[data]), dup, _repeated_words(b, starts, ends, n_words), lines, b.per_doc(_LETTER[data]), b.per_doc(_STOP[data])]
+    return [n_words, word_chars, b.per_doc(_SYMBOL[data]), dup, _repeated_words(b, starts, ends, n_words), lines, b.per_doc(_LETTER[data]), b.per_doc(_STOP[data]), b.per_doc(_UPPER[data])]
 
 
 def _duplicate_lines(b: Block, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.start, len(b)), *found], [id_col, *COUNTS])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"{id_col} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -109,7 +111,8 @@ def votes() -> dict[str, Column]:
         "own_lines": _vote((F.col("n_lines") > 2) & (F.col("n_dup_lines") <= 0.1 * lines), (F.col("n_dup_lines") > 0.5 * lines)),
         "own_phrases": _vote((words > 0) & (F.col("n_repeat_words") <= 0.15 * some), F.col("n_repeat_words") > 0.3 * some),
         "mostly_letters": _vote((words > 0) & (F.col("n_letters") >= 0.7 * F.col("word_chars")), (words > 0) & (F.col("n_letters") < 0.5 * F.col("word_chars"))),
-        "sentences": _vote(F.col("n_stops") * 60 >= some, (words >= 100) & (F.col("n_stops") * 400 < words)),
+        "sentences": _vote((F.col("n_stops") * 60 >= some) & (F.col("n_stops") * 3 <= some), ((words >= 100) & (F.col("n_stops") * 400 < words)) | ((words > 0) & (F.col("n_stops") > 0.5 * some))),
+        "calm": _vote((words > 0) & (F.col("n_upper") <= 0.1 * F.col("n_letters")), (words > 0) & (F.col("n_upper") > 0.3 * F.col("n_letters"))),
     }
 
 
