@@ -15,9 +15,10 @@ of even size.  Equal vectors of one label are one row with a count.  A cell
 with more than ``SLICE`` members is split by hash and visited slice by slice.
 A task counts links and gives a spanning forest of them, not the pairs.
 
-A vector that is null, all zero, of another length than its label's others or
-with a null or non-finite component links with nothing, as does one whose
-label is null.
+Vectors of one label are compared with those of equal length.  A vector that is
+null, all zero or with a null or non-finite component links with nothing, as
+does one whose label or id is null.  Equal rows link with each other, an empty
+table gives no rows, and further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from leafwright.llm import store
 from leafwright.llm.graph import components
+from leafwright.llm.textscan import one_thread, tidy
 
 COSINE, RECALL, SAMPLE, SLICE, SEED = 0.93, 0.98, 20_000, 512, 11
 #: Members of a cell over all labels, on average.
@@ -114,12 +116,15 @@ def _place(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
 
 def _compare(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links of one slice of a cell: counts per vector, and a spanning forest."""
+    one_thread()
     m, q = pdf[pdf["member"]], pdf[~pdf["member"]]
     none = pd.DataFrame({"rep": [], "links": [], "to": []}, dtype="int64")
     if not len(m) or not len(q):
         return none
     x, who, n_who = _units(pa.array(m["v"])), m["rep"].to_numpy(), m["n"].to_numpy()
-    seen = [set(v) for v in m["visits"]]
+    # (member, visited cell) as one number each, in order
+    width = int(max(max(int(np.max(v)) for v in m["visits"]), int(q["home"].max()))) + 1
+    seen = np.sort(np.concatenate([k * width + np.asarray(v, np.int64) for k, v in enumerate(m["visits"])]))
     nodes, links = np.unique(np.concatenate([who, q["rep"].to_numpy()])), {}
     count, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
     at_m = np.searchsorted(nodes, who)
@@ -132,7 +137,8 @@ def _compare(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
         at_q = np.searchsorted(nodes, rep[i])
         np.add.at(count, at_q, n_who[j])
         # a pair that the member's own search does not meet counts for the member too
-        lone = np.fromiter((home[a] not in seen[b] for a, b in zip(i, j, strict=True)), bool, len(i))
+        asked = j * width + home[i]
+        lone = seen[np.minimum(np.searchsorted(seen, asked), len(seen) - 1)] != asked
         np.add.at(count, at_m[j[lone]], n[i[lone]])
         pairs.append((at_q, at_m[j]))
     a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
@@ -184,7 +190,7 @@ def _search(one: DataFrame, n: int, dim: int, cosine: float) -> DataFrame:
         sample = _units(taken.toArrow()["v"].combine_chunks())
     index = Index(sample, n if dim > 1 else 1, cosine)
     kind = "rep long, label string, n long, v array<double>, cell long, visits array<long>"
-    placed = store.cut(one.select("rep", "label", "n", "v").mapInArrow(lambda it: _place(it, index), kind), "vec-placed")
+    placed = store.cut(one.select("rep", "label", "n", "v").mapInArrow(tidy(lambda it: _place(it, index)), kind), "vec-placed")
     large = placed.groupBy("label", "cell").count().where(F.col("count") > SLICE).select("label", "cell", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
     home = F.col("cell").alias("home")
     members = placed.select("rep", "label", "n", "v", "visits", "cell", home, F.lit(True).alias("member"))
