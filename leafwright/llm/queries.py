@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafwright.llm import bpe, dac, language_id, licenses, mixing, near_dups, pii, quality, token_counts, vectors
+from leafwright.llm import base_sql, bpe, dac, language_id, licenses, mixing, near_dups, pii, quality, token_counts, vectors
 
 #: The vocabulary files of public tokenizers; all machines hold them.
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +60,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+# What SQL can state of a contract, from the same operators.
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def personal_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_pii(spark, sf_dir).drop("spans", "n_spans")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quality(spark, sf_dir).drop("kept", "posterior")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -70,6 +88,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "licenses_base": licenses_base,
+    "personal_base": personal_base,
+    "quality_base": quality_base,
+    "mix_targets": mix_targets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL has no signatures, profiles, byte pairs, votes or draws.
+ORACLE_SQL: dict[str, str] = {
+    "op8_vectors": base_sql.VECTORS, "licenses_base": base_sql.LICENSES, "personal_base": base_sql.PERSONAL, "quality_base": base_sql.QUALITY, "mix_targets": base_sql.TARGETS,
+}
