@@ -133,3 +133,11 @@ def islands(rows: DataFrame, group: str, order: str, cells: str, least_cells: in
     r = rows.withColumn("breaks", F.sum((F.col(cells) < least_cells).cast("int")).over(w)).where(F.col(cells) >= least_cells)
     g = r.groupBy(group, "breaks").agg(F.min(order).alias("first_row"), F.count("*").alias("row_count"), F.max(cells).alias("col_count"))
     return g.where(F.col("row_count") >= least_rows).drop("breaks")
+
+
+def with_extractions(segments: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Segments with what was extracted from their first page (bundle, page,
+    ...); separators and covers have nothing."""
+    e = extractions.withColumnRenamed("page", "start_page")
+    real = segments.where(~F.col("is_separator"))
+    return real.join(e, ["bundle", "start_page"], "left").unionByName(segments.where(F.col("is_separator")), allowMissingColumns=True)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwright.operators.relational import NO_FIELDS
+
 #: The store's tables.
 SCHEMAS = {
-    "documents": "id long, file_name string, form_type string, confidence double, extracted_at string, processing_time_ms double",
+    "documents": "id long, file_path string, file_name string, form_type string, confidence double, extracted_at string, processing_time_ms double, raw_json string",
     "fields": "document_id long, field_name string, field_value string, field_type string",
-    "service_lines": "document_id long, line_number int, cpt_code string, date_of_service string, charge double, units int, reason_codes string",
+    "service_lines": "document_id long, line_number int, cpt_code string, date_of_service string, pos string, charge double, units int, reason_codes string",
     "diagnoses": "document_id long, icd10_code string, position int",
-    "page_index": "bundle string, start_page int, end_page int, provider string, date_of_service string, doc_type string",
+    "page_index": "bundle string, start_page int, end_page int, provider string, date_of_service string, doc_type string, page_count int, indexed_at string",
 }
 
 
@@ -29,6 +33,116 @@ def append(rows: DataFrame, database: str, table: str) -> None:
     rows.select(*(F.col(c).cast(t).alias(c) if c in known else F.lit(None).cast(t).alias(c) for c, t in kinds)).write.insertInto(f"{database}.{table}")
 
 
+def record_fields(records: DataFrame) -> DataFrame:
+    """(document_id, field_name, field_value, field_type) of JSON records (id,
+    record), one row per key but those of ``NO_FIELDS``; nested values are JSON."""
+    # the variant tells types, the map keeps nested values as they are written
+    r = records.select(F.col("id").alias("document_id"), F.expr("parse_json(record)").alias("v"), F.from_json("record", "map<string,string>").alias("texts"))
+    e = r.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    kind = F.expr("schema_of_variant(value)")
+    typed = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), "json").when(kind == "BOOLEAN", "boolean").when(kind.isin("STRING", "VOID"), "text").otherwise("numeric")
+    shown = F.when(typed == "json", F.try_element_at("texts", F.col("key"))).when(typed == "boolean", F.initcap(F.expr("cast(value as string)"))).otherwise(F.expr("cast(value as string)"))
+    return e.where(~F.col("key").isin(*NO_FIELDS)).select("document_id", F.col("key").alias("field_name"), shown.alias("field_value"), typed.alias("field_type"))
+
+
+def record_lines(records: DataFrame) -> DataFrame:
+    """(document_id, line_number, ...) of the service lines of JSON records (id, record)."""
+    line = "array<struct<date_from:string,date_of_service:string,cpt:string,pos:string,charge:double,units:int,reason_codes:array<string>,reason:array<string>>>"
+    e = records.select(F.col("id").alias("document_id"), F.posexplode(F.from_json(F.get_json_object("record", "$.service_lines"), line)).alias("at", "s")).where("s is not null")
+    date = F.coalesce(F.nullif("s.date_from", F.lit("")), F.col("s.date_of_service"))
+    return e.select(
+        "document_id", (F.col("at") + 1).alias("line_number"), F.col("s.cpt").alias("cpt_code"), date.alias("date_of_service"), F.col("s.pos").alias("pos"), F.col("s.charge").alias("charge"), F.col("s.units").alias("units"),
+        F.to_json(F.coalesce("s.reason_codes", "s.reason", F.array().cast("array<string>"))).alias("reason_codes"),
+    )
+
+
+def record_codes(records: DataFrame) -> DataFrame:
+    """(document_id, icd10_code, position) of JSON records (id, record)."""
+    return explode_diagnoses(records.select("id", F.from_json(F.get_json_object("record", "$.diagnoses"), "array<string>").alias("diagnoses"))).withColumnRenamed("id", "document_id")
+
+
+def store_extractions(extractions: DataFrame, database: str, at: str | None = None) -> DataFrame:
+    """Append extractions (file, form_type, confidence, record[, ms]) to the
+    four tables of a database and return them with their new ids: distinct and
+    above those in use, not dense.  They are written once, and what the tables
+    get is read from there."""
+    spark = extractions.sparkSession
+    base = spark.table(f"{database}.documents").agg(F.coalesce(F.max("id"), F.lit(-1)) + 1).first()[0]
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if at is None else F.lit(at)
+    ms = F.col("ms") if "ms" in extractions.columns else F.lit(None).cast("double")
+    rows = extractions.select(
+        (F.monotonically_increasing_id() + base).alias("id"), F.col("file").alias("file_path"), base_name(F.col("file")).alias("file_name"), "form_type", "confidence", ms.alias("processing_time_ms"), now.alias("extracted_at"), F.col("record").alias("raw_json"),
+    )
+    append(rows, database, "documents")
+    stored = spark.table(f"{database}.documents").where(F.col("id") >= base)
+    records = stored.select("id", F.col("raw_json").alias("record"))
+    append(record_fields(records), database, "fields")
+    append(record_lines(records), database, "service_lines")
+    append(record_codes(records), database, "diagnoses")
+    return stored
+
+
+def store_index(segments: DataFrame, database: str, at: str | None = None) -> None:
+    """Append the segments that are no separators or covers to a database's index."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if at is None else F.lit(at)
+    kept = segments.where(~F.col("doc_type").isin("Cover Sheet", "Separator"))
+    append(kept.withColumn("date_of_service", F.col("dos")).withColumn("indexed_at", now), database, "page_index")
+
+
+def base_name(path: Column) -> Column:
+    """The last part of a path."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def stem(path: Column) -> Column:
+    """The last part of a path without its extension."""
+    return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]+$", "")
+
+
+# Keys of a record that its display leaves out.
+NOT_SHOWN = (
+    "form_type", "extraction_mode", "stats", "enriched_via_generic", "marks_detected", "overlays_detected", "key_value_pairs", "selected_controls", "acroform_fields", "entities", "dates", "tables", "section_headers",
+)
+
+
+def shown_fields(records: DataFrame) -> DataFrame:
+    """(id, name, value) of JSON records (id, record) as an index shows them:
+    pairs, plain fields and lists of texts, codes and numbers, dates by their
+    context; of a name told several times the last."""
+    listed = lambda path: F.array_join(F.from_json(F.get_json_object("record", path), "array<string>"), ", ")
+    pairs = F.from_json(F.get_json_object("record", "$.key_value_pairs"), "array<struct<label:string,value:string>>")
+    plain = F.map_entries(F.map_filter(F.from_json("record", "map<string,string>"), lambda k, v: ~k.isin(*NOT_SHOWN) & v.isNotNull() & ~v.startswith("{") & ~(v.startswith("[") & ~v.startswith('["'))))
+    text = F.transform(plain, lambda e: F.struct(e["key"].alias("name"), F.when(e["value"].startswith('["'), F.array_join(F.from_json(e["value"], "array<string>"), ", ")).otherwise(e["value"]).alias("value")))
+    named = [F.struct(F.lit(n).alias("name"), F.nullif(listed(f"$.entities.{k}"), F.lit("")).alias("value")) for n, k in (("ICD-10 Codes", "icd10_codes"), ("MRN", "mrn"), ("Phone", "phone_numbers"))]
+    dates = F.transform(F.from_json(F.get_json_object("record", "$.dates"), "array<struct<date:string,context:string>>"), lambda d: F.struct(F.coalesce(F.nullif(d["context"], F.lit("")), F.lit("Date")).alias("name"), d["date"].alias("value")))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    own = F.transform(F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != "")), lambda p: F.struct(p["label"].alias("name"), p["value"].alias("value")))
+    every = F.filter(F.concat(*(F.coalesce(x.cast("array<struct<name:string,value:string>>"), none) for x in (own, text, F.array(*named), dates))), lambda x: x["value"].isNotNull())
+    e = records.select("id", F.posexplode(every).alias("at", "f"))
+    return e.groupBy("id", F.col("f.name").alias("name")).agg(F.max_by("f.value", "at").alias("value"))
+
+
+#: Queries that the explorer offers, over a database's tables.
+EXAMPLES = {
+    "All documents": "select id, file_name, form_type, concat(round(confidence * 100), '%') confidence, concat(round(processing_time_ms), 'ms') time from documents order by id",
+    "Form type breakdown": "select form_type, count(*) n, round(avg(confidence) * 100) avg_confidence_pct, round(avg(processing_time_ms)) avg_time_ms from documents group by form_type order by n desc",
+    "Patient names": "select d.file_name, d.form_type, f.field_value patient_name from documents d join fields f on d.id = f.document_id where f.field_name in ('patient_name', 'member_name') order by f.field_value",
+    "Claim charges": "select d.file_name, f.field_value total_charge from documents d join fields f on d.id = f.document_id where d.form_type = 'cms1500' and f.field_name = 'total_charge' order by coalesce(try_cast(f.field_value as double), 0) desc",
+    "Diagnoses": "select d.file_name, x.icd10_code, x.position from diagnoses x join documents d on d.id = x.document_id order by x.icd10_code",
+    "Service lines": "select d.file_name, s.cpt_code, s.date_of_service, s.charge, s.units from service_lines s join documents d on d.id = s.document_id order by s.cpt_code",
+    "All field names": "select distinct field_name from fields order by field_name",
+    "Tables": "show tables",
+}
+
+
+def example(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
+    """One of ``EXAMPLES`` over given tables instead of a database's."""
+    sql = EXAMPLES[name]
+    for t in tables:
+        sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", sql)
+    return spark.sql(sql, **tables)
+
+
 def nested(documents: DataFrame, **children: tuple[DataFrame, str, str]) -> DataFrame:
     """Each document with, per child (rows, value, order), the array of its
     values in order; empty where it has none."""

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.extractors import auto
-from leafwright.operators import evaluation
-from leafwright.plans import claim_queries, intake_queries, page_queries
+from leafwright.extractors import auto, drawn, ink
+from leafwright.extractors import page as P
+from leafwright.operators import evaluation, relational, segments, store
+from leafwright.plans import claim_queries, intake_queries, page_queries, queries
 from leafwright.plans.queries import query
+from leafwright.sources import sinks
 from leafwright.sources import views as V
 
 # Pairs of every kind of comparison, in words that both dialects read.
@@ -118,3 +120,130 @@ def review_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = intake_queries._INTAKE.pages(spark, sf_dir).select(F.concat(F.lit("f"), F.col("page")).alias("file"), "lines", "controls", F.lit(0).alias("page_no"))
     r = auto.review(p, 0.95)
     return r.select("file", "sex_conf", "smoker_conf", "claim_type_conf", F.coalesce(F.nullif(F.regexp_extract("flags", "(low_conf:.*)$", 1), F.lit("")), F.lit("low_conf:")).alias("low"))
+
+
+# A page of drawings for each part: (x0, y0, width, height, type, operations).
+_DRAWN = [
+    ("10", "10", "8 + k % 16", "9", "'s'", ["'re'"]), ("11", "11 + k % 3", "4", "4", "'f'", ["'re'"]), ("10.04", "10.04", "9", "9", "'s'", ["'re'"]), ("40", "10", "10", "10", "'s'", ["'l'", "'l'", "'l'", "'l'"]),
+    ("41", "11", "5", "6 + k % 9", "'s'", ["'l'"]), ("42", "12", "6", "5", "'s'", ["'l'", "'l'"]), ("70", "10", "12", "12", "'s'", ["'c'", "'c'"]), ("72 + k % 5", "13", "5 + k % 4 * 2", "5 + k % 4 * 2", "'f'", ["'c'", "'c'", "'c'"]),
+    ("100", "10", "12", "12", "'s'", ["'c'", "'l'"]), ("130", "10", "12", "14", "'s'", ["'c'"]), ("131 + k % 6", "12", "4", "3", "'f'", ["'l'", "'l'", "'l'"]), ("160", "10", "30", "8", "'s'", ["'re'"]), ("41", "13", "3", "3", "'f'", ["case when k % 4 = 0 then 're' else 'c' end"]),
+]
+_SHAPE_SQL = "case when list_contains(ops, 're') then 'rect' when len(list_filter(ops, lambda o: o = 'c')) > 0 and len(list_filter(ops, lambda o: o = 'l')) = 0 then 'circle' when len(list_filter(ops, lambda o: o = 'l')) >= 3 and (len(list_filter(ops, lambda o: o = 'c')) = 0 or len(list_filter(ops, lambda o: o = 'c')) >= 3) then 'rect' end"
+_DRAWN_SQL = "d0 as (select p_partkey k, unnest([" + ", ".join(f"{{i: {i}, x0: ({x})::double, y0: ({y})::double, x1: ({x} + {w})::double, y1: ({y} + {h})::double, t: {t}, ops: [{', '.join(ops)}]}}" for i, (x, y, w, h, t, ops) in enumerate(_DRAWN)) + f"""]) d from (select p_partkey, p_partkey k from part)),
+d1 as (select k, d.*, d.x1 - d.x0 w, d.y1 - d.y0 h from d0), d2 as (select *, w between 5 and 22 and h between 5 and 22 and abs(w - h) <= 3 sq, {_SHAPE_SQL} shape, w between 1 and 20 and h between 1 and 20 small from d1),
+sg as (select k, x0 ax, y0 ay, x1 bx, y1 by_ from d2, unnest(ops) u(o) where t = 's' and len(ops) <= 2 and o = 'l'), b0 as (select *, row_number() over (partition by k, shape, trunc(x0 * 10), trunc(y0 * 10) order by i) r from d2 where t = 's' and sq and shape is not null), b as (select * from b0 where r = 1),
+fr as (select * from d2 where t = 'f' and (sq and shape = 'rect' or not sq and small and coalesce(shape, '') <> 'circle')), fc as (select * from d2 where t = 'f' and shape = 'circle' and (sq or small))"""
+
+
+@query(f"""with {_DRAWN_SQL}, s as (select b.*, exists (select 1 from fr where fr.k = b.k and fr.x0 >= b.x0 - 1 and fr.x1 <= b.x1 + 1 and fr.y0 >= b.y0 - 1 and fr.y1 <= b.y1 + 1) filled, (select count(*) from sg where sg.k = b.k and ax between b.x0 - 1 and b.x1 + 1 and ay between b.y0 - 1 and b.y1 + 1 and bx between b.x0 - 1 and b.x1 + 1 and by_ between b.y0 - 1 and b.y1 + 1) lines,
+exists (select 1 from fc where fc.k = b.k and sqrt(((fc.x0 + fc.x1) / 2 - (b.x0 + b.x1) / 2) ** 2 + ((fc.y0 + fc.y1) / 2 - (b.y0 + b.y1) / 2) ** 2) <= (b.x1 - b.x0) / 2 * 0.5::double and (fc.x1 - fc.x0) / 2 < (b.x1 - b.x0) / 2 * 0.9::double) dot from b)
+select k page, case shape when 'rect' then 'checkbox' else 'radio' end kind, trunc(x0 * (300::double / 72)) x, trunc(y0 * (300::double / 72)) y, trunc(w * (300::double / 72)) w, case shape when 'rect' then filled or lines >= 2 else dot or filled end selected, (select count(*) >= 3 from d2 where d2.k = s.k and sq) useful from s""")
+def drawn_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = "transform(filter({ops}, o -> o = 'l'), o -> named_struct('x1', {x}, 'y1', {y}, 'x2', {x} + {w}, 'y2', {y} + {h}))"
+    each = ", ".join(
+        f"named_struct('x0', cast({x} as double), 'y0', cast({y} as double), 'x1', cast({x} + {w} as double), 'y1', cast({y} + {h} as double), 'type', {t}, 'ops', array({', '.join(ops)}), 'segs', {segs.format(ops='array(' + ', '.join(ops) + ')', x=f'cast({x} as double)', y=f'cast({y} as double)', w=w, h=h)})"
+        for x, y, w, h, t, ops in _DRAWN
+    )
+    d = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select(F.col("k").alias("page"), F.expr(f"array({each})").alias("drawings"))
+    c = drawn.controls(d).select("page", F.expr(drawn.useful()).alias("useful"), F.explode("controls").alias("c"))
+    return c.select("page", "c.kind", "c.x", "c.y", "c.w", "c.selected", "useful")
+
+
+_RECORD = """concat('{"form_type":"cms1500","patient_name":"P', k, '","total_charge":', k % 90, '.5,"accept_assignment":', case when k % 2 = 0 then 'true' else 'false' end, ',"tax_id_type":', case when k % 3 = 0 then 'null' else '"SSN"' end, ',"codes":["A1","B', k % 7, '"],"stats":{"text_lines":3},"service_lines":[{"date_from":"","date_of_service":"01/02/2024","cpt":"99213","charge":', k % 50, '.25,"units":1,"reason":["CO-1"]},null,{"date_from":"02/03/2024","cpt":"9', 1000 + k % 9, '"}],"diagnoses":["M1', k % 9, '",null,"S13.4"],"key_value_pairs":[{"label":"Room","value":"', k % 5, '"},{"label":"","value":"x"},{"label":"Room","value":"9"}],"dates":[{"date":"01/01/2024","context":"Visit"},{"date":"02/02/2024"}],"entities":{"mrn":["M', k, '","Z"],"phone_numbers":[]}}')"""
+_REC = f"r as (select p_partkey id, {_RECORD} t from (select p_partkey, p_partkey k from part))"
+
+
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select(F.col("k").alias("id"), F.expr(_RECORD).alias("record"))
+
+
+@query(f"""with {_REC}, u as (select id, t::json t, unnest(json_keys(t::json)) k from r), v as (select id, k, t->k j from u where k not in {relational.NO_FIELDS})
+select id document_id, k field_name, case json_type(j) when 'NULL' then null when 'BOOLEAN' then case when j::varchar = 'true' then 'True' else 'False' end when 'ARRAY' then j::varchar when 'OBJECT' then j::varchar else j->>'$' end field_value, case json_type(j) when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'json' when 'OBJECT' then 'json' when 'VARCHAR' then 'text' when 'NULL' then 'text' else 'numeric' end field_type from v""")
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.record_fields(json_records(spark, sf_dir))
+
+
+@query("""with p as (select p_partkey k from part) select k document_id, 1 line_number, '99213' cpt_code, '01/02/2024' date_of_service, (k % 50 + 0.25)::double charge, '["CO-1"]' reason_codes, 'M1' || k % 9 icd10_code, 1 as position from p union all select k, 3, '9' || (1000 + k % 9), '02/03/2024', null, '[]', 'S13.4', 3 from p""")
+def record_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = json_records(spark, sf_dir)
+    lines, codes = store.record_lines(r).drop("pos", "units"), store.record_codes(r)
+    return lines.join(codes.withColumn("line_number", F.col("position")), ["document_id", "line_number"])
+
+
+@query("""with p as (select p_partkey k from part) select k id, unnest(['Room', 'patient_name', 'total_charge', 'accept_assignment', 'codes', 'MRN', 'Visit', 'Date', 'diagnoses']) as name, unnest(['9', 'P' || k, (k % 90) || '.5', case when k % 2 = 0 then 'true' else 'false' end, 'A1, B' || k % 7, 'M' || k || ', Z', '01/01/2024', '02/02/2024', 'M1' || k % 9 || ', S13.4']) as value from p
+union all select k, 'tax_id_type', 'SSN' from p where k % 3 > 0""")
+def index_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.shown_fields(json_records(spark, sf_dir))
+
+
+@query(f"with {queries._SPLIT}, b as (select *, last_value(case when sep then '-' when type is not null then type when unlike then '-' end ignore nulls) over (partition by bundle order by page rows unbounded preceding) cur from a), c as (select *, fst or sep or coalesce(lag(sep) over o, false) or (type is not null and type is distinct from lag(cur) over o) or unlike as starts from b window o as (partition by bundle order by page)), d as (select *, sum(starts::int) over (partition by bundle order by page rows unbounded preceding)::bigint part from c) select bundle, 'records_part_' || case when part < 1000 then lpad(part::varchar, 3, '0') else part::varchar end || '.pdf' pdf, min(page) as start, max(page) as \"end\" from d group by bundle, part")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.split_manifest(segments.split_segments(V.bundles(spark, sf_dir)), "records").drop("type")
+
+
+@query("select o_orderkey id, o_orderkey || '_scan.v2.pdf' file_name, o_orderkey || '_scan.v2' stem from orders")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/in/dir.x/"), F.col("o_orderkey").cast("string"), F.lit("_scan.v2.pdf"))
+    return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), store.base_name(path).alias("file_name"), store.stem(path).alias("stem"))
+
+
+@query("with a as (select distinct c_mktsegment || c_nationkey provider from customer), b as (select distinct c_mktsegment || c_nationkey provider from customer where c_acctbal > 0) select provider from a except select provider from b")
+def missing_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.table(spark, sf_dir, "customer").select(F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("provider"), "c_acctbal")
+    return c.select("provider").distinct().exceptAll(c.where("c_acctbal > 0").select("provider").distinct())
+
+
+_STATES = "p_partkey % 40 / 100.0::double fill, p_partkey % 7 / 100.0::double edges, p_partkey % 50 / 100.0::double tpl, p_partkey % 60 / 100.0::double inner_, p_partkey % 45 / 50.0::double centre, p_partkey % 9 / 20.0::double ring, [35.0::double + p_partkey % 30, 120.0 + p_partkey % 50, 10.0]"
+
+
+@query(f"""with s as (select p_partkey k, {_STATES} a from part) select k, fill > 0.22::double or edges > 0.02::double or tpl > 0.35::double or (abs(a[1] - a[2]) between 70 and 110 and (a[1] between 30 and 70 or a[1] between 110 and 150) and (a[2] between 30 and 70 or a[2] between 110 and 150)) box, least(0.95::double, greatest(fill, edges * 3, tpl)) box_conf,
+inner_ > 0.25::double or (centre > 0.35::double and centre > ring * 1.5::double) radio, greatest(inner_, centre) radio_conf from s""")
+def control_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    d = V.table(spark, sf_dir, "part").select(
+        k.alias("k"), (k % 40 / 100).alias("fill"), (k % 7 / 100).alias("edges"), (k % 50 / 100).alias("tpl"), (k % 60 / 100).alias("inner_"), (k % 45 / 50).alias("centre"), (k % 9 / 20).alias("ring"),
+        F.array((F.lit(35.0) + k % 30), (F.lit(120.0) + k % 50), F.lit(10.0)).alias("a"),
+    )
+    p = P.staged(d, {"b": ink.box_state("fill", "a", "edges", "tpl"), "r": ink.radio_state("inner_", "centre", "ring")})
+    return p.select("k", F.col("b.selected").alias("box"), F.col("b.conf").alias("box_conf"), F.col("r.selected").alias("radio"), F.col("r.conf").alias("radio_conf"))
+
+
+@query("select o_orderkey id, case when o_orderkey % 3 = 0 then 'Female' else 'Male' end sex, 'x' kept, concat_ws(';', case when o_orderkey % 2 = 0 then 'low_conf:sex' end, case when o_orderkey % 3 = 0 then 'llm_adjusted' end) flags from orders")
+def corrected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    d = V.table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.create_map(F.lit("sex"), F.lit("Male"), F.lit("kept"), F.lit("x")).alias("record"), F.when(k % 3 == 0, F.create_map(F.lit("sex"), F.lit("Female"), F.lit("kept"), F.lit("y"))).alias("said"), F.when(k % 2 == 0, "low_conf:sex").otherwise("").alias("flagged"),
+    )
+    record, flags = ink.corrected("record", "said", "flagged")
+    return P.staged(d, {"r": record, "flags": flags}).select("id", F.col("r.sex").alias("sex"), F.col("r.kept").alias("kept"), "flags")
+
+
+@query(f"with {queries._SEGMENTS}, x as (select event_id page, user_id bundle, event_type || event_id found from events) select segs.bundle, start_page, end_page, case when not is_separator then found end found from segs left join x on x.bundle = segs.bundle and x.page = start_page")
+def segments_with_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("page"), F.col("user_id").alias("bundle"), F.concat("event_type", F.col("event_id").cast("string")).alias("found"))
+    return segments.with_extractions(segments.index_segments(V.bundles(spark, sf_dir)), x).select("bundle", "start_page", "end_page", "found")
+
+
+@query(f"with {queries._DOCS} select id, file_name, form_type, round(confidence * 100)::double || '%' confidence, round(processing_time_ms)::double || 'ms' as time from docs")
+def explore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.example(spark, "All documents", documents=V.documents(spark, sf_dir))
+
+
+@query(f"with {queries._DOCS} select form_type, count(*) n, round(avg(confidence) * 100)::double avg_confidence_pct, round(avg(processing_time_ms))::double avg_time_ms from docs group by 1")
+def explore_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.example(spark, "Form type breakdown", documents=V.documents(spark, sf_dir))
+
+
+@query(f"with {queries._DOCS} select file_name, form_type, c_name patient_name from orders join customer on o_custkey = c_custkey join docs on o_orderkey = id")
+def explore_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.example(spark, "Patient names", documents=V.documents(spark, sf_dir), fields=V.fields(spark, sf_dir))
+
+
+@query(f"with {queries._DOCS}, {queries._DX} select file_name, icd10_code, position from dx join docs on document_id = id")
+def explore_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.example(spark, "Diagnoses", documents=V.documents(spark, sf_dir), diagnoses=V.diagnoses(spark, sf_dir))
+
+
+@query(f"with {queries._DOCS} select file_name, (l_partkey + 10000)::varchar cpt_code, strftime(l_shipdate, '%m/%d/%Y') date_of_service, l_extendedprice charge, l_quantity::int units from lineitem join docs on l_orderkey = id")
+def explore_service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.example(spark, "Service lines", documents=V.documents(spark, sf_dir), service_lines=V.service_lines(spark, sf_dir))

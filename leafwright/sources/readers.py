@@ -37,6 +37,34 @@ def decoded(binary: DataFrame, decoder: Callable[[str, bytes], list[dict]]) -> D
     return binary.select("path", "content").mapInArrow(run, PAGE)
 
 
+def first_text(pages: DataFrame, tiers: list[str]) -> DataFrame:
+    """``pages`` with ``lines`` of the first tier (columns of lines, as from the
+    text layer and from recognisers) that has any, and ``text_source``: native
+    for the first, ocr for the others, none without lines."""
+    source = F.coalesce(*(F.when(F.size(t) > 0, "native" if i == 0 else "ocr") for i, t in enumerate(tiers)), F.lit("none"))
+    return pages.withColumn("text_source", source).withColumn("lines", F.coalesce(*(F.when(F.size(t) > 0, F.col(t)) for t in tiers)))
+
+
+def rasterised(binary: DataFrame, render: Callable[[bytes, int], list[tuple[int, int, bytes]]], dpi: int = 300) -> DataFrame:
+    """(path, page, image) of ``files``; ``render`` makes each file's pages
+    (width, height, grey bytes).  No renderer comes with this library."""
+    kind = "path string, page int, image struct<width:int,height:int,data:binary>"
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                for n, (width, height, data) in enumerate(render(content.as_py(), dpi)):
+                    # one page a batch: a raster is some megabytes
+                    yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "page": n, "image": {"width": width, "height": height, "data": data}}], schema=schema)
+
+    return binary.select("path", "content").mapInArrow(run, kind)
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("path").agg(F.count("*").alias("pages"))
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
     """(path, page_no, line, x0, y0, x1, y1, text)."""
     return pages.select("path", F.col("page").alias("page_no"), F.inline("lines"))
