@@ -52,17 +52,22 @@ def _packed(pages: DataFrame) -> DataFrame:
     return pages.withColumn("page", F.struct(*pages.columns))
 
 
+def _enriched(pages: DataFrame) -> DataFrame:
+    """Prepared pages with ``found``, what any page states."""
+    g = generic.generic(_packed(P.prepare(pages)))
+    return g.select("page.*", F.struct(*(F.col(c) for c in g.columns if c != "page")).alias("found"))
+
+
 def extract(pages: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """(file, form_type, confidence, record) of pages (file, page_no, lines,
     controls, and what else extractors read): ``record`` is JSON."""
     extractors = EXTRACTORS if extractors is None else extractors
-    p = P.prepare(classified(first_pages(pages)))
-    g = generic.generic(_packed(p))
-    p = g.select("page.*", F.struct(*(F.col(c) for c in g.columns if c != "page")).alias("found"))
+    known = classified(first_pages(pages))
     unknown = ~F.col("form_type").isin(*extractors)
-    parts = [p.where(unknown).select("file", "form_type", "confidence", _record("generic", "found", [], generic_only=True).alias("record"))]
+    parts = [_enriched(known.where(unknown)).select("file", "form_type", "confidence", _record("generic", "found", [], generic_only=True).alias("record"))]
     for kind, extractor in extractors.items():
-        x = extractor(_packed(p.where(F.col("form_type") == kind)))
+        # divided first: no filter passes below the extractors' stages
+        x = extractor(_packed(_enriched(known.where(F.col("form_type") == kind))))
         own = [c for c in x.columns if c != "page"]
         x = x.select("page.file", "page.form_type", "page.confidence", "page.found", F.struct(*own).alias("own"))
         parts.append(x.select("file", "form_type", "confidence", _record(kind, "found", own).alias("record")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +31,7 @@ def cleaned(text: str) -> str:
     return f"case when {bare} rlike '(?i)\\\\s(yes|no|male|female|other)$' then regexp_extract({bare}, '(\\\\S+)$', 1) else {bare} end"
 
 
+@lru_cache(200_000)
 def similarity(a: str, b: str) -> float:
     """Six tenths of the overlap of words, four of the ratio of matching blocks."""
     x, y = (set(re.findall(r"\w+", s.lower())) for s in (a, b))

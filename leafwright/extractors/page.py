@@ -8,7 +8,10 @@ are points; controls are given in pixels and scaled.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,27 +55,32 @@ def array(values: list[str]) -> str:
     return f"array({', '.join(map(quoted, values))})"
 
 
+@lru_cache(200_000)
 def like(text: str, needle: str, threshold: float) -> bool:
-    """Whether a text holds a needle, exactly or nearly."""
+    """Whether a text holds a needle, exactly or nearly.  Forms print the same
+    texts on page after page, so answers are kept."""
     t, n = " ".join(text.lower().split()), " ".join(needle.lower().split())
     bare = ["".join(c for c in s.lower() if c.isascii() and c.isalnum()) for s in (text, needle)]
     if n in t or (bare[1] and bare[1] in bare[0]):
         return True
     if len(n) < 4:
         return False
-    if len(t) >= len(n):
+    # no window matches more than the letters that both have
+    if len(t) >= len(n) and sum((_letters(t) & _letters(n)).values()) >= threshold * len(n):
         match = SequenceMatcher(None, "", n)
         for i in range(0, len(t) - len(n) + 1, len(n) // 4):
             match.set_seq1(t[i : i + len(n) + 4])
-            # the first two bound the third from above
-            if match.real_quick_ratio() >= threshold and match.quick_ratio() >= threshold and match.ratio() >= threshold:
+            if match.quick_ratio() >= threshold and match.ratio() >= threshold:
                 return True
     return " " in n and _overlap(t, n) >= 0.5
 
 
-def _overlap(a: str, b: str) -> float:
-    import re
+@lru_cache(50_000)
+def _letters(text: str) -> Counter[str]:
+    return Counter(text)
+
 
+def _overlap(a: str, b: str) -> float:
     x, y = (set(re.findall(r"\w+", s)) for s in (a, b))
     return len(x & y) / len(x | y) if x and y else 0.0
 
