@@ -138,7 +138,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, cut_at: str = "space
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(0)[0].as_py()
-            for b in blocks(batch.column(2), 1 << 20):
+            for b in blocks(batch.column(2), 1 << 21):
                 ids, starts = codec.encode(b)
                 keys = batch.column(1).slice(b.start, len(b))
                 nulls = keys.is_null().to_numpy(zero_copy_only=False)
