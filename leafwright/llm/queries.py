@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.llm import base_sql, bpe, dac, language_id, licenses, mixing, near_dups, pii, quality, token_counts, vectors
+from leafwright.llm import base_sql, bpe, dac, extraction, language_id, licenses, mixing, near_dups, pii, quality, spelling, token_counts, vectors, whitening
 
 #: The vocabulary files of public tokenizers; all machines hold them.
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 # What SQL can state of a contract, from the same operators.
 def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -77,6 +89,10 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
 
 
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -88,13 +104,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
     "licenses_base": licenses_base,
     "personal_base": personal_base,
     "quality_base": quality_base,
     "mix_targets": mix_targets,
+    "whitening_base": whitening_base,
 }
 
-#: SQL has no signatures, profiles, byte pairs, votes or draws.
+#: SQL has no signatures, profiles, byte pairs, votes, draws, element trees or eigenvectors.
 ORACLE_SQL: dict[str, str] = {
     "op8_vectors": base_sql.VECTORS, "licenses_base": base_sql.LICENSES, "personal_base": base_sql.PERSONAL, "quality_base": base_sql.QUALITY, "mix_targets": base_sql.TARGETS,
+    "op13_spelling": base_sql.SPELLING, "whitening_base": base_sql.DEVIATIONS,
 }
