@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from difflib import SequenceMatcher
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.extractors import page as P
+from leafwright.operators import fuzzy
+from leafwright.sources import shared
 
 # Options of the form, the texts of its anchors, and patterns.
 ALLERGIES = ["Penicillin", "Peanuts", "Latex", "Shellfish", "Pollen", "Dust", "None Known"]
@@ -31,28 +28,14 @@ def cleaned(text: str) -> str:
     return f"case when {bare} rlike '(?i)\\\\s(yes|no|male|female|other)$' then regexp_extract({bare}, '(\\\\S+)$', 1) else {bare} end"
 
 
-@lru_cache(200_000)
-def similarity(a: str, b: str) -> float:
-    """Six tenths of the overlap of words, four of the ratio of matching blocks."""
-    x, y = (set(re.findall(r"\w+", s.lower())) for s in (a, b))
-    if not x & y:
-        return 0.4 * SequenceMatcher(None, a.lower(), b.lower()).ratio() if x and y else 0.0
-    return 0.6 * len(x & y) / len(x | y) + 0.4 * SequenceMatcher(None, a.lower(), b.lower()).ratio()
-
-
-def _similar(options: list[str]):
-    """Which options each text is like, at a threshold; what shares no word is none (thresholds exceed 0.4)."""
-    words = [set(re.findall(r"\w+", o.lower())) for o in options]
-
-    @F.pandas_udf("array<array<string>>")
-    def like(texts: pd.Series, least: pd.Series) -> pd.Series:
-        def of(text: str, threshold: float) -> list[str]:
-            own = set(re.findall(r"\w+", text.lower()))
-            return [o for o, w in zip(options, words, strict=True) if own & w and similarity(text, o) >= threshold]
-
-        return pd.Series([[of(t, x) for t in ts] for ts, x in zip(texts, least, strict=True)])
-
-    return like
+def _told(pages: DataFrame, texts: str, name: str, options: list[str], least: float, read: float) -> DataFrame:
+    """``pages`` with which options each text of an array is like, at a threshold
+    and at that of pages read optically."""
+    near = fuzzy.alike(pages.select(F.explode(F.expr(texts)).alias("text")), options, min(least, read))
+    found = shared.cut(near, "alike")
+    pages = fuzzy.told(pages, texts, "_plain", found.where(F.col("ratio") >= least))
+    pages = fuzzy.told(pages, texts, "_read", found.where(F.col("ratio") >= read))
+    return P.staged(pages, {name: f"transform(if(ocr, _read, _plain), ks -> transform(ks, k -> {P.array(options)}[k]))"}).drop("_plain", "_read")
 
 
 def anchored(pages: DataFrame, anchors: dict[str, tuple[str, ...]], threshold: float = 0.78) -> DataFrame:
@@ -124,10 +107,9 @@ def intake(pages: DataFrame) -> DataFrame:
         if name not in pages.columns:
             pages = pages.withColumn(name, value)
     p = P.staged(anchored(pages, ANCHORS), {"mid": "coalesce(width, 612D) / 2", "ocr": "coalesce(text_source = 'ocr', false)"}, {"tol": "if(ocr, 1.8D, 1D)"})
-    texts, labels = F.transform("lines", lambda x: x["text"]), F.transform("controls", lambda x: x["label"])
-    least = lambda a, b: F.when(F.col("ocr"), a).otherwise(b)
-    like_allergy, like_symptom = _similar(ALLERGIES), _similar(SYMPTOMS)
-    p = p.withColumns({"is_allergy": like_allergy(texts, least(0.55, 0.8)), "is_symptom": like_symptom(texts, least(0.5, 0.7)), "labels_symptom": like_symptom(labels, F.lit(0.5))})
+    p = _told(p, "lines.text", "is_allergy", ALLERGIES, 0.8, 0.55)
+    p = _told(p, "lines.text", "is_symptom", SYMPTOMS, 0.7, 0.5)
+    p = _told(p, "controls.label", "labels_symptom", SYMPTOMS, 0.5, 0.5)
     listed = "filter(transform(lines, (l, i) -> named_struct('l', l, 'o', get(is_allergy[i], 0))), q -> q.o is not null and q.l.cy - at_allergies.cy between 4 and 220)"
     below = "filter(lines, l -> (l.cx < mid) = (at_symptoms.x0 < mid) and l.cy > at_symptoms.cy and array_contains(is_symptom[l.i], o))"
     symptom = f"transform({P.array(SYMPTOMS)}, o -> named_struct('o', o, 'l', get({P.by(below, 'l.y0')}, 0)))"

@@ -8,15 +8,11 @@ are points; controls are given in pixels and scaled.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from difflib import SequenceMatcher
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwright.operators import fuzzy
+
 #: Pixels a point of the images on which controls are found.
 SCALE = 300 / 72
 LINE = "struct<i:int,text:string,x0:double,y0:double,x1:double,y1:double,cx:double,cy:double,said:string,norm:string,tight:string>"
@@ -55,44 +51,14 @@ def array(values: list[str]) -> str:
     return f"array({', '.join(map(quoted, values))})"
 
 
-@lru_cache(200_000)
-def like(text: str, needle: str, threshold: float) -> bool:
-    """Whether a text holds a needle, exactly or nearly.  Forms print the same
-    texts on page after page, so answers are kept."""
-    t, n = " ".join(text.lower().split()), " ".join(needle.lower().split())
-    bare = ["".join(c for c in s.lower() if c.isascii() and c.isalnum()) for s in (text, needle)]
-    if n in t or (bare[1] and bare[1] in bare[0]):
-        return True
-    if len(n) < 4:
-        return False
-    # no window matches more than the letters that both have
-    if len(t) >= len(n) and sum((_letters(t) & _letters(n)).values()) >= threshold * len(n):
-        match = SequenceMatcher(None, "", n)
-        for i in range(0, len(t) - len(n) + 1, len(n) // 4):
-            match.set_seq1(t[i : i + len(n) + 4])
-            if match.quick_ratio() >= threshold and match.ratio() >= threshold:
-                return True
-    return " " in n and _overlap(t, n) >= 0.5
-
-
-@lru_cache(50_000)
-def _letters(text: str) -> Counter[str]:
-    return Counter(text)
-
-
-def _overlap(a: str, b: str) -> float:
-    x, y = (set(re.findall(r"\w+", s)) for s in (a, b))
-    return len(x & y) / len(x | y) if x and y else 0.0
-
-
 def anchored(pages: DataFrame, anchors: dict[str, tuple[str, ...]], prefix: tuple[str, ...] = (), threshold: float | None = 0.78) -> DataFrame:
     """``pages`` with a line (or null) for each name: the first that holds its
     text (begins with it, for names in ``prefix``), letter case and white space
     aside; else the first that nearly does.  Of several texts the first that
     any line has, exactly or nearly, counts.
 
-    Near matching has no built-in equal; a page is handed to Python only if
-    one of its anchors was not found.
+    Of the pages on which an anchor was not found, the distinct texts are
+    compared with it; pages themselves stay where they are.
     """
     flat = [(name, k, text) for name, texts in anchors.items() for k, text in enumerate(texts)]
     hit = {}
@@ -102,20 +68,9 @@ def anchored(pages: DataFrame, anchors: dict[str, tuple[str, ...]], prefix: tupl
         hit[f"_{name}{k}"] = f"get(filter(lines, l -> {test}(l.norm, {quoted(norm)}) or {test}(l.tight, {quoted(norm.replace(' ', ''))})), 0)"
     pages = staged(pages, hit)
     if threshold is not None:
-        needles = [text for _, _, text in flat]
-
-        @F.pandas_udf("array<int>")
-        def near(pages_of: pd.Series, missing: pd.Series) -> pd.Series:
-            def places(texts, lacks) -> list[int | None] | None:
-                if texts is None:
-                    return None
-                return [next((i for i, t in enumerate(texts) if like(t, n, threshold)), None) if lack else None for n, lack in zip(needles, lacks, strict=True)]
-
-            return pd.Series([places(*x) for x in zip(pages_of, missing, strict=True)])
-
-        lacks = f"array({', '.join(f'{c} is null' for c in hit)})"
-        pages = pages.withColumn("_near", near(F.expr(f"case when exists({lacks}, x -> x) then transform(lines, l -> l.text) end"), F.expr(lacks)))
-        pages = staged(pages, {c: f"coalesce({c}, get(lines, get(_near, {j})))" for j, c in enumerate(hit)})
+        texts = pages.where(" or ".join(f"{c} is null" for c in hit)).select(F.explode("lines.text").alias("text"))
+        pages = fuzzy.told(pages, "lines.text", "_near", fuzzy.nearly(texts, [text for *_, text in flat], threshold))
+        pages = staged(pages, {c: f"coalesce({c}, get(lines, cast(array_position(transform(_near, ks -> array_contains(ks, {j})), true) as int) - 1))" for j, c in enumerate(hit)})
     chosen = {name: f"coalesce({', '.join(f'_{name}{k}' for k in range(len(texts)))})" for name, texts in anchors.items()}
     return staged(pages, chosen).drop(*hit, "_near")
 

@@ -97,7 +97,7 @@ def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.table(spark, sf_dir, "part")
-    return d.select("p_partkey", fuzzy.contains_like(F.col("p_name"), "part number", 0.78).alias("found"), fuzzy.edit_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
+    return fuzzy.contains_like(d, "p_name", "part number", 0.78).select("p_partkey", "found", fuzzy.edit_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
 
 
 QUERIES |= {"suppressed_boxes": suppressed_boxes, "fuzzy_anchor": fuzzy_anchor}

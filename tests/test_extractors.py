@@ -1,5 +1,6 @@
 """Extractors, ink, the store and reports where no SQL restates them."""
 
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -30,21 +31,54 @@ def test_anchors_are_found_nearly(spark):
     assert tuple(found) == (0, 1, None)
 
 
-@pytest.mark.parametrize(("text", "needle"), [("patlent name", "patient name"), ("xx 1.MEDICARE", "1. medicare"), ("abcd", "abdc"), ("name of the patient", "patient name"), ("", "abcd"), ("abc", "abcdef")])
-def test_nearness_is_that_of_plain_windows(text, needle):
+def _plainly(text, needle, threshold):
     t, n = " ".join(text.lower().split()), " ".join(needle.lower().split())
-    windows = [SequenceMatcher(None, t[i : i + len(n) + 4], n).ratio() for i in range(0, max(1, len(t) - len(n) + 1), max(1, len(n) // 4))] if len(t) >= len(n) else []
-    words = P._overlap(t, n) >= 0.5 and " " in n
-    bare = ["".join(c for c in s if c.isalnum()) for s in (t, n)]
-    assert P.like(text, needle, 0.78) == (n in t or bare[1] in bare[0] or max(windows, default=0) >= 0.78 or words)
-
-
-def test_similarity_of_options():
-    for a in ("Penicilin", "none known", "Chest  pain", "cough drops", "x"):
-        for b in intake.ALLERGIES + intake.SYMPTOMS:
-            x, y = set(a.lower().split()), set(b.lower().split())
-            want = 0.6 * len(x & y) / len(x | y) + 0.4 * SequenceMatcher(None, a.lower(), b.lower()).ratio()
-            assert intake.similarity(a, b) == pytest.approx(want)
+    windows = [SequenceMatcher(None, t[i : i + len(n) + 4], n).ratio() for i in range(0, max(1, len(t) - len(n) + 1), max(1, len(n) // 4))] if len(t) >= len(n) >= 4 else []
+    x, y = (set(re.findall(r"\w+", s)) for s in (t, n))
+    words = bool(x and y) and len(x & y) / len(x | y) >= 0.5 and " " in n and len(n) >= 4
+    bare = ["".join(c for c in s if c.isascii() and c.isalnum()) for s in (t, n)]
+    return n in t or bool(bare[1]) and bare[1] in bare[0] or max(windows, default=0) >= threshold or words
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.78, 0.9])
+def test_nearness_is_that_of_plain_windows(spark, threshold):
+    rng = np.random.default_rng(7)
+    needles = ["patient name", "1. medicare", "abdc", "date of service", "mva", "28. total charge", "aaaa", "née à"]
+    texts = ["patlent name", "xx 1.MEDICARE", "abcd", "axbd", "name of the patient", "", "abc", "aaxaa", "NÉE  à Lyon", "--"]
+    for n in needles:  # garbled in a few places, alone and inside a line
+        for _ in range(12):
+            c = list(n)
+            for _ in range(rng.integers(1, 5)):
+                at = int(rng.integers(0, len(c)))
+                c[at : at + int(rng.integers(0, 2))] = list("xq r1"[: rng.integers(0, 3)])
+            texts += ["".join(c), "so: " + "".join(c) + " 12/03", "".join(c).upper()]
+    table = spark.createDataFrame([(t,) for t in [*texts, *texts, None]], "text string")
+    got = fuzzy.nearly(table, needles, threshold).collect()
+    assert len(got) == len(set(got))
+    assert {tuple(r) for r in got} == {(t, k) for t in set(texts) for k, n in enumerate(needles) if _plainly(t, n, threshold)}
+
+
+def test_found_texts_are_told_to_rows(spark):
+    rows = spark.createDataFrame([(1, ["a", None, "b"]), (1, ["a", None, "b"]), (2, []), (3, None), (4, ["c"] * 3)], "id int, texts array<string>")
+    pairs = spark.createDataFrame([("a", 2), ("a", 0), ("b", 1), ("z", 1)], "text string, k int")
+    want = [(1, [[0, 2], [], [1]])] * 2 + [(2, []), (3, None), (4, [[], [], []])]
+    for sent in (1000, 0):  # as a part of the plan, and by a join
+        got = fuzzy.told(rows, "texts", "found", pairs, sent).select("id", "found").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert fuzzy.told(rows, "texts", "found", pairs.limit(0)).where("id = 4").first()["found"] == [[], [], []]
+
+
+def test_similarity_of_options(spark):
+    texts, options = ["Penicilin", "none known", "Chest  pain", "cough drops", "x", "Known: none?", "chest", ""], intake.ALLERGIES + intake.SYMPTOMS
+    want = {}
+    for a in texts:
+        for k, b in enumerate(options):
+            x, y = set(re.findall(r"\w+", a.lower())), set(re.findall(r"\w+", b.lower()))
+            ratio = (0.6 * len(x & y) / len(x | y) if x and y else 0) + 0.4 * SequenceMatcher(None, a.lower(), b.lower()).ratio()
+            if ratio >= 0.5:
+                want[a, k] = ratio
+    got = {(r["text"], r["k"]): r["ratio"] for r in fuzzy.alike(spark.createDataFrame([(t,) for t in texts], "text string"), options, 0.5).collect()}
+    assert got == pytest.approx(want) and len(want) >= 3
 
 
 def test_scanned_intake(spark):
