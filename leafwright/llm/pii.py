@@ -10,16 +10,19 @@ corpus estimates how reliable each labeler is; its posteriors weigh the
 training of a logistic span classifier on the votes and the kind, which alone
 decides.
 
-A null text is an empty one and has no spans.  Spans are in code points, end
-exclusive.  Rows are judged one by one; what is collected is one count per
+A null text is an empty one and has no spans, an empty table gives no rows,
+further columns are not read (``redact`` carries them).  Spans are in code
+points, end exclusive.  Names are of any alphabet that has capitals, with marks,
+hyphens and apostrophes.  Rows are judged one by one; what is collected is one count per
 kind and vote pattern, of which there are few.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,13 +78,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _class(test: Callable[[str], bool]) -> str:
+    """The inside of a character class: the ranges of letters that pass a test."""
+    points = [p for p in range(0x1E943 + 1) if test(chr(p))]
+    starts = [p for k, p in enumerate(points) if k == 0 or points[k - 1] != p - 1]
+    ends = [p for k, p in enumerate(points) if k + 1 == len(points) or points[k + 1] != p + 1]
+    return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(starts, ends, strict=True))
+
+
+_UPPER = f"[{_class(lambda c: c.isupper() or c.istitle())}]"
+# what follows in a name: letters that aren't capitals, and marks that stand by themselves
+_LOWER = f"[{_class(lambda c: c.isalpha() and not c.isupper() and not c.istitle())}\u0300-\u036f]"
+_NAME = rf"(?:[DLO]['’])?{_UPPER}{_LOWER}++(?:[-'’]{_UPPER}{_LOWER}++)*+"
+
 _LOOSE = {
     "local_phone": re.compile(r"(?:\([0-9]{3}\)\x20?|\b[0-9]{3}[-.\x20])[0-9]{3}[-.][0-9]{4}\b"),
     "national_id": re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b"),
     "secret": re.compile(r"\b(?:password|passwd|pwd|secret|token|api_key|apikey|access_key)\x20?[=:]\x20?\S{6,}+|\bAKIA[A-Z0-9]{16}\b"),
     "spelled_email": re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,}+(?![A-Za-z0-9_])"),
-    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?(?![A-Za-z0-9_])"),
+    "name": re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20{_NAME}(?:\x20{_NAME})?(?!\w)"),
 }
 #: A text without any of these has no proposal.
 _HINT = re.compile(r"[0-9]{4}|[=:\[(]|\bAKIA|\b[A-Z]{2}[0-9]{2}[\x20A-Z0-9]|\b(?:M[rs]|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor)")
@@ -93,6 +109,14 @@ _GIVEN = frozenset("""
     max michael miguel monika nancy nicolas nina olga oliver oscar pablo patricia patrick paul pedro peter petra philip pierre rachel rafael richard rita robert rosa ruth sabine sandra sarah simon sofia sophie stefan susan
     sylvia teresa thomas ursula uwe victor walter werner william wolfgang
 """.split())
+
+
+def _folded(text: str) -> str:
+    """Letters in lower case without their marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+
+
+_GIVEN = frozenset(map(_folded, _GIVEN))
 _DOMAINS = frozenset("ai at au be biz br ca ch cn co com cz de dev dk edu es eu fi fr gov gr hu ie in info int io it jp kr mil mx net nl no nz org pl pt ro ru se tr uk us".split())
 _FOR = re.compile(r"\b(?:call|phone|tel|fax|mobile|contact|ssn|social|id|iban|account|bank|mail|email|login|user|password|key|name|dear|by)\b[^.\n]{0,20}$", re.I)
 _AGAINST = re.compile(r"\b(?:isbn|issn|version|order|invoice|serial|part|ref|figure|chapter|example)\b[^.\n]{0,20}$", re.I)
@@ -117,12 +141,12 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
         shape = 0
     gazetteer = 0
     if kind == "name":
-        gazetteer = 1 if _GIVEN & set(span.lower().split()) else 0
+        gazetteer = 1 if _GIVEN & set(re.split(r"[\s'’-]", _folded(span))) else 0
     elif kind == "spelled_email":
         gazetteer = 1 if re.split(r"[\])\x20]", span)[-1].lower() in _DOMAINS else -1
     context = -1 if _AGAINST.search(lead) else 1 if _FOR.search(lead) or kind in ("secret", "name") else 0
     near = text[max(0, start - 1) : start] + text[end : end + 1]
-    return shape, gazetteer, context, -1 if re.search(r"[0-9A-Za-z_/=-]", near) else 1
+    return shape, gazetteer, context, -1 if re.search(r"[\w/=-]", near) else 1
 
 
 #: Cuts between lengths of spans, and between shares of digits.
