@@ -12,13 +12,15 @@ all of them search; every pair met is verified in double precision.
 The codebooks are fitted on at most ``SAMPLE`` vectors (k-means, seeded); their
 size grows with the square root of the number of vectors, so that cells stay
 of even size.  Equal vectors of one label are one row with a count.  A cell
-with more than ``SLICE`` members is split by hash and visited slice by slice.
+with more than ``SLICE`` members is split by hash, and so are its visitors if
+they are more than ``ASKERS``; each slice of the one meets each of the other.
 A task counts links and gives a spanning forest of them, not the pairs.
 
 Vectors of one label are compared with those of equal length.  A vector that is
 null, all zero or with a null or non-finite component links with nothing, as
-does one whose label or id is null.  Equal rows link with each other, an empty
-table gives no rows, and further columns are not read.
+does one whose label or id is null.  Equal rows link with each other, rows of
+one id are rows of their own, an empty table gives no rows, and further columns
+are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from leafwright.llm import store
 from leafwright.llm.graph import components
 from leafwright.llm.textscan import one_thread, tidy
 
-COSINE, RECALL, SAMPLE, SLICE, SEED = 0.93, 0.98, 20_000, 512, 11
+COSINE, RECALL, SAMPLE, SLICE, ASKERS, SEED = 0.93, 0.98, 20_000, 512, 8192, 11
 #: Members of a cell over all labels, on average.
 CELL = 64
 
@@ -157,27 +159,30 @@ def _compare(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
 def near_dups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     spark = vectors.sparkSession
-    d = vectors.select(F.col(id_col).alias("rep"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    d = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    d = d.withColumn("ok", F.coalesce(fine & F.col("label").isNotNull() & F.col("rep").isNotNull(), F.lit(False)))
-    # -0.0 and 0.0 are one
-    d = store.cut(d.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda e: e + F.lit(0.0)))).withColumn("digest", F.md5(F.concat_ws(",", "label", F.array_join("v", ",")))), "vec-rows")
-    one = d.where("ok").groupBy("digest").agg(F.min("rep").alias("rep"), F.first("label").alias("label"), F.count("*").alias("n"), F.first("v").alias("v"))
+    d = d.withColumn("ok", F.coalesce(fine & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False)))
+    # -0.0 and 0.0 are one; label and components can't run into each other
+    d = store.cut(d.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda e: e + F.lit(0.0)))).withColumn("digest", F.md5(F.to_json(F.struct("label", "v")))), "vec-rows")
+    one = d.where("ok").groupBy("digest").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.first("label").alias("label"), F.count("*").alias("n"), F.first("v").alias("v"))
     one = store.cut(one, "vec-distinct")
     sizes = one.groupBy(F.size("v").alias("dim")).count().collect()  # one row per length
     parts = [_search(one.where(F.size("v") == r["dim"]), r["count"], r["dim"], cosine) for r in sizes]
-    out = d.select("rep", F.when(F.col("ok"), F.col("digest")).alias("digest"))
+    out = d.select("id", F.when(F.col("ok"), F.col("digest")).alias("digest"))
     if not parts:
-        return out.select(F.col("rep").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"), F.lit(True).alias("kept"))
+        return out.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
     found = store.cut(found, "vec-found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    per = one.select("digest", "rep", "n").join(links, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
-    per = per.select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = out.join(per, "digest", "left").select(F.col("rep").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    per = one.select("digest", "rep", "least", "n").join(links, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
+    per = store.cut(per.select("digest", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vec-groups")
+    # rows are numbers so far; a component is named by the smallest id of its rows
+    named = per.groupBy("component").agg(F.min("least").alias("component_id"))
+    per = per.join(named, "component").select("digest", "n_links", "component_id")
+    out = out.join(per, "digest", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
@@ -191,12 +196,16 @@ def _search(one: DataFrame, n: int, dim: int, cosine: float) -> DataFrame:
     index = Index(sample, n if dim > 1 else 1, cosine)
     kind = "rep long, label string, n long, v array<double>, cell long, visits array<long>"
     placed = store.cut(one.select("rep", "label", "n", "v").mapInArrow(tidy(lambda it: _place(it, index)), kind), "vec-placed")
-    large = placed.groupBy("label", "cell").count().where(F.col("count") > SLICE).select("label", "cell", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
+    asked = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("asks"))
+    large = placed.groupBy("label", "cell").agg(F.count("*").alias("n_own")).join(asked, ["label", "cell"]).where((F.col("n_own") > SLICE) | (F.col("asks") > ASKERS))
+    large = large.select("label", "cell", F.ceil(F.col("n_own") / SLICE).cast("int").alias("slices"), F.ceil(F.col("asks") / ASKERS).cast("int").alias("ask_slices"))
     home = F.col("cell").alias("home")
     members = placed.select("rep", "label", "n", "v", "visits", "cell", home, F.lit(True).alias("member"))
     asks = placed.select("rep", "label", "n", "v", F.array().cast("array<long>").alias("visits"), F.explode("visits").alias("cell"), home, F.lit(False).alias("member"))
-    members = members.join(large, ["label", "cell"], "left").withColumn("slice", F.pmod(F.xxhash64("rep"), F.coalesce("slices", F.lit(1))).cast("int"))
     asks = asks.join(placed.select("label", "cell").distinct(), ["label", "cell"], "left_semi")
-    asks = asks.join(large, ["label", "cell"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
+    own = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    members = members.join(large, ["label", "cell"], "left").withColumn("slice", own("slices", 1)).withColumn("ask_slice", every("ask_slices"))
+    asks = asks.join(large, ["label", "cell"], "left").withColumn("slice", every("slices")).withColumn("ask_slice", own("ask_slices", 2))
     rows = members.unionByName(asks)
-    return rows.groupBy("label", "cell", "slice").applyInPandas(lambda pdf: _compare(pdf, cosine), "rep long, links long, to long")
+    return rows.groupBy("label", "cell", "slice", "ask_slice").applyInPandas(lambda pdf: _compare(pdf, cosine), "rep long, links long, to long")
