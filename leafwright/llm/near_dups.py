@@ -132,7 +132,7 @@ def _described(batches: Iterator[pa.RecordBatch], words: int, size: int, rows: i
                     key = mix(key * _U(5) + sig[:, k::rows][:, : size // rows])
                 key = mix(key + np.arange(size // rows, dtype=_U)[None])
             at = np.searchsorted(doc, np.arange(len(b) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((code >> _U(32)).astype(np.uint32).view(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(code.view(np.int64)))
             at = np.searchsorted(has, np.arange(len(b) + 1)) * (size // rows)
             keys = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key.ravel().view(np.int64)))
             kept = [batch.column(i).slice(b.start, len(b)) for i in range(3)]
@@ -184,7 +184,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     text = F.col(text_col)
     # equal texts with a word are one; those that differ in white space only are linked later
     d = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text))).alias("digest"), text.alias("text"))
-    kind = f"row long, doc_id {d.schema['doc_id'].dataType.simpleString()}, digest binary, shingles array<int>, bands array<long>"
+    kind = f"row long, doc_id {d.schema['doc_id'].dataType.simpleString()}, digest binary, shingles array<long>, bands array<long>"
     described = tables.cut(d.mapInArrow(tidy(lambda it: _described(it, words, size, rows)), kind), "texts")
     nodes = tables.cut(described.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node")), "nodes")
     bands = described.select(F.col("row").alias("node"), "bands").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
