@@ -180,8 +180,8 @@ def predicted(model: tuple[list[str], np.ndarray], text_col: str = "text") -> Co
     return judge(F.col(text_col))
 
 
-def _judged(b: Block, unit: np.ndarray, best: np.ndarray, score: np.ndarray) -> None:
-    """Fill in the best language and score of the texts of a block that have letters."""
+def _cosines(b: Block, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some texts of a block that have letters, and their cosines with each language."""
     doc, gram, has = gram_keys(b)
     edge = np.searchsorted(doc, np.arange(0, len(b) + _DOCS, _DOCS))
     for k, at in enumerate(range(0, len(b), _DOCS)):
@@ -189,9 +189,49 @@ def _judged(b: Block, unit: np.ndarray, best: np.ndarray, score: np.ndarray) ->
         if own.start < own.stop and len(unit):
             v = _bundler().sums(doc[own] - at, gram[own], n)
             size = np.linalg.norm(v, axis=1)
-            cos = v @ unit.T / np.where(size > 0, size, 1)[:, None]
             known = np.flatnonzero(has[at : at + n])
-            best[at + known], score[at + known] = cos.argmax(1)[known], cos.max(1).clip(0, 1)[known]
+            yield at + known, (v @ unit.T / np.where(size > 0, size, 1)[:, None])[known]
+
+
+def _judged(b: Block, unit: np.ndarray, best: np.ndarray, score: np.ndarray) -> None:
+    """Fill in the best language and score of the texts of a block that have letters."""
+    for rows, cos in _cosines(b, unit):
+        best[rows], score[rows] = cos.argmax(1), cos.max(1).clip(0, 1)
+
+
+def compared(model: tuple[list[str], np.ndarray], text_col: str = "text", lang_col: str = "lang") -> Column:
+    """(lang_pred, score, own, lead) of a text and its label: ``own`` is the
+    cosine with the label's language (null if it was not learned), ``lead`` how
+    far the best language is before the second (0 with a single one)."""
+    langs, proto = model
+    norms = np.linalg.norm(proto, axis=1, keepdims=True)
+    unit = proto / np.where(norms > 0, norms, 1)
+    at = {lang: i for i, lang in enumerate(langs)}
+
+    @F.arrow_udf("lang_pred string, score double, own double, lead double")
+    def judge(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        names = np.array([*langs, "und"], object)
+
+        def run(arrays: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for text, lang in arrays:
+                n = len(text)
+                best, score, own, lead = np.full(n, len(langs)), np.zeros(n), np.full(n, np.nan), np.zeros(n)
+                label = np.array([at.get(x, -1) for x in lang.to_pylist()], np.int64)
+                for b in blocks(text, BLOCK_BYTES):
+                    for rows, cos in _cosines(b, unit):
+                        rows = rows + b.start
+                        top = np.sort(cos, 1)
+                        best[rows], score[rows] = cos.argmax(1), top[:, -1].clip(0, 1)
+                        if len(langs) > 1:
+                            lead[rows] = top[:, -1] - top[:, -2]
+                        told = np.flatnonzero(label[rows] >= 0)
+                        own[rows[told]] = cos[told, label[rows[told]]]
+                cols = [pa.array(names[best], pa.string()), pa.array(score), pa.array(own, from_pandas=True), pa.array(lead)]
+                yield pa.StructArray.from_arrays(cols, ["lang_pred", "score", "own", "lead"])
+
+        yield from tidy(run)(columns)
+
+    return judge(F.col(text_col), F.col(lang_col))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text_col: str = "text") -> DataFrame:
