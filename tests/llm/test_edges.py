@@ -114,6 +114,36 @@ def test_repeated_passages(spark):
     assert found == brute.text_classes(docs) == {i: i - i % 3 for i in range(36)}
 
 
+@pytest.mark.parametrize(("text", "name"), [
+    ("da kam Frau Schäfer an", "Frau Schäfer"), ("Herr Müller", "Herr Müller"), ("la Señora Núñez.", "Señora Núñez"), ("Dr. Émile Zola, x", "Dr. Émile Zola"), ("Mrs Anne-Marie O'Neil x", "Mrs Anne-Marie O'Neil"),
+    ("Mr Smith's", "Mr Smith"), ("Prof. Иван Петров", "Prof. Иван Петров"), ("Madame Zoe\u0301 Roux", "Madame Zoe\u0301 Roux"),
+])
+def test_names_of_any_letters_are_whole(spark, text, name):
+    assert [text[p[1] : p[2]] for p in pii.proposals(text, []) if p[0] == "name"] == [name]
+    docs = spark.createDataFrame([(1, text), (2, "to Mrs Anna Lee, dear Mr Paul Roth")], "doc_id long, text string")
+    at = text.index(name)
+    assert pii.digest(docs).where("doc_id = 1").first()["spans"] == f"name:{at}:{at + len(name)}"
+    assert pii.redact(docs).where("doc_id = 1 or text like '%<name>%'").collect()[0]["text"] == text.replace(name, "<name>")
+
+
+def test_vectors_of_one_id_and_labels_with_commas(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.0], "a"), (3, [2.0, 1.0], "x,1.0"), (4, [1.0, 2.0, 1.0], "x"), (5, [2.0], "x,1.0"), (6, [1.0, 2.0], "x"), (7, [0.0, 1.0], "a,"), (None, [1.0, 0.0], "a")]
+    found = vectors.near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found if r["vec_id"]) == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7)]
+    assert [(r["n_links"], r["kept"]) for r in found if r["vec_id"] is None] == [(0, True)]
+
+
+def test_hot_cell_is_sliced_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SLICE", 64)
+    monkeypatch.setattr(vectors, "ASKERS", 100)
+    rng = __import__("numpy").random.default_rng(3)
+    base = rng.standard_normal(8)
+    rows = [(i, (base + 0.1 * rng.standard_normal(8)).tolist(), "a") for i in range(400)]
+    want = brute.vector_links(rows)
+    found = {r["vec_id"]: r["n_links"] for r in vectors.near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert found == {i: len(want[i]) for i in range(400)}
+
+
 def test_odd_vectors(spark):
     v, w = [1.0, 0.5, 0.25, 0.0], [1.0, 0.5, 0.25, 0.01]
     rows = [(1, v, 1), (2, w, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 4, 1), (7, [1.0, None, 0.0, 0.0], 1), (8, [float("nan")] * 4, 1), (9, v, 1), (10, v[:3], 1), (11, [float("inf"), 0.0, 0.0, 0.0], 1), (12, [1.0], 1), (13, [], 1)]

@@ -74,7 +74,7 @@ def test_short_pages_follow_their_host(spark):
     lone = "<div class=a><p>" + "text of its own " * 9 + "</p></div>"
     pages += [(20, "http://SITE.org/short", _page(20, 2)), (21, None, _page(21, 60)), (22, "http://other.net", lone), (23, "http://site.org/odd", lone)]
     found = _site(spark, pages)
-    path = "html>body.p#>div.cols>div.text.post-#"
+    path = "html>body.p#>div.cols>div.post-#.text"
     assert {i for i, r in found.items() if r["path"] == path and r["agreed"]} == {*range(9), 20}
     # by itself, the short page would take the bar beside it
     assert found[20]["text"] == "Title 20\nw20_0 w20_1"
