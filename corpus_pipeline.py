@@ -22,20 +22,34 @@ def _whole(docs: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
 
 
+#: Of its length, a text scores too low by so many spreads of the middle half below that, and
+#: a label is wrong if another language is before its own by so much of the usual lead of the best.
+SPREADS, LEAD = 8.0, 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages.  Those without a letter go, and
-    those without a label that score below all but one in a thousand of the
-    labelled ones of about their length.  All stay if no language was learned."""
+    """Documents in one of the learned languages, and in that of their label.
+
+    Those without a letter go.  What is usual is taken from the labelled rows
+    of about a text's length whose prediction is their label: a text goes if it
+    scores far below them (``SPREADS``), labelled or not, and a labelled one if
+    another language is before its own by a good part (``LEAD``) of what tells
+    the languages apart there.  Short texts on which languages are close so
+    stay.  A label that was not learned contradicts nothing.  All stay if no
+    language was learned."""
     model = language_id.prototypes(docs.where(~language_id.held_out()))
     if not model[0]:
         return docs
-    judged = docs.select(_whole(docs), language_id.predicted(model).alias("found"))
-    judged = judged.select("row", "found.score", (F.col("found.lang_pred") != "und").alias("known"), F.floor(F.log2(F.length("row.text"))).alias("about")).where("known")
+    judged = docs.select(_whole(docs), language_id.compared(model).alias("found"))
+    judged = judged.select("row", "found.score", "found.own", "found.lead", "found.lang_pred", F.floor(F.log2(F.length("row.text"))).alias("about")).where("lang_pred != 'und'")
     # scored twice rather than written: the scores are cheaper than a copy of the texts
-    least = judged.where("row.lang is not null").groupBy("about").agg(F.percentile_approx("score", 0.001, 10000).alias("least"))
+    q = F.percentile_approx("score", [0.25, 0.75], 10000)
+    usual = judged.where("row.lang = lang_pred").groupBy("about").agg(q.alias("q"), F.percentile_approx("lead", 0.5, 10000).alias("usual_lead"))
+    usual = usual.select("about", "usual_lead", (F.col("q")[0] - SPREADS * (F.col("q")[1] - F.col("q")[0])).alias("least"))
     # one row for each power of two of lengths
-    known = judged.join(F.broadcast(least), "about", "left")
-    return known.where("row.lang is not null or least is null or score >= least").select("row.*")
+    known = judged.join(F.broadcast(usual), "about", "left")
+    wrong = F.col("own").isNotNull() & (F.col("score") - F.col("own") > LEAD * F.col("usual_lead"))
+    return known.where(~F.coalesce(wrong | (F.col("score") < F.col("least")), F.lit(False))).select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
