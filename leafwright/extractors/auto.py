@@ -1,8 +1,9 @@
 """Classify a document by its first page, extract its form, add what any page states.
 
-Documents are divided by form type, each type goes through its own extractor,
-and the records come together as JSON, which leaves out what was not found.
-Every step is a projection or a filter.
+First pages are classified and read for what any page states once, in one
+scan, and written divided by form type; each extractor reads the part of its
+type, and the records come together as JSON, which leaves out what was not
+found.  No page is shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from leafwright.extractors import authorization, benefits, claim, generic, injury, intake, marks, questionnaire
 from leafwright.extractors import page as P
 from leafwright.operators import classify, compare
+from leafwright.sources import shared
 
 Extractor = Callable[[DataFrame], DataFrame]
 
@@ -34,6 +36,8 @@ EXTRACTORS: dict[str, Extractor] = {
 # The general fields that a form's record takes over where it has none.
 ADDED = ("key_value_pairs", "dates", "entities", "tables", "section_headers", "stats", "acroform_fields", "patient_name", "patient_dob", "provider_name", "mrn", "diagnoses", "selected_controls")
 LEAST_CONFIDENCE = 0.15
+#: The part of the types without an extractor.
+REST = "_rest"
 
 
 def first_pages(pages: DataFrame) -> DataFrame:
@@ -63,17 +67,18 @@ def extract(pages: DataFrame, extractors: dict[str, Extractor] | None = None) ->
     controls, and what else extractors read): ``record`` is JSON."""
     extractors = EXTRACTORS if extractors is None else extractors
     known = classified(first_pages(pages))
-    unknown = ~F.col("form_type").isin(*extractors)
-    parts = [_enriched(known.where(unknown)).select("file", "form_type", "confidence", _record("generic", "found", [], generic_only=True).alias("record"))]
+    part = F.when(F.col("form_type").isin(*extractors), F.col("form_type")).otherwise(F.lit(REST))
+    table = shared.cut(_enriched(known).withColumn("_part", part), "forms", by="_part")
+    present = {r[0] for r in table.select("_part").distinct().collect()}  # no more than there are extractors
+    rest = table.where(F.col("_part") == REST)
+    out = rest.select("file", "form_type", "confidence", _record("generic", "found", [], generic_only=True).alias("record"))
     for kind, extractor in extractors.items():
-        # divided first: no filter passes below the extractors' stages
-        x = extractor(_packed(_enriched(known.where(F.col("form_type") == kind))))
-        own = [c for c in x.columns if c != "page"]
-        x = x.select("page.file", "page.form_type", "page.confidence", "page.found", F.struct(*own).alias("own"))
-        parts.append(x.select("file", "form_type", "confidence", _record(kind, "found", own).alias("record")))
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.unionByName(other)
+        if kind in present:
+            x = extractor(_packed(table.where(F.col("_part") == kind).drop("_part")))
+            own = [c for c in x.columns if c != "page"]
+            x = x.select("page.file", "page.confidence", "page.found", F.struct(*own).alias("own"))
+            # named anew, so that a filter on the type leaves other types' parts unread
+            out = out.unionByName(x.select("file", F.lit(kind).alias("form_type"), "confidence", _record(kind, "found", own).alias("record")))
     return out
 
 

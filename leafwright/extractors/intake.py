@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from leafwright.extractors import page as P
 from leafwright.operators import fuzzy
-from leafwright.sources import shared
 
 # Options of the form, the texts of its anchors, and patterns.
 ALLERGIES = ["Penicillin", "Peanuts", "Latex", "Shellfish", "Pollen", "Dust", "None Known"]
@@ -28,14 +27,17 @@ def cleaned(text: str) -> str:
     return f"case when {bare} rlike '(?i)\\\\s(yes|no|male|female|other)$' then regexp_extract({bare}, '(\\\\S+)$', 1) else {bare} end"
 
 
-def _told(pages: DataFrame, texts: str, name: str, options: list[str], least: float, read: float) -> DataFrame:
-    """``pages`` with which options each text of an array is like, at a threshold
-    and at that of pages read optically."""
-    near = fuzzy.alike(pages.select(F.explode(F.expr(texts)).alias("text")), options, min(least, read))
-    found = shared.cut(near, "alike")
-    pages = fuzzy.told(pages, texts, "_plain", found.where(F.col("ratio") >= least))
-    pages = fuzzy.told(pages, texts, "_read", found.where(F.col("ratio") >= read))
-    return P.staged(pages, {name: f"transform(if(ocr, _read, _plain), ks -> transform(ks, k -> {P.array(options)}[k]))"}).drop("_plain", "_read")
+def _told(pages: DataFrame) -> DataFrame:
+    """``pages`` with which allergies and symptoms each line is like, and which
+    symptoms each label; a page read optically has lower thresholds."""
+    options, n = ALLERGIES + SYMPTOMS, len(ALLERGIES)
+    texts = pages.select(F.explode(F.concat("lines.text", "controls.label")).alias("text"))
+    found = fuzzy.Pairs(fuzzy.alike(texts, options, 0.5))
+    for name, texts, least in (("_a", "lines.text", 0.8), ("_a_read", "lines.text", 0.55), ("_s", "lines.text", 0.7), ("_s_read", "lines.text", 0.5), ("_label", "controls.label", 0.5)):
+        pages = found.told(pages, texts, name, least)
+    of = lambda name, test: f"transform({name}, ks -> transform(filter(ks, k -> k {test}), k -> {P.array(options)}[k]))"
+    told = {"is_allergy": of("if(ocr, _a_read, _a)", f"< {n}"), "is_symptom": of("if(ocr, _s_read, _s)", f">= {n}"), "labels_symptom": of("_label", f">= {n}")}
+    return P.staged(pages, told).drop("_a", "_a_read", "_s", "_s_read", "_label")
 
 
 def anchored(pages: DataFrame, anchors: dict[str, tuple[str, ...]], threshold: float = 0.78) -> DataFrame:
@@ -107,9 +109,7 @@ def intake(pages: DataFrame) -> DataFrame:
         if name not in pages.columns:
             pages = pages.withColumn(name, value)
     p = P.staged(anchored(pages, ANCHORS), {"mid": "coalesce(width, 612D) / 2", "ocr": "coalesce(text_source = 'ocr', false)"}, {"tol": "if(ocr, 1.8D, 1D)"})
-    p = _told(p, "lines.text", "is_allergy", ALLERGIES, 0.8, 0.55)
-    p = _told(p, "lines.text", "is_symptom", SYMPTOMS, 0.7, 0.5)
-    p = _told(p, "controls.label", "labels_symptom", SYMPTOMS, 0.5, 0.5)
+    p = _told(p)
     listed = "filter(transform(lines, (l, i) -> named_struct('l', l, 'o', get(is_allergy[i], 0))), q -> q.o is not null and q.l.cy - at_allergies.cy between 4 and 220)"
     below = "filter(lines, l -> (l.cx < mid) = (at_symptoms.x0 < mid) and l.cy > at_symptoms.cy and array_contains(is_symptom[l.i], o))"
     symptom = f"transform({P.array(SYMPTOMS)}, o -> named_struct('o', o, 'l', get({P.by(below, 'l.y0')}, 0)))"

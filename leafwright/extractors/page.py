@@ -69,7 +69,7 @@ def anchored(pages: DataFrame, anchors: dict[str, tuple[str, ...]], prefix: tupl
     pages = staged(pages, hit)
     if threshold is not None:
         texts = pages.where(" or ".join(f"{c} is null" for c in hit)).select(F.explode("lines.text").alias("text"))
-        pages = fuzzy.told(pages, "lines.text", "_near", fuzzy.nearly(texts, [text for *_, text in flat], threshold))
+        pages = fuzzy.Pairs(fuzzy.nearly(texts, [text for *_, text in flat], threshold)).told(pages, "lines.text", "_near")
         pages = staged(pages, {c: f"coalesce({c}, get(lines, cast(array_position(transform(_near, ks -> array_contains(ks, {j})), true) as int) - 1))" for j, c in enumerate(hit)})
     chosen = {name: f"coalesce({', '.join(f'_{name}{k}' for k in range(len(texts)))})" for name, texts in anchors.items()}
     return staged(pages, chosen).drop(*hit, "_near")

@@ -63,9 +63,11 @@ def test_found_texts_are_told_to_rows(spark):
     pairs = spark.createDataFrame([("a", 2), ("a", 0), ("b", 1), ("z", 1)], "text string, k int")
     want = [(1, [[0, 2], [], [1]])] * 2 + [(2, []), (3, None), (4, [[], [], []])]
     for sent in (1000, 0):  # as a part of the plan, and by a join
-        got = fuzzy.told(rows, "texts", "found", pairs, sent).select("id", "found").collect()
+        got = fuzzy.Pairs(pairs, sent).told(rows, "texts", "found").select("id", "found").collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    assert fuzzy.told(rows, "texts", "found", pairs.limit(0)).where("id = 4").first()["found"] == [[], [], []]
+        least = fuzzy.Pairs(pairs.withColumn("ratio", F.col("k") / 2), sent).told(rows, "texts", "found", 0.5)
+        assert [r["found"] for r in least.where("id = 1").collect()] == [[[2], [], [1]]] * 2
+    assert fuzzy.Pairs(pairs.limit(0)).told(rows, "texts", "found").where("id = 4").first()["found"] == [[], [], []]
 
 
 def test_similarity_of_options(spark):
