@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafwright.functions.text import jaccard
+from leafwright.sources import shared
 
 
 def header_similarity(pages: DataFrame, bundle: str = "bundle", page: str = "page", tokens: str = "tokens") -> DataFrame:
@@ -59,15 +59,16 @@ def split_segments(pages: DataFrame, threshold: float = 0.2, hysteresis: int = 1
     last stated one, and where headers have been unlike the ones before for
     ``hysteresis`` pages in a row; then from the first of these on.
 
-    With a hysteresis of 1 windows say it all; a longer one has a state, and
-    the pages of a bundle are folded in order.
+    With a hysteresis of 1 windows say it all; a longer one has a state, which
+    is carried from block to block of pages (``_parts``).  Pages have integer
+    numbers, each once in a bundle.
     """
+    if hysteresis > 1:
+        return _parts(pages, threshold, hysteresis)
     order = W.partitionBy("bundle").orderBy("page")
     so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     first = F.row_number().over(order) == 1
     p = header_similarity(pages).withColumn("sep", F.col("is_separator") & ~first).withColumn("unlike", ~first & (F.col("similarity") < threshold))
-    if hysteresis > 1:
-        return _parts(p, hysteresis)
     none = F.struct(F.lit(None).cast("string").alias("t"))
     event = F.when(F.col("sep"), none).when(F.col("type").isNotNull(), F.struct(F.col("type").alias("t"))).when(F.col("unlike"), none)
     p = p.withColumn("cur", F.last(event, ignorenulls=True).over(so_far)["t"])
@@ -77,36 +78,93 @@ def split_segments(pages: DataFrame, threshold: float = 0.2, hysteresis: int = 1
     return g.select("bundle", "part", "start_page", "end_page", F.when(F.col("is_separator"), "separator").otherwise(F.col("cur")).alias("type"))
 
 
-def _parts(pages: DataFrame, hysteresis: int) -> DataFrame:
-    bundle = pages.schema["bundle"].dataType.simpleString()
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page")
-        number, kinds, seps, unlike = (pdf[c].tolist() for c in ("page", "type", "sep", "unlike"))
-        out, start, kind, run = [], 0, kinds[0], 0
-
-        def cut(last: int, kind: str | None) -> int:
-            if last >= start:
-                out.append((key[0], number[start], number[last], kind))
-            return last + 1
-
-        for i in range(1, len(number)):
-            if seps[i]:
-                start = cut(i - 1, kind)
-                start, kind, run = cut(i, "separator"), None, 0
-            elif kinds[i] is not None and kinds[i] != kind:
-                start, kind, run = cut(i - 1, kind), kinds[i], 0
-            else:
-                run = run + 1 if unlike[i] else 0
-                if run >= hysteresis:
-                    start, kind, run = cut(i - hysteresis, kind), kinds[i], 0
-        cut(len(number) - 1, kind)
-        rows = [(b, n, s, e, k) for n, (b, s, e, k) in enumerate(out, 1)]
-        return pd.DataFrame(rows, columns=["bundle", "part", "start_page", "end_page", "type"])
-
-    # pages of one bundle, without their texts
-    slim = pages.select("bundle", "page", "type", "sep", F.coalesce("unlike", F.lit(False)).alias("unlike"))
-    return slim.groupBy("bundle").applyInPandas(fold, f"bundle {bundle}, part long, start_page long, end_page long, type string")
+#: Pages of a block, on average over a bundle; they are folded at a time.
+BLOCK = 512
+_STATE = "struct<c:boolean,k:string,r:int,since:bigint,before:bigint,same:boolean>"
+
+
+def _step(e: str, p: str, h: int) -> dict[str, str]:
+    """What page ``p`` makes of a state ``e``: the part's kind ``k`` (known only if
+    ``c``, else ``same`` says whether it is the first kind that the block states),
+    unlike pages in a row ``r``, where these begin and the page before that."""
+    run = f"if({p}.u, {e}.r + 1, 0)"
+    other = f"({p}.t is not null and not case when {e}.c then {p}.t <=> {e}.k else {e}.same end)"
+    late = f"({run} >= {h} and not {p}.f and not {p}.s and not {other})"
+    fresh = f"({p}.f or {p}.s or {other} or {late})"
+    first = lambda now, then: f"case when {fresh} or {run} = 0 then null when {run} = 1 then {now} else {then} end"
+    return {
+        "other": other, "late": late, "c": f"{e}.c or {fresh} or {p}.t is not null", "k": f"case when {p}.s and not {p}.f then null when {fresh} or {p}.t is not null then {p}.t else {e}.k end", "r": f"if({fresh}, 0, {run})",
+        "since": first(f"{p}.page", f"{e}.since"), "before": first(f"{p}.before", f"{e}.before"),
+    }
+
+
+def _state(x: dict[str, str], same: str) -> str:
+    return f"cast(named_struct('c', {x['c']}, 'k', {x['k']}, 'r', {x['r']}, 'since', {x['since']}, 'before', {x['before']}, 'same', {same}) as {_STATE})"
+
+
+def _composed(h: int) -> str:
+    """The table ``a.states`` followed by ``b.states``."""
+    same = "if(e.c, b.t1 is not null and e.k <=> b.t1, e.same)"
+    f = f"b.states[if({same}, {h}, 0) + e.r]"
+    out = {"c": "e.c or f.c", "k": "if(f.c, f.k, e.k)", "r": "f.r", "since": "if(f.r > 0, coalesce(f.since, e.since), null)", "before": "if(f.r > 0, coalesce(f.before, e.before), null)"}
+    return f"transform(a.states, e -> transform(array({f}), f -> {_state(out, 'e.same')})[0])"
+
+
+def _parts(pages: DataFrame, threshold: float, h: int, block: int = BLOCK) -> DataFrame:
+    """Parts by a prefix scan over blocks of pages.
+
+    A block's pages are folded from every state that the one before can leave:
+    the run of unlike pages, and whether the part's kind is the first one that
+    the block states.  The resulting table is a function of states, and the
+    tables of a bundle's blocks are composed by doubling, which gives each block
+    the state that it begins in.  It is then folded once more to find starts."""
+    page = "struct(page, type as t, coalesce(is_separator, false) as sep, tokens)"
+    # a bundle's numbers are divided evenly; the join is of one row for each bundle, so that a large one can be split
+    width = pages.groupBy(F.col("bundle").alias("of")).agg(F.min("page").alias("low"), F.greatest(F.lit(1.0), (F.max("page") - F.min("page") + 1) / F.count("*") * block).alias("width"))
+    b = pages.join(width, F.expr("bundle <=> of")).groupBy("bundle", F.floor((F.col("page") - F.col("low")) / F.col("width")).alias("block")).agg(F.sort_array(F.collect_list(F.expr(page))).alias("ps"))
+    b = shared.cut(b, "blocks")
+    w = W.partitionBy("bundle").orderBy("block")  # a row for each block
+    ends = b.select("bundle", "block", F.element_at("ps", -1).alias("end"), F.col("ps")[0]["page"].alias("begin"))
+    ends = ends.select("bundle", "block", F.row_number().over(w).alias("rank"), F.lag("end").over(w).alias("prev"), F.lead("block").over(w).isNull().alias("final"), F.first("begin").over(w).alias("first_page"))
+    b = b.alias("b").join(ends.alias("e"), F.expr("b.bundle <=> e.bundle and b.block = e.block")).select("b.*", "e.rank", "e.prev", "e.final", "e.first_page")
+    b = b.withColumn("ps", F.transform("ps", lambda p, i: F.struct(p.alias("p"), F.when(i == 0, F.col("prev")).otherwise(F.get("ps", i - 1)).alias("q"))))
+    unlike = F.transform("ps", lambda x: F.struct(
+        x["p"]["page"].alias("page"), x["p"]["t"].alias("t"), x["q"].isNull().alias("f"), (x["q"].isNotNull() & x["p"]["sep"]).alias("s"),
+        F.coalesce(x["q"].isNotNull() & (jaccard(x["p"]["tokens"], x["q"]["tokens"]) < threshold), F.lit(False)).alias("u"), x["q"]["page"].alias("before"),
+        F.coalesce(x["q"]["sep"] & (x["q"]["page"] != F.col("first_page")), F.lit(False)).alias("a"),
+    ))
+    b = b.withColumn("ps", unlike).drop("prev", "first_page").withColumn("t1", F.expr("get(filter(ps, p -> p.t is not null), 0).t"))
+    begun = ", ".join(_state({"c": "false", "k": "null", "r": str(r), "since": "null", "before": "null"}, same) for same in ("false", "true") for r in range(h))
+    fold = f"aggregate(ps, array({begun}), (states, p) -> transform(states, e -> {_state(_step('e', 'p', h), 'e.same')}))"
+    b = shared.cut(b.withColumn("states", F.expr(fold)), "block-tables")
+    # only bundles of several blocks are scanned
+    tables = b.select("bundle", "rank", "t1", "states")
+    most = tables.agg(F.max("rank")).first()[0] or 0
+    many = b.where("final and rank > 1").select(F.col("bundle").alias("of"))
+    tables = tables.join(many, F.expr("bundle <=> of"), "left_semi")
+    reach = 1
+    while reach < most:
+        after = tables.alias("b").join(tables.alias("a"), F.expr(f"a.bundle <=> b.bundle and a.rank = b.rank - {reach}"), "left")
+        tables = shared.cut(after.select("b.bundle", "b.rank", F.expr("if(a.rank is null, b.t1, coalesce(a.t1, b.t1))").alias("t1"), F.expr(f"if(a.rank is null, b.states, {_composed(h)})").alias("states")), "block-scan")
+        reach *= 2
+    entry = tables.select(F.col("bundle").alias("of"), (F.col("rank") + 1).alias("at"), F.col("states")[0].alias("e"))
+    b = b.join(entry, F.expr("bundle <=> of and rank = at"), "left")
+    step = _step("z.e", "p", h)
+    start = "struct<start:bigint,late:boolean,before:bigint,kind:string>"
+    at = lambda page, late, before, kind: f"cast(named_struct('start', {page}, 'late', {late}, 'before', {before}, 'kind', {kind}) as {start})"
+    told = f"""case when p.f then array({at('p.page', 'false', 'null', 'null')}) when p.s or p.a or {step['other']} then array({at('p.page', 'false', 'p.before', "if(p.a, 'separator', z.e.k)")})
+        when {step['late']} then array({at('z.e.since', 'true', 'z.e.before', 'z.e.k')}) else cast(array() as array<{start}>) end"""
+    none = _state({"c": "true", "k": "null", "r": "0", "since": "null", "before": "null"}, "false")
+    begin = f"named_struct('e', coalesce(e, {none}), 'out', cast(array() as array<{start}>))"
+    last = "element_at(ps, -1)"
+    end = at("null", "false", f"{last}.page", f"if({last}.s, 'separator', z.e.k)")
+    fold = f"aggregate(ps, {begin}, (z, p) -> named_struct('e', {_state(step, 'false')}, 'out', concat(z.out, {told})), z -> if(final, concat(z.out, array({end})), z.out))"
+    starts = b.select("bundle", F.explode(F.expr(fold)).alias("s")).select("bundle", "s.*")
+    # a run of unlike pages that begins where a part does anyway
+    starts = starts.groupBy("bundle", "start").agg(F.min(F.struct("late", "before", "kind")).alias("x"))
+    w = W.partitionBy("bundle").orderBy(F.col("start").asc_nulls_last())  # a row for each part
+    parts = starts.select("bundle", F.row_number().over(w).cast("long").alias("part"), F.col("start").alias("start_page"), F.lead("x.before").over(w).alias("end_page"), F.lead("x.kind").over(w).alias("type"))
+    return parts.where("start_page is not null")
 
 
 def provider_summary(segments: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafwright.functions import text as T
-from leafwright.operators import compare, fuzzy, layout, store
+from leafwright.operators import compare, fuzzy, layout, segments, store
 from leafwright.sources import readers, sinks
 from leafwright.streaming import ingest
 
@@ -113,3 +114,50 @@ def test_stream(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.id, r.form_type) for r in out.collect()) == [(1, "eob"), (2, "unknown")]
     assert sorted(r.n for r in ingest.by_window(out).collect()) == [1, 1]
+
+
+def _folded(pages, h, least):
+    """Parts of one bundle's pages (bundle, page, type, is_separator, tokens), one page after the other."""
+    out, number, kinds = [], [p[1] for p in pages], [p[2] for p in pages]
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    unlike = [i > 0 and alike(set(p[4]), set(pages[i - 1][4])) < least for i, p in enumerate(pages)]
+    start, kind, run = 0, kinds[0], 0
+
+    def cut(last, kind):
+        if last >= start:
+            out.append((pages[0][0], len(out) + 1, number[start], number[last], kind))
+        return last + 1
+
+    for i in range(1, len(pages)):
+        if pages[i][3]:
+            start = cut(i - 1, kind)
+            start, kind, run = cut(i, "separator"), None, 0
+        elif kinds[i] is not None and kinds[i] != kind:
+            start, kind, run = cut(i - 1, kind), kinds[i], 0
+        else:
+            run = run + 1 if unlike[i] else 0
+            if run >= h:
+                start, kind, run = cut(i - h, kind), kinds[i], 0
+    cut(len(pages) - 1, kind)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_parts_are_those_of_a_fold(spark, block):
+    rng = random.Random(block)
+    rows, want = [], {2: [], 4: []}
+    for bundle in [None, *range(40)]:
+        numbers = sorted(rng.sample(range(rng.choice([60, 200000])), rng.choice([1, 2, 7, 50])))
+        own = [(bundle, n, rng.choice([None, None, "a", "b"]), rng.random() < 0.1, rng.sample("xyzw", rng.randint(0, 3))) for n in numbers]
+        rows += own
+        for h in want:
+            want[h] += _folded(own, h, 0.3)
+    d = spark.createDataFrame(rows, "bundle int, page long, type string, is_separator boolean, tokens array<string>").repartition(5)
+    for h in want:
+        got = segments._parts(d, 0.3, h, block).select("bundle", "part", "start_page", "end_page", "type").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want[h], key=str)
+
+
+def test_no_pages_have_no_parts(spark):
+    d = spark.createDataFrame([], "bundle int, page long, type string, is_separator boolean, tokens array<string>")
+    assert segments.split_segments(d, hysteresis=3).collect() == []
