@@ -1,6 +1,7 @@
 """Extractors, ink, the store and reports where no SQL restates them."""
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -164,14 +165,19 @@ def test_store_keeps_extractions(spark, database):
     first = store.store_extractions(found, database, "2024-01-01T00:00:00")
     assert [r["file_name"] for r in first.collect()] == ["a b.pdf"]
     old = first.first()["id"]
-    store.store_extractions(found, database)
-    ids = sorted(r["id"] for r in spark.table("scratch.documents").collect())
-    assert len(ids) == 2 and ids[0] == old < ids[1]
+    # the same again, by itself and beside another, is stored already
+    assert store.store_extractions(found.unionByName(found), database).collect() == []
+    other = found.withColumn("file", F.lit("/in/c.pdf"))
+    assert [r["file_name"] for r in store.store_extractions(found.unionByName(other), database).collect()] == ["c.pdf"]
+    ids = sorted((r["file_name"], r["id"]) for r in spark.table("scratch.documents").collect())
+    assert [n for n, _ in ids] == ["a b.pdf", "c.pdf"] and ids[0][1] == old != ids[1][1]
+    ids = [i for _, i in ids]
     named = spark.table("scratch.fields").where(f"document_id = {old} and field_name = 'patient_name'").collect()
     assert [(r["field_value"], r["field_type"]) for r in named] == [("Ann Lee", "text")]
     assert sorted(r["icd10_code"] for r in spark.table("scratch.diagnoses").where(f"document_id = {ids[1]}").collect()) == ["M54.2", "S13.4"]
     segments = spark.createDataFrame([("b", 1, 2, "P", "01/02/2024", "Lab Result", 2), ("b", 3, 3, "P", None, "Separator", 1)], "bundle string, start_page int, end_page int, provider string, dos string, doc_type string, page_count int")
     store.store_index(segments, database)
+    store.store_index(segments, database)
     assert spark.table("scratch.page_index").count() == 1
     spark.sql("use scratch")
     try:
@@ -184,6 +190,74 @@ def test_store_keeps_extractions(spark, database):
         spark.sql("use default")
 
 
+def _records(spark, n, start=0):
+    rows = [(f"/in/{k}.pdf", "t", 0.5, '{"a":"%d","diagnoses":["A1%d"],"service_lines":[{"cpt":"99213"}]}' % (k, k % 9)) for k in range(start, start + n)]
+    return spark.createDataFrame(rows, "file string, form_type string, confidence double, record string").repartition(3)
+
+
+def _contents(spark):
+    return {t: sorted(map(tuple, spark.table(f"scratch.{t}").drop("extracted_at").collect()), key=str) for t in ("documents", "fields", "service_lines", "diagnoses")}
+
+
+def test_two_writers_at_once_are_one(spark, database):
+    """Both write all rows before either has committed; the other order gives the same."""
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda _: store.store_extractions(_records(spark, 40), database), range(2)))
+    assert {r["n"] for r in spark.table("scratch.commits").collect()} == {40}
+    both = _contents(spark)
+    assert len(both["documents"]) == len({r[0] for r in both["documents"]}) == 40 and len(both["fields"]) == 40 and len(both["diagnoses"]) == 40
+    store.store_extractions(_records(spark, 10, 35), database)
+    after = _contents(spark)
+    assert len(after["documents"]) == 45 == len({r[0] for r in after["documents"]}) and set(both["documents"]) <= set(after["documents"])
+
+
+def test_a_writer_that_fails_leaves_nothing(spark, database, monkeypatch):
+    commit = store._commit
+    monkeypatch.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        store.store_extractions(_records(spark, 12), database)
+    assert spark.table("scratch.documents_rows").count() == 12 and not any(_contents(spark).values())
+    monkeypatch.setattr(store, "_commit", commit)
+    store.store_extractions(_records(spark, 12), database)
+    once = _contents(spark)
+    assert [len(once[t]) for t in ("documents", "fields", "service_lines", "diagnoses")] == [12] * 4
+    # ranges that two batches would share are told apart
+    taken = spark.table("scratch.commits").first()
+    assert store._base(spark, database, taken["batch"], 12) == taken["base"] and store._base(spark, database, taken["batch"][:9] + "0000000-5", 5) >= taken["base"] + 12
+
+
+def test_only_reading_is_explored(spark, database):
+    store.store_extractions(_records(spark, 30), database)
+    spark.range(3).write.mode("overwrite").parquet(f"{spark.conf.get('spark.sql.warehouse.dir').removeprefix('file:')}/loose")
+    spark.sql("use scratch")
+    try:
+        for sql, n in {
+            "select form_type, count(*) n from documents group by form_type having count(*) > 3": 1, "select sum(x) over w from values (1), (2) t(x) window w as (order by x)": 2, "values (1, 'a'), (2, 'b')": 2,
+            "select id from documents order by id limit 10 offset 25": 5, "select id from documents intersect select document_id from fields": 30, "with a as (select id from documents) select * from a where id in (select document_id from diagnoses)": 30,
+            "select d.id, x.i from documents d lateral view explode(array(1, 2)) x as i": 60, "select * from range(4)": 4, "select max(id) from scratch.documents": 1, "show tables": 0, "explain select 1": 1,
+        }.items():
+            got = store.explore(spark, sql).count()
+            assert got == n or n == 0 and got > 5, sql
+        files = f"parquet.`{spark.conf.get('spark.sql.warehouse.dir')}/loose`"
+        for sql in (
+            f"select * from {files}", f"with a as (select * from {files}) select * from a", f"select 1 where exists (select 1 from {files})", f"select (select max(id) from {files})", "drop table commits", "insert into commits values ('a', 'b', 1, 1, 'c')",
+            "create view v as select 1", "truncate table commits", "set spark.sql.ansi.enabled = false", "select reflect('java.lang.System', 'getProperty', 'user.home')", "delete from commits", "from commits insert into commits select *", "use default",
+            "alter table commits add columns (z int)", "cache table documents", "refresh table commits", "add jar 'x.jar'",
+        ):
+            with pytest.raises(ValueError, match="explored"):
+                store.explore(spark, sql)
+        assert spark.table("commits").count() == 1
+        with pytest.raises(Exception, match="(?i)not_found|cannot be found"):
+            store.explore(spark, "select * from nowhere")
+        seen, after = [], None
+        while page := [r["id"] for r in store.explore(spark, "select id, form_type from documents", 7, ["form_type", "id"], after).collect()]:
+            seen += page
+            after = ("t", page[-1])
+        assert len(seen) == 30 and seen == sorted(seen)
+    finally:
+        spark.sql("use default")
+
+
 def test_types_take_their_extractor(spark):
     marked = raw(spark, [("First report of injury", 0, 0), ("Sex", 20, 60), ("M", 60, 62), ("F", 90, 62)]).withColumn("drawings", F.expr("array(named_struct('x0', 88D, 'y0', 60D, 'x1', 100D, 'y1', 72D, 'color', array(1D, 0D, 0D), 'fill', cast(null as array<double>)))"))
     plain = marked.withColumn("page", F.lit(2)).withColumn("drawings", F.expr("filter(drawings, d -> false)"))
