@@ -185,7 +185,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     # equal texts with a word are one; those that differ in white space only are linked later
     d = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text))).alias("digest"), text.alias("text"))
     kind = f"row long, doc_id {d.schema['doc_id'].dataType.simpleString()}, digest binary, shingles array<long>, bands array<long>"
-    described = tables.cut(d.mapInArrow(tidy(lambda it: _described(it, words, size, rows)), kind), "texts")
+    whole = tables.cut(d.mapInArrow(tidy(lambda it: _described(it, words, size, rows)), kind), "texts")
+    described = tables.cut(whole.drop("shingles"), "described")
     nodes = tables.cut(described.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node")), "nodes")
     bands = described.select(F.col("row").alias("node"), "bands").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
     bands = tables.cut(bands, "bands")
@@ -200,7 +201,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     pairs = tables.cut(pairs.distinct(), "pairs")
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("row")).unionByName(many.select(F.col("node").alias("row"))).distinct()
-    sets = tables.cut(described.select("row", "shingles").join(tables.cut(met, "in-pairs"), "row", "left_semi").withColumnRenamed("row", "node"), "sets")
+    sets = tables.cut(whole.select("row", "shingles").join(tables.cut(met, "in-pairs").hint("shuffle_hash"), "row", "left_semi").withColumnRenamed("row", "node"), "sets")
+    tables.forget("texts")  # the largest one; what follows needs the sets of those that met alone
     links = tables.cut(_checked(pairs, sets, similarity), "links")
     group = tables.cut(components(links), "groups")
     if not many.isEmpty():

@@ -53,6 +53,12 @@ class Tables:
         self.paths.append(save(df, name))
         return load(self.spark, self.paths[-1], df.schema)
 
+    def forget(self, name: str) -> None:
+        """Remove the tables of a name, once no table will be made of them any more."""
+        gone = [p for p in self.paths if p.rsplit("/", 1)[-1].rsplit("-", 1)[0] == name]
+        drop(self.spark, *gone)
+        self.paths = [p for p in self.paths if p not in gone]
+
     def finish(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written and read again, with all tables before it removed."""
         out = cut(df, name)
