@@ -103,6 +103,14 @@ def fuzzy_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"suppressed_boxes": suppressed_boxes, "fuzzy_anchor": fuzzy_anchor}
 
 
+@query("""select p_partkey, case p_partkey % 6 when 0 then 'fatigue and headache ' || p_partkey when 1 then 'has shortness of breath x' || p_partkey when 2 then 'cat house' when 3 then 'penicillin allergy ' || p_partkey % 10 when 5 then 'seen: date of service 0' || p_partkey % 9 end corrected from part""")
+def corrected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    garbled = """case cast(p_partkey % 6 as int) when 0 then concat('Fatigve  and haedache ', p_partkey) when 1 then concat('has shortnes of breath x', p_partkey) when 2 then ' cat house ' when 3 then concat('(Penicilln), allergy ', p_partkey % 10)
+        when 5 then concat('seen: Date of servlce 0', p_partkey % 9) end"""
+    d = V.table(spark, sf_dir, "part").select("p_partkey", F.expr(garbled).alias("said"))
+    return fuzzy.corrected(d, "said").select("p_partkey", "corrected")
+
+
 @query("select o_orderkey id, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%m/%d/%Y') when 2 then strftime(o_orderdate, '%m/%d/%Y') end dos, case o_orderkey % 4 when 1 then 'Separator' when 3 then 'Cover Sheet' end kind from orders")
 def service_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     date, k = F.date_format("o_orderdate", "MM/dd/yyyy"), F.col("o_orderkey") % 4

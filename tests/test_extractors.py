@@ -136,10 +136,38 @@ def test_density_is_the_share_of_dark_pixels():
     assert ink.density(image, 0, 0, 1) == 0.0 and ink.density(image, 500, 500, 12) == 0.0
 
 
-def test_vocabulary():
-    assert fuzzy.corrected_text("Fatigve and haedache today") == "fatigue and headache today"
-    assert fuzzy.corrected_text("has shortnes of breath") == "has shortness of breath"
-    assert fuzzy.corrected_text("cat house") == "cat house"
+def _put_right(text, least=0.85):
+    """The rules of the vocabulary, by comparing everything with everything."""
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    words = text.split()
+    for phrase in sorted((v for v in fuzzy.VOCABULARY if " " in v), key=len, reverse=True):
+        n = len(phrase.split())
+        if phrase not in text.lower():
+            for i in range(len(words) - n + 1):
+                if ratio(" ".join(words[i : i + n]).lower(), phrase) >= least:
+                    return " ".join([*words[:i], phrase, *words[i + n :]])
+    out = []
+    for w in words:
+        bare = w.lower().strip(".,;:!?'\"()-_")
+        best = max(((ratio(bare, v), -k, v) for k, v in enumerate(fuzzy.VOCABULARY) if " " not in v and abs(len(v) - len(bare)) <= 2), default=(0,))
+        out.append(best[2] if len(bare) >= 5 and bare not in fuzzy.VOCABULARY and best[0] > least else w)
+    return " ".join(out)
+
+
+def test_vocabulary(spark):
+    rng = np.random.default_rng(12)
+    texts = ["Fatigve and haedache today", "has shortnes of breath", "cat house", "", "  ", "(Penicilln),  dusty", "yes", "a" * 400, "none known, none  known", "date of servlce", "Date of\tService", "patients'"]
+    for v in fuzzy.VOCABULARY:
+        for _ in range(6):
+            c = list(v.upper() if rng.random() < 0.3 else v)
+            for _ in range(rng.integers(0, 4)):
+                at = int(rng.integers(0, len(c)))
+                c[at : at + int(rng.integers(0, 3))] = list("xq e1"[: rng.integers(0, 3)])
+            texts.append("so " * int(rng.integers(0, 2)) + "".join(c) + rng.choice(["", ".", " the knee", ": 12"]))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, texts[0]])], "i int, t string")
+    got = {r["i"]: r["corrected"] for r in fuzzy.corrected(rows, "t").collect()}
+    assert got == {i: None if t is None else _put_right(t) for i, t in enumerate([*texts, None, texts[0]])}
+    assert sum(_put_right(t) != " ".join(t.split()) for t in texts) > 60
 
 
 def test_ratios(spark):
