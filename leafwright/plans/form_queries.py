@@ -91,18 +91,31 @@ def control_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.control_states(b, fills)
 
 
+# Boxes by area, one after the other: kept if none of those kept overlaps it by more than the threshold.
+@query(f"""with recursive {_BOXES}, o as (select page, list({{box: box, x: x, y: y, w: w, h: h, a: w * h}} order by w * h desc, box desc) l from bx group by page),
+r(page, n, kept, l) as (select page, 0, l[1:0], l from o union all select page, n + 1, case when len(list_filter(list_transform(kept, lambda k: {{a: k.a, i: greatest(least(k.x + k.w, l[n + 1].x + l[n + 1].w) - greatest(k.x, l[n + 1].x), 0) * greatest(least(k.y + k.h, l[n + 1].y + l[n + 1].h) - greatest(k.y, l[n + 1].y), 0)}}),
+lambda k: k.i > 0.3::double * (k.a + l[n + 1].a - k.i))) > 0 then kept else list_append(kept, l[n + 1]) end, l from r where n < len(l)),
+k as (select page, unnest(kept) k from r where n = len(l)) select page, k.box box from k""")
 def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.suppress(V.boxes(spark, sf_dir), 0.3)
 
 
+# The longest block of two strings (the first of equals in the one, then in the other), and again to its left and right.
+_RATIOS = """w(a, b, i0, i1, j0, j1, m) as (select a, b, 0, len(a), 0, len(b), 0 from pr union all
+select a, b, case side when 0 then i0 else x.i + x.k end, case side when 0 then x.i else i1 end, case side when 0 then j0 else x.j + x.k end, case side when 0 then x.j else j1 end, case side when 0 then x.k else 0 end from (
+select *, {k: z.k, i: -z.i, j: -z.j} x from (select *, list_max(flatten(list_transform(range(i0, i1), lambda i: list_transform(range(j0, j1), lambda j: {k: len(list_filter(range(1, least(i1 - i, j1 - j) + 1), lambda t: a[i + 1:i + t] = b[j + 1:j + t])), i: -i, j: -j})))) z from w where i0 < i1 and j0 < j1) where z.k > 0), (values (0), (1)) s(side)),
+rt as (select a, b, 2.0::double * sum(m) / (len(a) + len(b)) ratio from w group by a, b)"""
+
+
+@query(f"""with recursive p as (select p_partkey, p_name, lower(p_name) t, lower(p_type) ty from part), wn as (select distinct t, t[i + 1:i + 15] a from p, unnest(range(0, len(t) - 10, 2)) u(i)),
+pr as (select distinct t a, ty b from p union select a, 'part number' from wn), {_RATIOS}, hit as (select distinct t from wn join rt using (a) where b = 'part number' and ratio >= 0.78::double)
+select p_partkey, contains(t, 'part number') or contains(regexp_replace(t, '[^a-z0-9]', '', 'g'), 'partnumber') or len(list_intersect(string_split(t, ' '), ['part', 'number']))::double / len(list_distinct(list_concat(string_split(t, ' '), ['part', 'number']))) >= 0.5::double or t in (select t from hit) as found, ratio
+from p join rt on rt.a = t and rt.b = ty""")
 def fuzzy_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.table(spark, sf_dir, "part")
     return fuzzy.contains_like(d, "p_name", "part number", 0.78).select("p_partkey", "found", fuzzy.edit_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
 
 
-QUERIES |= {"suppressed_boxes": suppressed_boxes, "fuzzy_anchor": fuzzy_anchor}
-
-
 @query("""select p_partkey, case p_partkey % 6 when 0 then 'fatigue and headache ' || p_partkey when 1 then 'has shortness of breath x' || p_partkey when 2 then 'cat house' when 3 then 'penicillin allergy ' || p_partkey % 10 when 5 then 'seen: date of service 0' || p_partkey % 9 end corrected from part""")
 def corrected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     garbled = """case cast(p_partkey % 6 as int) when 0 then concat('Fatigve  and haedache ', p_partkey) when 1 then concat('has shortnes of breath x', p_partkey) when 2 then ' cat house ' when 3 then concat('(Penicilln), allergy ', p_partkey % 10)
