@@ -247,3 +247,19 @@ def explore_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {queries._DOCS} select file_name, (l_partkey + 10000)::varchar cpt_code, strftime(l_shipdate, '%m/%d/%Y') date_of_service, l_extendedprice charge, l_quantity::int units from lineitem join docs on l_orderkey = id")
 def explore_service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.example(spark, "Service lines", documents=V.documents(spark, sf_dir), service_lines=V.service_lines(spark, sf_dir))
+
+
+@query(f"""with {queries._DOCS}, {queries._DX}, t as (select form_type, count(*) n from docs group by rollup(form_type)), c as (select form_type, count(distinct icd10_code) codes from dx join docs on document_id = id group by rollup(form_type))
+select t.form_type, n, codes, true codes_near, true ranks_near from t join c on t.form_type is not distinct from c.form_type""")
+def sketched_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals merged from daily sketches beside the exact ones: codes within five
+    hundredths, quantiles within two hundredths of their rank."""
+    d, x = V.documents(spark, sf_dir), V.diagnoses(spark, sf_dir)
+    sketched = relational.from_sketches(relational.daily_sketches(d, x)).select(F.col("form_type").alias("of"), F.col("codes").alias("about"), "quantiles")
+    ranks = d.select(F.explode(F.array("form_type", F.lit(None))).alias("kind"), "confidence").join(F.broadcast(sketched.select("of", "quantiles")), F.col("kind").eqNullSafe(F.col("of")))  # a row for each form type
+    below = lambda i, test: F.avg(test(F.col("confidence"), F.col("quantiles")[i]).cast("int"))
+    near = [(below(i, lambda c, q: c < q) <= s + 0.02) & (below(i, lambda c, q: c <= q) >= s - 0.02) for i, s in enumerate((0.25, 0.5, 0.75))]
+    checked = ranks.groupBy("kind").agg((near[0] & near[1] & near[2]).alias("ranks_near"))
+    exact = relational.exact_totals(d, x)
+    both = exact.join(sketched.drop("quantiles"), F.col("form_type").eqNullSafe(F.col("of"))).join(checked, F.col("form_type").eqNullSafe(F.col("kind")))
+    return both.select("form_type", "n", "codes", (F.abs(F.col("about") - F.col("codes")) <= 0.05 * F.col("codes")).alias("codes_near"), "ranks_near")
