@@ -201,7 +201,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     pairs = tables.cut(pairs.distinct(), "pairs")
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("row")).unionByName(many.select(F.col("node").alias("row"))).distinct()
-    sets = tables.cut(whole.select("row", "shingles").join(tables.cut(met, "in-pairs").hint("shuffle_hash"), "row", "left_semi").withColumnRenamed("row", "node"), "sets")
+    sets = tables.cut(whole.select("row", "shingles").join(tables.cut(met, "in-pairs"), "row", "left_semi").withColumnRenamed("row", "node"), "sets")
     tables.forget("texts")  # the largest one; what follows needs the sets of those that met alone
     links = tables.cut(_checked(pairs, sets, similarity), "links")
     group = tables.cut(components(links), "groups")
