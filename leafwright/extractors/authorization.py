@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from leafwright.extractors import ink
 from leafwright.extractors import page as P
 from leafwright.extractors.benefits import DATE
 
@@ -24,6 +25,20 @@ def chosen(options: list[str], line: str, box: str) -> str:
     return f"array_sort(transform(filter({lined}, q -> coalesce({box}.selected, false)), q -> q.o))"
 
 
+def _by_ink(pages: DataFrame) -> DataFrame:
+    """What boxes left open on pages read optically, by the ink left of the options' texts."""
+    p = ink.only_scanned(pages)
+    p = ink.marked_options(p, "_by_record_types", RECORD_TYPES, "records to be released")
+    p = ink.marked_options(p, "_by_purposes", PURPOSES, "purpose of disclosure")
+    p = ink.marked_options(p, "_refused", [f"Do NOT release {c}" for c in SENSITIVE], "specially protected")
+    p = ink.marked_options(p, "_ends", ["One year from date of signature", "Specific date"], "expiration")
+    p = P.staged(p, {
+        "_by_record_types": "array_sort(_by_record_types)", "_by_purposes": "array_sort(_by_purposes)", "_by_excluded_categories": "array_sort(transform(_refused, r -> replace(r, 'Do NOT release ', '')))",
+        "_by_expiration_type": "case when array_contains(_ends, 'One year from date of signature') then 'one_year' when array_contains(_ends, 'Specific date') then 'specific_date' end",
+    })
+    return ink.filled_in(p, "record_types", "purposes", "excluded_categories", "expiration_type")
+
+
 def authorization(pages: DataFrame, threshold: float | None = 0.78) -> DataFrame:
     """(page, patient_name, patient_dob, date_range_from, date_range_to,
     record_types, excluded_categories, purposes, expiration_type) of prepared
@@ -45,4 +60,6 @@ def authorization(pages: DataFrame, threshold: float | None = 0.78) -> DataFrame
         },
         {"date_range_from": "get(in_range, 0)", "date_range_to": "get(in_range, 1)"},
     )
+    if ink.scanned(p):
+        p = _by_ink(p)
     return p.select("page", "patient_name", "patient_dob", "date_range_from", "date_range_to", "record_types", "excluded_categories", "purposes", "expiration_type")

@@ -96,6 +96,11 @@ def benefits(pages: DataFrame, threshold: float | None = 0.78) -> DataFrame:
         },
         {"reason_codes_used": f"case when size(reason_codes_used) > 0 then reason_codes_used else array_sort(array_distinct(regexp_extract_all(array_join(transform(lines, l -> l.text), ' '), {P.quoted(REASON)}, 1))) end"},
     )
+    if "text_again" in pages.columns:
+        # codes of a second, closer reading, where the table gave none
+        again = procedure_codes(F.col("text_again"))
+        none = (F.size("service_line_cpts") == 0) & (F.size(again) > 0)
+        p = p.withColumn("service_line_count", F.when(none, F.size(again)).otherwise(F.col("service_line_count"))).withColumn("service_line_cpts", F.when(none, again).otherwise(F.col("service_line_cpts")))
     return p.select(
         "page", "payer_name", "claim_number", "check_number", "member_name", "service_lines", "service_line_count", "service_line_cpts", "totals",
         *(f"summary_{f}" for f in dict.fromkeys(SUMMARY_LABELS.values())), "total_billed", "total_allowed", "total_plan_paid", "total_patient_resp", "reason_codes_used",

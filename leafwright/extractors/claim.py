@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwright.extractors import ink
 from leafwright.extractors import page as P
 from leafwright.operators import forms
 
@@ -25,6 +26,26 @@ def _price(text: str) -> str:
     return f"try_cast(replace(nullif(regexp_extract({text}, {P.quoted(CURRENCY)}, 1), ''), ',', '') as double)"
 
 
+def _by_ink(pages: DataFrame) -> DataFrame:
+    """What boxes left open on pages read optically, by the ink at the options'
+    texts; answers without a text of their own share that of the first YES and NO."""
+    p = ink.best_option(ink.only_scanned(pages), "_yes_no", ["YES", "NO"])
+    for field, options in (("relationship_to_insured", RELATIONSHIPS), ("tax_id_type", ["SSN", "EIN"])):
+        p = ink.best_option(p, f"_by_{field}", options)
+    answers = ("condition_employment", "condition_auto", "condition_other", "accept_assignment")
+    p = p.withColumns({f"_by_{f}": F.col("_yes_no") == "YES" for f in answers})
+    # the letters of the sexes themselves are circled or crossed
+    said, sex = "upper(regexp_replace(l.text, '[^A-Za-z]', ''))", "get(filter(lines, m -> contains(m.norm, 'sex')), 0)"
+    row = f"abs(l.cy - {sex}.cy) <= 15 and l.x0 >= {sex}.x1"
+    places = {
+        "_m": (f"contains({said}, 'M') and length({said}) <= 5 and l.x0 < {sex}.x1 + 120", "l.cx"), "_f": (f"contains(left({said}, 3), 'F') and l.x0 > {sex}.x1 + 50", "l.x0 + 2"),
+    }
+    for name, (test, x) in places.items():
+        p = ink.measured(p, name, f"transform(filter(lines, l -> {row} and {test}), l -> {ink.spot(x, 'l.cy', 8)})")
+    p = P.staged(p, {"_m": "coalesce(array_max(_m), 0D)", "_f": "coalesce(array_max(_f), 0D)"}, {"_by_patient_sex": "case when greatest(_m, _f) <= 0.15 then null when _m > _f * 1.1 then 'M' when _f > _m * 1.1 then 'F' end"})
+    return ink.filled_in(p, "relationship_to_insured", "tax_id_type", "patient_sex", *answers)
+
+
 def claim(pages: DataFrame, threshold: float | None = 0.78) -> DataFrame:
     """(page, insurance_type, patient_name, patient_sex, relationship_to_insured,
     condition_*, diagnoses, service_lines, total_charge, accept_assignment,
@@ -54,5 +75,7 @@ def claim(pages: DataFrame, threshold: float | None = 0.78) -> DataFrame:
         "tax_id_type": "case when size(r_tax) < 2 then null when get(r_tax, 0).selected and not get(r_tax, 1).selected then 'SSN' when get(r_tax, 1).selected and not get(r_tax, 0).selected then 'EIN' end",
     }
     p = P.staged(p, rows, small, fields)
+    if ink.scanned(p):
+        p = _by_ink(p)
     p = p.withColumn("service_lines", F.filter(F.transform("tokens", forms.claim_line), lambda s: s["cpt"].isNotNull()))
     return p.select("page", "insurance_type", "patient_name", "patient_sex", "relationship_to_insured", "condition_employment", "condition_auto", "condition_other", "diagnoses", "service_lines", "total_charge", "accept_assignment", "tax_id_type")

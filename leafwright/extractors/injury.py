@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from leafwright.extractors import ink
 from leafwright.extractors import page as P
 from leafwright.extractors.authorization import chosen
 from leafwright.extractors.benefits import DATE
@@ -27,6 +28,16 @@ def section_end(start: str, following: list[str]) -> str:
     return f"coalesce(array_min({tops}), 99999D)"
 
 
+def _by_ink(pages: DataFrame) -> DataFrame:
+    """What boxes left open on pages read optically, by the ink left of the answers' and options' texts."""
+    p = ink.yes_or_no(ink.only_scanned(pages), "_by_on_premises", "on employer premises")
+    p = ink.marked_options(p, "_natures", NATURES, either=False)
+    p = ink.marked_options(p, "_by_causes", CAUSES, "cause of injury", either=False)
+    p = ink.marked_options(p, "_by_treatments", TREATMENTS, "treatment received", either=False)
+    p = P.staged(p, {"_by_nature_of_injury": "get(_natures, 0)", "_by_causes": "array_sort(_by_causes)", "_by_treatments": "array_sort(_by_treatments)"})
+    return ink.filled_in(p, "on_premises", "nature_of_injury", "causes", "treatments")
+
+
 def injury(pages: DataFrame, threshold: float | None = 0.78) -> DataFrame:
     """(page, employee_name, employer_name, injury_date, on_premises,
     injured_body_parts, nature_of_injury, causes, treatments) of prepared pages."""
@@ -52,4 +63,6 @@ def injury(pages: DataFrame, threshold: float | None = 0.78) -> DataFrame:
         "nature_of_injury": f"get(filter({natures}, q -> coalesce({nearest}.selected, false)), 0).o",
         "causes": chosen(CAUSES, labelled("at_cause.y1", "end_cause"), nearest), "treatments": chosen(TREATMENTS, labelled("at_treat.y1", "at_treat.y1 + 100"), nearest),
     })
+    if ink.scanned(p):
+        p = _by_ink(p)
     return p.select("page", "employee_name", "employer_name", "injury_date", "on_premises", "injured_body_parts", "nature_of_injury", "causes", "treatments")

@@ -49,7 +49,8 @@ def densities(images: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         yield pa.array(out, pa.list_(pa.float64()))
 
 
-def _at(x: str, y: str, size: float) -> str:
+def spot(x: str, y: str, size: float) -> str:
+    """A place to measure, in points."""
     return f"named_struct('x', cast({x} as double), 'y', cast({y} as double), 'size', cast({size} as double))"
 
 
@@ -57,12 +58,12 @@ def measured(pages: DataFrame, name: str, places: str) -> DataFrame:
     return P.staged(pages, {"_places": places}).withColumn(name, densities("image", "_places")).drop("_places")
 
 
-def best_option(pages: DataFrame, name: str, options: list[str], below: str | None = None) -> DataFrame:
+def best_option(pages: DataFrame, name: str, options: list[str]) -> DataFrame:
     """``pages`` with the option that has most ink left of, below or above its
     text: a fifth at least, and 1.15 times the next."""
     first = "split(lower(o), ' ')[0]"
     line = f"get(filter(lines, l -> contains(l.norm, lower(o)) or array_contains(split(l.norm, ' '), {first})), 0)"
-    spots = f"case when l is null then array(null, null, null) else array({_at('l.x0 - 6', 'l.cy', 8)}, {_at('l.cx', 'l.y1 + (l.y1 - l.y0) * 0.8D', 8)}, {_at('l.cx', 'l.y0 - (l.y1 - l.y0) * 0.8D', 8)}) end"
+    spots = f"case when l is null then array(null, null, null) else array({spot('l.x0 - 6', 'l.cy', 8)}, {spot('l.cx', 'l.y1 + (l.y1 - l.y0) * 0.8D', 8)}, {spot('l.cx', 'l.y0 - (l.y1 - l.y0) * 0.8D', 8)}) end"
     p = measured(pages, "_ink", f"flatten(transform(transform({P.array(options)}, o -> {line}), l -> {spots}))")
     ranked = f"array_sort(transform({P.array(options)}, (o, i) -> named_struct('less', -array_max(slice(_ink, 3 * i + 1, 3)), 'i', i, 'o', o)))"
     p = P.staged(p, {"_ranked": ranked}, {name: f"case when -_ranked[0].less >= {CHOSEN} and not coalesce(get(_ranked, 1).less < 0 and _ranked[0].less > get(_ranked, 1).less * {AHEAD}, false) then _ranked[0].o end"})
@@ -75,7 +76,7 @@ def marked_options(pages: DataFrame, name: str, options: list[str], section: str
     top = f"coalesce(get(filter(lines, l -> contains(lower(l.text), {P.quoted(section.lower())})), 0).y0, 0)" if section else "0"
     test = "contains(lower(l.said), lower(o))" + (" or contains(lower(o), lower(l.said))" if either else "")
     line = f"get(filter(lines, l -> l.cy >= {top} and ({test})), 0)"
-    p = measured(pages, "_ink", f"transform(transform({P.array(options)}, o -> {line}), l -> case when l is not null then {_at('l.x0 - 8', 'l.cy', 9)} end)")
+    p = measured(pages, "_ink", f"transform(transform({P.array(options)}, o -> {line}), l -> case when l is not null then {spot('l.x0 - 8', 'l.cy', 9)} end)")
     return P.staged(p, {name: f"filter({P.array(options)}, (o, i) -> _ink[i] >= {MARKED})"}).drop("_ink")
 
 
@@ -85,18 +86,37 @@ def yes_or_no(pages: DataFrame, name: str, anchor: str, band: float = 20, left:
 
     row = f"filter(lines, l -> abs(l.cy - get(filter(lines, m -> contains(lower(m.text), {P.quoted(anchor.lower())})), 0).cy) <= {band})"
     said = f"lower({cleaned('l.said')})"
-    places = ", ".join(f"get(transform(filter({row}, l -> {said} in ('{a}', '{a[0]}')), l -> {_at(f'l.cx - {left}', 'l.cy', size)}), 0)" for a in ("yes", "no"))
+    places = ", ".join(f"get(transform(filter({row}, l -> {said} in ('{a}', '{a[0]}')), l -> {spot(f'l.cx - {left}', 'l.cy', size)}), 0)" for a in ("yes", "no"))
     p = measured(pages, "_ink", f"array({places})")
     return P.staged(p, {name: f"case when _ink[0] = 0 and _ink[1] = 0 then null when greatest(_ink[0], _ink[1]) < {CHOSEN} then null when _ink[0] > _ink[1] * {AHEAD} then true when _ink[1] > _ink[0] * {AHEAD} then false end"}).drop("_ink")
 
 
 def row_picks(pages: DataFrame, name: str, rows: str) -> DataFrame:
     """``pages`` with, for each row of four controls, the place of the box with most ink, a fifth at least, else null."""
-    p = measured(pages, "_ink", f"flatten(transform({rows}, r -> transform(slice(array_sort(r.of), 1, 4), c -> {_at('c.cx', 'c.cy', 0).replace('cast(0 as double)', 'c.w')})))")
+    p = measured(pages, "_ink", f"flatten(transform({rows}, r -> transform(slice(array_sort(r.of), 1, 4), c -> {spot('c.cx', 'c.cy', 0).replace('cast(0 as double)', 'c.w')})))")
     part = "slice(_ink, 4 * i + 1, 4)"
     return P.staged(p, {name: f"transform({rows}, (r, i) -> case when array_max({part}) >= {CHOSEN} then cast(array_position({part}, array_max({part})) as int) - 1 end)"}).drop("_ink")
 
 
+def scanned(pages: DataFrame) -> bool:
+    """Whether pages have images and say how their text was read."""
+    return "image" in pages.columns and "text_source" in pages.columns
+
+
+def only_scanned(pages: DataFrame) -> DataFrame:
+    """``pages`` with the images of those alone whose text was read optically: others are not measured."""
+    return pages.withColumn("image", F.when(F.col("text_source") == "ocr", F.col("image")))
+
+
+def filled_in(pages: DataFrame, *fields: str) -> DataFrame:
+    """``pages`` with each field as it is, or, where boxes gave nothing, as the
+    ink ``_by_<field>`` says; nothing is null or an empty list."""
+    for f in fields:
+        empty = F.col(f).isNull() | ((F.size(f) == 0) if pages.schema[f].dataType.typeName() == "array" else F.lit(False))
+        pages = pages.withColumn(f, F.when(empty & F.col("image").isNotNull(), F.coalesce(F.col(f"_by_{f}"), F.col(f))).otherwise(F.col(f)))
+    return pages.drop(*(f"_by_{f}" for f in fields))
+
+
 def crossed(angles: str) -> str:
     """Whether line angles (degrees) hold two that cross like an X."""
     slanted = lambda a: f"({a} between 30 and 70 or {a} between 110 and 150)"

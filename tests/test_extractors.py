@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafwright.extractors import auto, generic, ink, intake
+from leafwright.extractors import auto, authorization, benefits, claim, generic, injury, ink, intake
 from leafwright.extractors import page as P
 from leafwright.operators import evaluation, fuzzy, store
 from leafwright.sources import readers, sinks
@@ -121,6 +121,39 @@ def test_ink_of_scanned_forms(spark):
     assert tuple(blank.select("sex", "premises").first()) == (None, None)
 
 
+def _scan(spark, lines, marks, text_source="ocr"):
+    p = with_image(page(spark, lines), raster(marks))
+    return p.withColumn("text_source", F.lit(text_source))
+
+
+def test_claims_are_filled_in_by_ink(spark):
+    lines = [("Sex", 10, 40), ("M", 60, 40), ("F", 160, 40), ("Self", 60, 80), ("Spouse", 160, 80), ("YES", 60, 120), ("NO", 160, 120), ("SSN", 60, 160), ("EIN", 160, 160)]
+    marks = [(162, 45, True), (154, 85, True), (54, 125, True), (154, 165, True)]
+    fields = ("patient_sex", "relationship_to_insured", "condition_auto", "accept_assignment", "tax_id_type")
+    assert tuple(claim.claim(_scan(spark, lines, marks)).select(*fields).first()) == ("F", "Spouse", True, True, "EIN")
+    assert tuple(claim.claim(_scan(spark, lines, marks, "native")).select(*fields).first()) == (None,) * 5
+    assert tuple(claim.claim(_scan(spark, lines, [])).select(*fields).first()) == (None,) * 5
+
+
+def test_authorizations_are_filled_in_by_ink(spark):
+    lines = [("Records to be released", 10, 20), ("Office Notes", 60, 40), ("Lab Results", 60, 60), ("Specially protected information", 10, 90), ("Do NOT release Mental Health", 60, 110), ("Purpose of disclosure", 10, 140), ("Legal Proceedings", 60, 160), ("Expiration", 10, 200), ("Specific date", 60, 220)]
+    fields = ("record_types", "excluded_categories", "purposes", "expiration_type")
+    marks = [(52, 65, True), (52, 115, True), (52, 165, True), (52, 225, True)]
+    assert tuple(authorization.authorization(_scan(spark, lines, marks)).select(*fields).first()) == (["Lab Results"], ["Mental Health"], ["Legal Proceedings"], "specific_date")
+    assert tuple(authorization.authorization(_scan(spark, lines, marks[:1])).select(*fields).first()) == (["Lab Results"], [], [], None)
+
+
+def test_injuries_are_filled_in_by_ink(spark):
+    lines = [("On employer premises", 10, 20), ("Yes", 200, 20), ("No", 300, 20), ("Fracture", 60, 60), ("Burn", 60, 80), ("Cause of injury", 10, 110), ("Lifting", 60, 130), ("Treatment received", 10, 160), ("Hospitalized", 60, 180)]
+    fields = ("on_premises", "nature_of_injury", "causes", "treatments")
+    assert tuple(injury.injury(_scan(spark, lines, [(299, 25, True), (52, 85, True), (52, 135, True), (52, 185, True)])).select(*fields).first()) == (False, "Burn", ["Lifting"], ["Hospitalized"])
+
+
+def test_codes_of_a_closer_reading(spark):
+    p = page(spark, [("Explanation of Benefits", 0, 0)]).withColumn("text_again", F.lit("99213 x 97110 99213 00123"))
+    assert tuple(benefits.benefits(p).select("service_line_cpts", "service_line_count").first()) == (["97110", "99213"], 2)
+
+
 def test_rows_by_ink(spark):
     px = 300 / 72
     controls = [("checkbox", (40 + 30 * c) * px - 18, (50 + 20 * r) * px - 18, 36.0, 36.0, False, "", 0.9) for r in range(3) for c in range(4)]
