@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from leafwright.sources import shared
+
 IMAGE = "struct<width:int,height:int,data:binary>"
 
 
@@ -27,16 +29,27 @@ def pages(spark: SparkSession, sf_dir: str, draw: Callable[[int], np.ndarray]) -
                 rows = [{"width": g.shape[1], "height": g.shape[0], "data": g.tobytes()} for g in images]
                 yield pa.RecordBatch.from_arrays([keys, pa.array(rows, kind)], ["page", "image"])
 
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("cast(p_partkey as long) page").repartition(spark.sparkContext.defaultParallelism)
+    parts = shared.dealt(spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("cast(p_partkey as long) page"), 10_000)
     return parts.mapInArrow(run, f"page long, image {IMAGE}")
 
 
 def line(g: np.ndarray, x0: float, y0: float, x1: float, y1: float, thick: int = 3) -> None:
-    n = int(2 * max(abs(x1 - x0), abs(y1 - y0))) + 1
-    x, y = np.rint(np.linspace(x0, x1, n)).astype(int), np.rint(np.linspace(y0, y1, n)).astype(int)
+    lines(g, [(x0, y0, x1, y1)], thick)
+
+
+def lines(g: np.ndarray, ends: list[tuple[float, float, float, float]], thick: int = 3) -> None:
+    x0, y0, x1, y1 = np.array(ends, float).T
+    n = (2 * np.maximum(np.abs(x1 - x0), np.abs(y1 - y0))).astype(int) + 1
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    parts, last = np.maximum(n - 1, 1), at == n[of] - 1
+    x, y = at * ((x1 - x0) / parts)[of] + x0[of], at * ((y1 - y0) / parts)[of] + y0[of]
+    x[last & (at > 0)], y[last & (at > 0)] = x1[n > 1], y1[n > 1]
+    x, y = np.rint(x).astype(int), np.rint(y).astype(int)
     for d in range(thick):
+        row = np.clip(y + d, 0, g.shape[0] - 1) * g.shape[1]
         for e in range(thick):
-            g[np.clip(y + d, 0, g.shape[0] - 1), np.clip(x + e, 0, g.shape[1] - 1)] = 0
+            g.ravel()[row + np.clip(x + e, 0, g.shape[1] - 1)] = 0
 
 
 def box(g: np.ndarray, x: int, y: int, side: int, thick: int = 3) -> None:
@@ -46,8 +59,8 @@ def box(g: np.ndarray, x: int, y: int, side: int, thick: int = 3) -> None:
 
 def disc(g: np.ndarray, x: int, y: int, side: int, value: int = 0) -> None:
     r = side / 2
-    yy, xx = np.ogrid[: g.shape[0], : g.shape[1]]
-    g[(yy + 0.5 - y - r) ** 2 + (xx + 0.5 - x - r) ** 2 <= r * r] = value
+    at = np.arange(side) + 0.5 - r
+    g[y : y + side, x : x + side][at[:, None] ** 2 + at**2 <= r * r] = value
 
 
 def form(k: int) -> np.ndarray:
@@ -69,9 +82,8 @@ def form(k: int) -> np.ndarray:
     disc(g, x + 3, y + 3, side - 6, 255)
     if k % 3 == 1:
         disc(g, x + side // 4, y + side // 4, side - 2 * (side // 4))
-    for i in range(6):  # what is no control
-        line(g, 20 + 16 * i, 100, 26 + 16 * i, 112 - i % 3, 2)
-    line(g, 2, 2, 2, 116, 2)
+    # what is no control
+    lines(g, [*((20 + 16 * i, 100, 26 + 16 * i, 112 - i % 3) for i in range(6)), (2, 2, 2, 116)], 2)
     return g
 
 
@@ -88,12 +100,14 @@ def filled(k: int) -> np.ndarray:
 def slanted(k: int) -> np.ndarray:
     """Ruled lines and words that fall by ``(k % 41 - 20) / 4`` degrees."""
     g, a = np.full((220, 320), 255, np.uint8), np.radians((k % 41 - 20) / 4)
+    ends, fall = [], float(np.tan(a))
     for i in range(5):
         y = 40 + 32 * i + k % 7
         dx = 130 - 10 * (i % 3)
-        line(g, 160 - dx, y - dx * np.tan(a), 160 + dx, y + dx * np.tan(a), 2)
+        ends.append((160 - dx, y - dx * fall, 160 + dx, y + dx * fall))
     for i in range(20):
         x = 40 + 12 * i
-        y = 100 + (x - 160) * np.tan(a)
-        line(g, x, y, x + 5, y + 9 + i % 3, 2)
+        y = 100 + (x - 160) * fall
+        ends.append((x, y, x + 5, y + 9 + i % 3))
+    lines(g, ends, 2)
     return g

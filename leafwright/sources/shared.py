@@ -26,6 +26,12 @@ def folder(spark: SparkSession) -> str:
     return _own
 
 
+def dealt(rows: DataFrame, each: int) -> DataFrame:
+    """``rows`` of a table that become much more, dealt to a task for each core
+    and to more of them if these would hold more than ``each`` rows."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each)))
+
+
 def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written and read again, divided by the values of a column if one
     is named: a filter on it then reads nothing else."""
