@@ -107,17 +107,17 @@ def benefits(pages: DataFrame, threshold: float | None = 0.78) -> DataFrame:
     )
 
 
-def procedure_codes(text: Column) -> Column:
-    """The distinct procedure codes of a text, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"\b(\d{5})\b"), F.lit(1)), lambda c: c >= "10000")))
+def procedure_codes(text: Column, digits: str = "5") -> Column:
+    """The distinct procedure codes of a text, sorted: numbers of so many digits (``5,``: or more)."""
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(rf"\b(\d{{{digits}}})\b"), F.lit(1)), lambda c: c >= "10000")))
 
 
-def table_values(tables: Column) -> Column:
+def table_values(tables: Column, digits: str = "5") -> Column:
     """Codes and totals of detected tables (rows of cells), header rows apart:
-    codes in the first three columns, totals by their column."""
+    codes (of so many ``digits``) in the first three columns, totals by their column."""
     rows = F.flatten(F.transform(tables, lambda t: F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))))
     is_total = lambda r: F.exists(F.slice(r, 1, 2), lambda c: F.contains(F.lower(c), F.lit("total")))
-    codes = F.flatten(F.transform(F.filter(rows, lambda r: ~is_total(r)), lambda r: F.flatten(F.transform(F.slice(r, 1, 3), procedure_codes))))
+    codes = F.flatten(F.transform(F.filter(rows, lambda r: ~is_total(r)), lambda r: F.flatten(F.transform(F.slice(r, 1, 3), lambda c: procedure_codes(c, digits)))))
     every = F.flatten(F.transform(rows, lambda r: F.flatten(F.transform(r, lambda c: F.regexp_extract_all(c, F.lit(REASON), F.lit(1))))))
 
     def total(at: int) -> Column:
