@@ -16,6 +16,8 @@ from leafwright.operators import layout
 # Patterns of tokens, and the columns of benefit statements.
 FULL_DATE = r"^\d{2}/\d{2}/\d{4}$"
 PROCEDURE = r"^\d{5}$"
+#: Codes of an own list, which may be longer than the five digits of public ones.
+OWN_PROCEDURE = r"^\d{5,}$"
 PRICE = r"^\$?\d+(?:,\d{3})*\.\d{2}"
 REASON = r"\b[A-Z]{2}-\d{1,4}\b"
 MONEY_COLUMNS = ("billed", "allowed", "deductible", "copay", "coinsurance", "plan_paid", "patient_resp")
@@ -26,7 +28,7 @@ def yes_no(yes: Column, no: Column) -> Column:
     return F.when(yes & ~no, True).when(no & ~yes, False)
 
 
-def claim_line(tokens: Column) -> Column:
+def claim_line(tokens: Column, procedure: str = PROCEDURE) -> Column:
     """One service line of a claim's row of tokens: the first date, the last
     procedure and price, the count after the last price that has one, and the
     first two digits after a date."""
@@ -38,28 +40,29 @@ def claim_line(tokens: Column) -> Column:
     place = F.filter(at, lambda s: s["t"].rlike(r"^\d{2}$") & (s["i"] > F.try_element_at(dated, F.lit(1))["i"]) & ~F.array_contains(used, s["i"]))
     return F.struct(
         F.try_element_at(dated, F.lit(1))["t"].alias("date_from"),
-        F.try_element_at(F.filter(tokens, lambda t: t.rlike(PROCEDURE)), F.lit(-1)).alias("cpt"),
+        F.try_element_at(F.filter(tokens, lambda t: t.rlike(procedure)), F.lit(-1)).alias("cpt"),
         F.try_element_at(place, F.lit(1))["t"].alias("pos"),
         T.money(F.regexp_extract(F.try_element_at(price, F.lit(-1))["t"], f"({PRICE})", 1)).alias("charge"),
         F.try_element_at(counted, F.lit(-1))["after"].cast("int").alias("units"),
     )
 
 
-def claim_lines(lines: DataFrame, tolerance: float = 5) -> DataFrame:
+def claim_lines(lines: DataFrame, tolerance: float = 5, procedure: str = PROCEDURE) -> DataFrame:
     """(page, row, date_from, cpt, pos, charge, units): the rows of a claim's
-    service area that have a procedure."""
+    service area that have a procedure, a token like ``procedure``."""
     rows = layout.height_rows(lines, tolerance, "line", "lx", "ly").withColumnRenamed("item", "line")
     placed = lines.join(rows, ["page", "line"])
     words = F.array_sort(F.collect_list(F.struct("lx", "line", F.split(F.trim("text"), r"\s+").alias("t"))))
     tokens = placed.groupBy("page", "row").agg(F.flatten(F.transform(words, lambda s: s["t"])).alias("tokens"))
-    return tokens.select("page", "row", claim_line(F.col("tokens")).alias("s")).select("page", "row", "s.*").where("cpt is not null")
+    return tokens.select("page", "row", claim_line(F.col("tokens"), procedure).alias("s")).select("page", "row", "s.*").where("cpt is not null")
 
 
-def benefit_lines(lines: DataFrame, columns: dict[str, float], header_y: float, tolerance: float = 3) -> tuple[DataFrame, DataFrame]:
+def benefit_lines(lines: DataFrame, columns: dict[str, float], header_y: float, tolerance: float = 3, procedure: str = PROCEDURE) -> tuple[DataFrame, DataFrame]:
     """A benefit statement's service lines and its totals.
 
     Cells go to the nearest column; rows from the first one that says TOTALS
-    are no service lines, and that row holds the totals.
+    are no service lines, and that row holds the totals.  A procedure is a cell
+    like ``procedure``.
     """
     rows = layout.height_rows(lines, tolerance, "line", "lx", "ly").withColumnRenamed("item", "line")
     cells = lines.join(rows, ["page", "line"]).withColumn("said", F.trim("text")).withColumn("col", layout.column_of(F.col("lx"), columns))
@@ -68,7 +71,7 @@ def benefit_lines(lines: DataFrame, columns: dict[str, float], header_y: float,
     date = F.nullif(F.regexp_extract(said, T.DATE, 1), F.lit(""))
     codes = F.regexp_extract_all(said, F.lit(REASON), F.lit(0))
     parsed = cells.groupBy("page", "row").agg(
-        F.avg("ly").alias("height"), F.max(F.upper(said) == "TOTALS").alias("is_totals"), last("date_of_service", date), last("cpt", F.when(said.rlike(PROCEDURE), said)),
+        F.avg("ly").alias("height"), F.max(F.upper(said) == "TOTALS").alias("is_totals"), last("date_of_service", date), last("cpt", F.when(said.rlike(procedure), said)),
         *(last(c, T.money(F.nullif(F.regexp_extract(said, r"\$?(\d+(?:,\d{3})*\.\d{2})", 1), F.lit("")))) for c in MONEY_COLUMNS),
         F.array_join(last("reason", F.when(F.size(codes) > 0, codes)), ",").alias("reasons"),
     ).where(F.col("height") > header_y + 8)
