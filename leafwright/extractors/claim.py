@@ -77,5 +77,5 @@ def claim(pages: DataFrame, threshold: float | None = 0.78) -> DataFrame:
     p = P.staged(p, rows, small, fields)
     if ink.scanned(p):
         p = _by_ink(p)
-    p = p.withColumn("service_lines", F.filter(F.transform("tokens", forms.claim_line), lambda s: s["cpt"].isNotNull()))
+    p = p.withColumn("service_lines", F.filter(F.transform("tokens", lambda t: forms.claim_line(t)), lambda s: s["cpt"].isNotNull()))
     return p.select("page", "insurance_type", "patient_name", "patient_sex", "relationship_to_insured", "condition_employment", "condition_auto", "condition_other", "diagnoses", "service_lines", "total_charge", "accept_assignment", "tax_id_type")
