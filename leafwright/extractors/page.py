@@ -15,6 +15,7 @@ from leafwright.operators import fuzzy
 
 #: Pixels a point of the images on which controls are found.
 SCALE = 300 / 72
+SPACES = " \t\n\x0b\f\r"
 LINE = "struct<i:int,text:string,x0:double,y0:double,x1:double,y1:double,cx:double,cy:double,said:string,norm:string,tight:string>"
 CONTROL = "struct<x:double,i:int,kind:string,selected:boolean,label:string,conf:double,cx:double,cy:double,right:double,w:double>"
 
@@ -23,9 +24,13 @@ def prepare(pages: DataFrame, scale: float = SCALE) -> DataFrame:
     """Pages with ``lines`` (text, x0, y0, x1, y1) and ``controls`` (kind, x, y,
     w, h, selected, label, conf) numbered, centred, scaled and normalised.
     Null arrays are empty, a null text is empty, a null selection is none."""
-    line = f"""transform(coalesce(lines, array()), (l, i) -> cast(named_struct('i', i, 'text', coalesce(l.text, ''), 'x0', l.x0, 'y0', l.y0, 'x1', l.x1, 'y1', l.y1,
-        'cx', (l.x0 + l.x1) / 2, 'cy', (l.y0 + l.y1) / 2, 'said', regexp_replace(coalesce(l.text, ''), '^\\\\s+|\\\\s+$', ''), 'norm', trim(regexp_replace(lower(coalesce(l.text, '')), '\\\\s+', ' ')),
-        'tight', regexp_replace(lower(coalesce(l.text, '')), '\\\\s+', '')) as {LINE}))"""
+    # white space is what a pattern's \\s is, put as replacements since a page has many lines
+    low = "lower(coalesce(l.text, ''))"
+    for sign in SPACES[1:]:
+        low = f"replace({low}, '{sign}', ' ')"
+    line = f"""transform(transform(coalesce(lines, array()), l -> named_struct('l', l, 'low', {low})), (z, i) -> cast(named_struct('i', i, 'text', coalesce(z.l.text, ''), 'x0', z.l.x0, 'y0', z.l.y0, 'x1', z.l.x1, 'y1', z.l.y1,
+        'cx', (z.l.x0 + z.l.x1) / 2, 'cy', (z.l.y0 + z.l.y1) / 2, 'said', trim(both '{SPACES}' from coalesce(z.l.text, '')), 'norm', trim(if(contains(z.low, '  '), regexp_replace(z.low, ' +', ' '), z.low)),
+        'tight', replace(z.low, ' ', '')) as {LINE}))"""
     control = f"""transform(coalesce(controls, array()), (c, i) -> cast(named_struct('x', c.x / {scale}D, 'i', i, 'kind', c.kind, 'selected', coalesce(c.selected, false), 'label', regexp_replace(coalesce(c.label, ''), '^\\\\s+|\\\\s+$', ''),
         'conf', c.conf, 'cx', (c.x + c.w / 2D) / {scale}D, 'cy', (c.y + c.h / 2D) / {scale}D, 'right', (c.x + c.w) / {scale}D, 'w', c.w / {scale}D) as {CONTROL}))"""
     return staged(pages, {"lines": line, "controls": control})
@@ -63,9 +68,9 @@ def anchored(pages: DataFrame, anchors: dict[str, tuple[str, ...]], prefix: tupl
     flat = [(name, k, text) for name, texts in anchors.items() for k, text in enumerate(texts)]
     hit = {}
     for name, k, text in flat:
-        norm = " ".join(text.lower().split())
         test = "startswith" if name in prefix else "contains"
-        hit[f"_{name}{k}"] = f"get(filter(lines, l -> {test}(l.norm, {quoted(norm)}) or {test}(l.tight, {quoted(norm.replace(' ', ''))})), 0)"
+        # what holds a text with its spaces holds it without them too
+        hit[f"_{name}{k}"] = f"get(filter(lines, l -> {test}(l.tight, {quoted(''.join(text.lower().split()))})), 0)"
     pages = staged(pages, hit)
     if threshold is not None:
         texts = pages.where(" or ".join(f"{c} is null" for c in hit)).select(F.explode("lines.text").alias("text"))
@@ -119,10 +124,10 @@ def text_below(a: str, needle: str, max_dy: float = 12, max_dx: float = 200) ->
     )
 
 
-def box_left(line: str, reach: float, band: float, nearest: bool = True, where: str = "c.kind = 'checkbox'") -> str:
+def box_left(line: str, reach: float, band: float, nearest: bool = True, where: str = "c.kind = 'checkbox'", among: str = "controls") -> str:
     """The control that ends at most ``reach`` left of a line in its band: the
     nearest, or the first."""
-    near = f"filter(controls, c -> {where} and abs(c.cy - {line}.cy) <= {band}D and {line}.x0 - c.right between 0 and {reach}D)"
+    near = f"filter({among}, c -> {where} and abs(c.cy - {line}.cy) <= {band}D and {line}.x0 - c.right between 0 and {reach}D)"
     if nearest:
         return f"array_min(transform({near}, c -> named_struct('dx', {line}.x0 - c.right, 'i', c.i, 'selected', c.selected)))"
     return f"get({near}, 0)"

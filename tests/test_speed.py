@@ -24,3 +24,30 @@ def test_skew_of_a_page():
 
     level(0)
     assert least_ms(level, range(40)) < 8  # was 13, is 4
+
+
+def test_texts_of_pages_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from leafwright.operators import fuzzy
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(k):
+        made.add(1)
+        return f"claim numbr {k}"
+
+    pages = spark.range(50).select(said("id").alias("text"))
+    got = fuzzy.nearly(pages, ["claim number", "shortness of breath"], 0.78).collect()
+    # once for the test of null and once for the text, whatever the ways to compare
+    assert len({r["text"] for r in got}) == 50 and made.value <= 100
+
+
+def test_white_space_of_lines(spark):
+    from leafwright.extractors import page
+
+    texts = ["  A \t b\n", "\x0b\f\rx  y", "", " ", "a  b", None, "Q\r\n\r\nr"]
+    d = spark.createDataFrame([(1, [(t, 0.0, 0.0, 1.0, 1.0) for t in texts], None)], "page int, lines array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>, controls array<struct<kind:string,x:double,y:double,w:double,h:double,selected:boolean,label:string,conf:double>>")
+    got = [(x["said"], x["norm"], x["tight"]) for x in page.prepare(d).first()["lines"]]
+    assert got == [("A \t b", "a b", "ab"), ("x  y", "x y", "xy"), ("", "", ""), ("", "", ""), ("a  b", "a  b", "a b"), ("", "", ""), ("Q\r\n\r\nr", "q r", "qr")]
