@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwright.sources import shared
+
 
 @dataclass
 class Template:
@@ -33,7 +35,7 @@ class Template:
         )
         kinds = "array<struct<kind:string,x:double,y:double,w:double,h:double,selected:boolean,label:string,conf:double>>"
         # a number becomes a page of some hundred times its size
-        p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")).repartition(spark.sparkContext.defaultParallelism)
+        p = shared.dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")), 20_000)
         rect = lambda x, y, w, h: f"'x0', cast({x} as double), 'y0', cast({y} as double), 'x1', cast({x} + {w} as double), 'y1', cast({y} + {h} as double)"
         red = lambda c: f"case when {c} is not null then array(cast({c} as double), 0D, 0D) end"
         drawn = ", ".join(f"named_struct({rect(x, y, w, h)}, 'color', {red(s)}, 'fill', {red(f)})" for x, y, w, h, s, f in self.drawings)
