@@ -47,21 +47,26 @@ def injury(pages: DataFrame, threshold: float | None = 0.78) -> DataFrame:
         "r_site": P.row("at_site.cy", 7, "at_site.x1 - 5", "at_site.x1 + 200", "c.kind = 'checkbox'"),
     }
 
-    def labelled(begin: str, end: str) -> str:
-        return f"get(filter(lines, l -> (lower(l.said) = lower(o) or contains(concat(' ', lower(l.text), ' '), concat(' ', lower(o)))) and l.cy between {begin} and {end}), 0)"
+    # the lines of each section, in which its options are looked for, and the boxes in any such line's band
+    places = {"body": ("at_body.y1", "end_body"), "nature": ("at_nature.y1", "end_nature"), "cause": ("at_cause.y1", "end_cause"), "treat": ("at_treat.y1", "at_treat.y1 + 100")}
+    sections = {f"l_{n}": f"filter(lines, l -> l.cy between {y0} and {y1})" for n, (y0, y1) in places.items()}
+    sections |= {f"c_{n}": f"filter(controls, c -> c.kind = 'checkbox' and c.cy between {y0} - 9 and {y1} + 9)" for n, (y0, y1) in places.items()}
 
-    nearest = P.box_left("q.l", 20, 7)
-    beside = "transform(" + P.by("filter(controls, c -> c.kind = 'checkbox' and abs(c.cy - q.l.cy) <= 6 and c.cx between q.l.x1 and q.l.x1 + 120)", "c.cx", value="c") + ", c -> c.selected)"
-    lined = f"filter(transform({P.array(BODY_PARTS)}, o -> named_struct('o', o, 'l', get(filter(lines, l -> l.said = o and l.cy between at_body.y1 and end_body), 0))), q -> q.l is not null)"
+    def labelled(within: str) -> str:
+        return f"get(filter({within}, l -> lower(l.said) = lower(o) or contains(concat(' ', lower(l.text), ' '), concat(' ', lower(o)))), 0)"
+
+    nearest = {n: P.box_left("q.l", 20, 7, among=f"c_{n}") for n in ("nature", "cause", "treat")}
+    beside = "transform(" + P.by("filter(c_body, c -> abs(c.cy - q.l.cy) <= 6 and c.cx between q.l.x1 and q.l.x1 + 120)", "c.cx", value="c") + ", c -> c.selected)"
+    lined = f"filter(transform({P.array(BODY_PARTS)}, o -> named_struct('o', o, 'l', get(filter(l_body, l -> l.said = o), 0))), q -> q.l is not null)"
     sides = f"case when array_contains({P.array(TWO_SIDED)}, q.o) then case when size(q.s) >= 2 then concat(if(q.s[0], array(concat(q.o, '-L')), array()), if(q.s[1], array(concat(q.o, '-R')), array())) else array() end when get(q.s, 0) then array(q.o) else array() end"
-    natures = f"transform({P.array(NATURES)}, o -> named_struct('o', o, 'l', {labelled('at_nature.y1', 'end_nature')}))"
-    p = P.staged(p, ends, {
+    natures = f"transform({P.array(NATURES)}, o -> named_struct('o', o, 'l', {labelled('l_nature')}))"
+    p = P.staged(p, ends, sections, {
         "employee_name": f"regexp_replace({P.text_right('at_name', 300, 5)}, ':+$', '')", "employer_name": f"regexp_replace({P.text_right('at_firm', 300, 5)}, ':+$', '')",
         "injury_date": f"get(filter(transform(filter(lines, l -> abs(l.cy - at_injury.cy) <= 4 and l.x0 >= at_injury.x1), l -> nullif(regexp_extract(l.text, {P.quoted(DATE)}, 1), '')), d -> d is not null), 0)",
         "on_premises": P.yes_no("r_site", "startswith(lower(c.label), 'yes')", "startswith(lower(c.label), 'no')"),
         "injured_body_parts": f"array_sort(flatten(transform(transform({lined}, q -> named_struct('o', q.o, 's', {beside})), q -> {sides})))",
-        "nature_of_injury": f"get(filter({natures}, q -> coalesce({nearest}.selected, false)), 0).o",
-        "causes": chosen(CAUSES, labelled("at_cause.y1", "end_cause"), nearest), "treatments": chosen(TREATMENTS, labelled("at_treat.y1", "at_treat.y1 + 100"), nearest),
+        "nature_of_injury": f"get(filter({natures}, q -> q.l is not null and coalesce({nearest['nature']}.selected, false)), 0).o",
+        "causes": chosen(CAUSES, labelled("l_cause"), nearest["cause"]), "treatments": chosen(TREATMENTS, labelled("l_treat"), nearest["treat"]),
     })
     if ink.scanned(p):
         p = _by_ink(p)
