@@ -26,6 +26,17 @@ def test_skew_of_a_page():
     assert least_ms(level, range(40)) < 8  # was 13, is 4
 
 
+def test_controls_of_a_page():
+    def found(k):
+        g = rasters.filled(k)
+        mask = raster.inked(g)
+        s = raster.summed(mask)
+        return [raster.evidence(g, s, *b) for b in raster.boxes(mask)]
+
+    assert found(0)
+    assert least_ms(found, range(40)) < 2  # was 2.9, is 1.3
+
+
 def test_texts_of_pages_are_made_once(spark):
     from pyspark.sql import functions as F
 
