@@ -62,3 +62,10 @@ def test_white_space_of_lines(spark):
     d = spark.createDataFrame([(1, [(t, 0.0, 0.0, 1.0, 1.0) for t in texts], None)], "page int, lines array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>, controls array<struct<kind:string,x:double,y:double,w:double,h:double,selected:boolean,label:string,conf:double>>")
     got = [(x["said"], x["norm"], x["tight"]) for x in page.prepare(d).first()["lines"]]
     assert got == [("A \t b", "a b", "ab"), ("x  y", "x y", "xy"), ("", "", ""), ("", "", ""), ("a  b", "a  b", "a b"), ("", "", ""), ("Q\r\n\r\nr", "q r", "qr")]
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark):
+    from leafwright.sources import shared
+
+    assert shared.dealt(spark.range(100), 9).rdd.getNumPartitions() == 12
+    assert shared.dealt(spark.range(3), 9).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
