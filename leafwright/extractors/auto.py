@@ -51,6 +51,12 @@ def classified(pages: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
     return p.withColumn("form_type", F.when(F.col("confidence") < least, "unknown").otherwise(F.col("form_type")))
 
 
+def types(pages: DataFrame) -> DataFrame:
+    """(file, form_type, confidence) of each file's first page: what ``extract``
+    dispatches by, for those who want no records and so need nothing written."""
+    return classified(first_pages(pages)).select("file", "form_type", "confidence")
+
+
 def _packed(pages: DataFrame) -> DataFrame:
     """Pages whose ``page`` holds all their columns, for extractors that return it and nothing else of theirs."""
     return pages.withColumn("page", F.struct(*pages.columns))
