@@ -28,6 +28,14 @@ def yes_no(yes: Column, no: Column) -> Column:
     return F.when(yes & ~no, True).when(no & ~yes, False)
 
 
+def _in_rows(items: DataFrame, tolerance: float, item: str, x: str, y: str, *more: str) -> DataFrame:
+    """(page, row) and the named columns of items in rows of a height: they go
+    with their numbers, so that no join sorts all items once more, and items
+    that are dealt by page stay where they are."""
+    whole = items.withColumn("_item", F.struct(item, x, y, *more))
+    return layout.height_rows(whole, tolerance, "_item", x, y).select("page", "row", "item.*")
+
+
 def claim_line(tokens: Column, procedure: str = PROCEDURE) -> Column:
     """One service line of a claim's row of tokens: the first date, the last
     procedure and price, the count after the last price that has one, and the
@@ -50,8 +58,7 @@ def claim_line(tokens: Column, procedure: str = PROCEDURE) -> Column:
 def claim_lines(lines: DataFrame, tolerance: float = 5, procedure: str = PROCEDURE) -> DataFrame:
     """(page, row, date_from, cpt, pos, charge, units): the rows of a claim's
     service area that have a procedure, a token like ``procedure``."""
-    rows = layout.height_rows(lines, tolerance, "line", "lx", "ly").withColumnRenamed("item", "line")
-    placed = lines.join(rows, ["page", "line"])
+    placed = _in_rows(lines, tolerance, "line", "lx", "ly", "text")
     words = F.array_sort(F.collect_list(F.struct("lx", "line", F.split(F.trim("text"), r"\s+").alias("t"))))
     tokens = placed.groupBy("page", "row").agg(F.flatten(F.transform(words, lambda s: s["t"])).alias("tokens"))
     return tokens.select("page", "row", claim_line(F.col("tokens"), procedure).alias("s")).select("page", "row", "s.*").where("cpt is not null")
@@ -64,8 +71,7 @@ def benefit_lines(lines: DataFrame, columns: dict[str, float], header_y: float,
     are no service lines, and that row holds the totals.  A procedure is a cell
     like ``procedure``.
     """
-    rows = layout.height_rows(lines, tolerance, "line", "lx", "ly").withColumnRenamed("item", "line")
-    cells = lines.join(rows, ["page", "line"]).withColumn("said", F.trim("text")).withColumn("col", layout.column_of(F.col("lx"), columns))
+    cells = _in_rows(lines, tolerance, "line", "lx", "ly", "text").withColumn("said", F.trim("text")).withColumn("col", layout.column_of(F.col("lx"), columns))
     last = lambda name, value: F.max_by(F.when(F.col("col") == name, value), F.when((F.col("col") == name) & value.isNotNull(), F.struct("lx", "line"))).alias(name)
     said = F.col("said")
     date = F.nullif(F.regexp_extract(said, T.DATE, 1), F.lit(""))
@@ -90,9 +96,8 @@ def reason_codes(text: Column) -> Column:
 def likert_scores(controls: DataFrame, tolerance: float = 5, options: int = 4) -> DataFrame:
     """(page, row, score): the index of the one selected box of each row that
     has exactly ``options`` boxes; null if none or several are selected."""
-    rows = layout.height_rows(controls, tolerance, "ctrl").withColumnRenamed("item", "ctrl")
     boxes = F.array_sort(F.collect_list(F.struct("x", "ctrl", "selected")))
-    g = controls.join(rows, ["page", "ctrl"]).groupBy("page", "row").agg(boxes.alias("boxes")).where(F.size("boxes") == options)
+    g = _in_rows(controls, tolerance, "ctrl", "x", "y", "selected").groupBy("page", "row").agg(boxes.alias("boxes")).where(F.size("boxes") == options)
     picked = F.transform("boxes", lambda b: b["selected"])
     one = F.size(F.filter(picked, lambda s: s)) == 1
     return g.select("page", "row", F.when(one, F.array_position(picked, F.lit(True)) - 1).alias("score"))

@@ -26,10 +26,11 @@ def folder(spark: SparkSession) -> str:
     return _own
 
 
-def dealt(rows: DataFrame, each: int) -> DataFrame:
+def dealt(rows: DataFrame, each: int, *by: str) -> DataFrame:
     """``rows`` of a table that become much more, dealt to a task for each core
-    and to more of them if these would hold more than ``each`` rows."""
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each)))
+    and to more of them if these would hold more than ``each`` rows; rows with
+    the same values of the columns ``by`` go to one task."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each)), *by)
 
 
 def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:

@@ -17,3 +17,9 @@ def test_types_are_told_without_records(spark):
     assert "leafwright-" not in _plan(queries()["auto_types"](spark, SF))  # nothing was written to be read
     whole = auto.extract(mixed_pages(spark, SF)).drop("record")
     assert types.count() == 200 and whole.exceptAll(types).isEmpty() and types.exceptAll(whole).isEmpty()
+
+
+def test_benefit_rows_stay_with_their_page(spark):
+    plan = _plan(queries()["benefit_totals"](spark, SF))
+    # numbers are dealt by page once; neither a join nor a sum moves or sorts the cells of all tasks again
+    assert "Join" not in plan and plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
