@@ -180,7 +180,8 @@ def shown_fields(records: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<name:string,value:string>>")
     own = F.transform(F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != "")), lambda p: F.struct(p["label"].alias("name"), p["value"].alias("value")))
     every = F.filter(F.concat(*(F.coalesce(x.cast("array<struct<name:string,value:string>>"), none) for x in (own, text, F.array(*named), dates))), lambda x: x["value"].isNotNull())
-    e = records.select("id", F.posexplode(every).alias("at", "f"))
+    # a record's names meet in the task that holds it, and no task sorts more than those of so many records
+    e = shared.dealt(records, 20_000, "id").select("id", F.posexplode(every).alias("at", "f"))
     return e.groupBy("id", F.col("f.name").alias("name")).agg(F.max_by("f.value", "at").alias("value"))
 
 

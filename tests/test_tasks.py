@@ -23,3 +23,8 @@ def test_benefit_rows_stay_with_their_page(spark):
     plan = _plan(queries()["benefit_totals"](spark, SF))
     # numbers are dealt by page once; neither a join nor a sum moves or sorts the cells of all tasks again
     assert "Join" not in plan and plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_names_of_a_record_meet_in_its_task(spark):
+    plan = _plan(queries()["index_fields"](spark, SF))
+    assert "ENSURE_REQUIREMENTS" not in plan and plan.count("REPARTITION_BY_NUM") == 2
