@@ -9,6 +9,7 @@ from leafwright.extractors import generic
 from leafwright.extractors import page as P
 from leafwright.plans.claim_queries import box
 from leafwright.plans.queries import query
+from leafwright.sources import shared
 from leafwright.sources.form_pages import Template, clusters, texts
 
 _NOTE = Template(
@@ -114,6 +115,7 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("p_name", f"9 + {k} % 3 * 0.5", "'Helv'"), (f"concat('Findings ', {k} % 9)", f"9 + {k} % 4", "'Helv'"), ("' 12/34 '", "20", "'Helv'"), ("'Plan'", "9.04", f"case {k} % 3 when 0 then 'Helv-Bold' when 1 then 'Arial Black' else 'Helv' end"), ("'ab'", "30", "'Bold'")]
     spans = "array(" + ", ".join(f"named_struct('text', {t}, 'size', cast({z} as double), 'font', {f})" for t, z, f in rows) + ")"
     widgets = f"array(named_struct('name', 'name', 'value', cast({k} % 5 as string), 'type', 'Text'), named_struct('name', 'agree', 'value', case when {k} % 2 = 0 then 'Yes' end, 'type', 'CheckBox'), named_struct('name', 'x', 'value', '', 'type', 'Text'), named_struct('name', '', 'value', 'v', 'type', 'Text'))"
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col(k).alias("page"), F.expr(spans).alias("spans"), F.expr(widgets).alias("widgets"))
+    # a number becomes a page of some hundred times its size
+    p = shared.dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select(k, "p_name"), 20_000).select(F.col(k).alias("page"), F.expr(spans).alias("spans"), F.expr(widgets).alias("widgets"))
     p = P.staged(p, {"h": generic.headings(), "w": generic.form_fields()})
     return p.select("page", F.array_join("h", "|").alias("headings"), F.expr("array_join(transform(w, f -> concat(f.field_name, '=', f.field_value)), ';')").alias("fields"))

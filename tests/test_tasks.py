@@ -28,3 +28,7 @@ def test_benefit_rows_stay_with_their_page(spark):
 def test_names_of_a_record_meet_in_its_task(spark):
     plan = _plan(queries()["index_fields"](spark, SF))
     assert "ENSURE_REQUIREMENTS" not in plan and plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_headings_are_dealt(spark):
+    assert queries()["page_headings"](spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
