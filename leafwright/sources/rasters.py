@@ -7,6 +7,7 @@ the number that the queries' SQL states again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,24 +66,28 @@ def disc(g: np.ndarray, x: int, y: int, side: int, value: int = 0) -> None:
 
 def form(k: int) -> np.ndarray:
     """A box and a ring, each with a mark or none, a line of strokes, and a frame."""
-    g = np.full((120, 220), 255, np.uint8)
+    g = _strokes().copy()
     x, y, side = 10 + k % 30, 12 + k % 11, 30 + k % 21
     box(g, x, y, side)
     a, b = (side * 3) // 10, side - (side * 3) // 10 - 3
     if k % 4 == 1:
         g[y + a : y + side - a, x + a : x + side - a] = 0
     elif k % 4 == 2:
-        line(g, x + 7, y + 7, x + side - 10, y + side - 10)
-        line(g, x + side - 10, y + 7, x + 7, y + side - 10)
+        lines(g, [(x + 7, y + 7, x + side - 10, y + side - 10), (x + side - 10, y + 7, x + 7, y + side - 10)])
     elif k % 4 == 3:
-        line(g, x + a, y + side // 2, x + side // 2 - 2, y + b)
-        line(g, x + side // 2 - 2, y + b, x + b, y + a)
+        lines(g, [(x + a, y + side // 2, x + side // 2 - 2, y + b), (x + side // 2 - 2, y + b, x + b, y + a)])
     x, y, side = 120 + k % 17, 40 - k % 13, 34 + k % 17
     disc(g, x, y, side)
     disc(g, x + 3, y + 3, side - 6, 255)
     if k % 3 == 1:
         disc(g, x + side // 4, y + side // 4, side - 2 * (side // 4))
-    # what is no control
+    return g
+
+
+@lru_cache(1)
+def _strokes() -> np.ndarray:
+    """What is no control, and stands where no control reaches."""
+    g = np.full((120, 220), 255, np.uint8)
     lines(g, [*((20 + 16 * i, 100, 26 + 16 * i, 112 - i % 3) for i in range(6)), (2, 2, 2, 116)], 2)
     return g
 

@@ -37,3 +37,22 @@ def test_headings_are_dealt(spark):
 def test_records_are_dealt(spark):
     # both sides of the join: else records are read and compared by as many tasks as the file has parts
     assert _plan(queries()["truth_pairs"](spark, SF)).count("REPARTITION_BY_NUM") == 2
+
+
+def test_steps_of_a_raster_are_made_once(monkeypatch):
+    from leafwright.extractors import raster
+    from leafwright.sources import rasters
+
+    rasters.form(0)
+    drawn, edged = [], []
+    lines, edges = rasters.lines, raster.edged
+    monkeypatch.setattr(rasters, "lines", lambda *a: (drawn.append(1), lines(*a))[1])
+    g = rasters.form(2)
+    # a cross is drawn at once, and what stands on every page was drawn before
+    assert len(drawn) == 1
+    monkeypatch.setattr(raster, "edged", lambda g: (edged.append(1), edges(g))[1])
+    mask = raster.inked(g)
+    found = [raster.evidence(g, raster.summed(mask), *b) for b in raster.boxes(mask)]
+    assert [f["kind"] for f in found] == ["radio", "checkbox"] or [f["kind"] for f in found] == ["checkbox", "radio"]
+    # the edges that tell a mark's lines are those that tell its likeness to a tick
+    assert len(edged) == 1
