@@ -40,14 +40,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.prototypes(docs.where(~language_id.held_out()))
     if not model[0]:
         return docs
-    judged = docs.select(_whole(docs), language_id.compared(model).alias("found"))
-    judged = judged.select("row", "found.score", "found.own", "found.lead", "found.lang_pred", F.floor(F.log2(F.length("row.text"))).alias("about")).where("lang_pred != 'und'")
+    def judged(d: DataFrame) -> DataFrame:
+        found = d.select(_whole(d), language_id.compared(model).alias("found"))
+        return found.select("row", "found.score", "found.own", "found.lead", "found.lang_pred", F.floor(F.log2(F.length("row.text"))).alias("about")).where("lang_pred != 'und'")
+
     # scored twice rather than written: the scores are cheaper than a copy of the texts
     q = F.percentile_approx("score", [0.25, 0.75], 10000)
-    usual = judged.where("row.lang = lang_pred").groupBy("about").agg(q.alias("q"), F.percentile_approx("lead", 0.5, 10000).alias("usual_lead"))
+    usual = judged(docs.where("lang is not null")).where("row.lang = lang_pred").groupBy("about").agg(q.alias("q"), F.percentile_approx("lead", 0.5, 10000).alias("usual_lead"))
     usual = usual.select("about", "usual_lead", (F.col("q")[0] - SPREADS * (F.col("q")[1] - F.col("q")[0])).alias("least"))
     # one row for each power of two of lengths
-    known = judged.join(F.broadcast(usual), "about", "left")
+    known = judged(docs).join(F.broadcast(usual), "about", "left")
     wrong = F.col("own").isNotNull() & (F.col("score") - F.col("own") > LEAD * F.col("usual_lead"))
     return known.where(~F.coalesce(wrong | (F.col("score") < F.col("least")), F.lit(False))).select("row.*")
 

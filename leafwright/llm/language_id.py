@@ -231,7 +231,8 @@ def compared(model: tuple[list[str], np.ndarray], text_col: str = "text", lang_c
 
         yield from tidy(run)(columns)
 
-    return judge(F.col(text_col), F.col(lang_col))
+    # else a filter on what was found would be pushed below it with a second reading of the texts, in a worker of its own
+    return judge.asNondeterministic()(F.col(text_col), F.col(lang_col))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text_col: str = "text") -> DataFrame:

@@ -56,3 +56,11 @@ def test_steps_of_a_raster_are_made_once(monkeypatch):
     assert [f["kind"] for f in found] == ["radio", "checkbox"] or [f["kind"] for f in found] == ["checkbox", "radio"]
     # the edges that tell a mark's lines are those that tell its likeness to a tick
     assert len(edged) == 1
+
+
+def test_texts_are_scored_by_one_worker_of_a_task(spark):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.language(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    # once for what is usual and once for the documents, not once more for each filter
+    assert _plan(kept).count("ArrowEvalPython") == 2
