@@ -18,8 +18,10 @@ from leafwright.sources import shared
 IMAGE = "struct<width:int,height:int,data:binary>"
 
 
-def pages(spark: SparkSession, sf_dir: str, draw: Callable[[int], np.ndarray]) -> DataFrame:
-    """(page, image) of each part."""
+def pages(
+    spark: SparkSession, sf_dir: str, draw: Callable[[int], np.ndarray], then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = f"page long, image {IMAGE}"
+) -> DataFrame:
+    """(page, image) of each part, or of these what ``then`` makes, as ``schema`` says: rasters that only it needs do not leave their task's Python."""
     kind = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,10 +30,11 @@ def pages(spark: SparkSession, sf_dir: str, draw: Callable[[int], np.ndarray]) -
                 keys = batch.column(0).slice(at, 64)
                 images = [draw(k) for k in keys.to_pylist()]
                 rows = [{"width": g.shape[1], "height": g.shape[0], "data": g.tobytes()} for g in images]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(rows, kind)], ["page", "image"])
+                drawn = pa.RecordBatch.from_arrays([keys, pa.array(rows, kind)], ["page", "image"])
+                yield drawn if then is None else then(drawn)
 
     parts = shared.dealt(spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("cast(p_partkey as long) page"), 10_000)
-    return parts.mapInArrow(run, f"page long, image {IMAGE}")
+    return parts.mapInArrow(run, schema)
 
 
 def line(g: np.ndarray, x0: float, y0: float, x1: float, y1: float, thick: int = 3) -> None:
@@ -47,10 +50,13 @@ def lines(g: np.ndarray, ends: list[tuple[float, float, float, float]], thick: i
     x, y = at * ((x1 - x0) / parts)[of] + x0[of], at * ((y1 - y0) / parts)[of] + y0[of]
     x[last & (at > 0)], y[last & (at > 0)] = x1[n > 1], y1[n > 1]
     x, y = np.rint(x).astype(int), np.rint(y).astype(int)
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    x, y = x[new], y[new]
+    columns = [np.clip(x + e, 0, g.shape[1] - 1) for e in range(thick)]
     for d in range(thick):
         row = np.clip(y + d, 0, g.shape[0] - 1) * g.shape[1]
-        for e in range(thick):
-            g.ravel()[row + np.clip(x + e, 0, g.shape[1] - 1)] = 0
+        for column in columns:
+            g.ravel()[row + column] = 0
 
 
 def box(g: np.ndarray, x: int, y: int, side: int, thick: int = 3) -> None:
