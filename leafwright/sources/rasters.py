@@ -44,13 +44,14 @@ def line(g: np.ndarray, x0: float, y0: float, x1: float, y1: float, thick: int =
 def lines(g: np.ndarray, ends: list[tuple[float, float, float, float]], thick: int = 3) -> None:
     x0, y0, x1, y1 = np.array(ends, float).T
     n = (2 * np.maximum(np.abs(x1 - x0), np.abs(y1 - y0))).astype(int) + 1
-    of = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    parts, last = np.maximum(n - 1, 1), at == n[of] - 1
-    x, y = at * ((x1 - x0) / parts)[of] + x0[of], at * ((y1 - y0) / parts)[of] + y0[of]
-    x[last & (at > 0)], y[last & (at > 0)] = x1[n > 1], y1[n > 1]
+    stop, more = np.cumsum(n), n > 1
+    at = np.arange(stop[-1]) - np.repeat(stop - n, n)
+    parts = np.maximum(n - 1, 1)
+    x, y = at * np.repeat((x1 - x0) / parts, n) + np.repeat(x0, n), at * np.repeat((y1 - y0) / parts, n) + np.repeat(y0, n)
+    x[stop[more] - 1], y[stop[more] - 1] = x1[more], y1[more]
     x, y = np.rint(x).astype(int), np.rint(y).astype(int)
-    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    new = np.ones(len(x), bool)
+    np.logical_or(x[1:] != x[:-1], y[1:] != y[:-1], out=new[1:])
     x, y = x[new], y[new]
     columns = [np.clip(x + e, 0, g.shape[1] - 1) for e in range(thick)]
     for d in range(thick):

@@ -30,24 +30,24 @@ def _upper(g):
     mask = raster.inked(g)
     y, x = np.nonzero(mask & ~np.vstack([np.zeros((1, g.shape[1]), bool), mask[:-1]]))
     low = int(np.ceil(g.shape[1] * np.sin(np.radians(15))))
-    return x - g.shape[1] / 2, y + float(low), g.shape[0] + 2 * low
+    return np.array([y + low, x - g.shape[1] / 2]), g.shape[0] + 2 * low
 
 
 def test_strongest_angle_is_that_of_all_votes():
     for g in _pages():
-        x, y, size = _upper(g)
-        all_votes = np.array([np.bincount(np.rint(y * np.cos(a) - x * np.sin(a)).astype(int), minlength=size) for a in np.radians(ANGLES)])
-        assert (raster._votes(x, y, ANGLES, size) == all_votes).all()
-        assert raster._strongest(x, y, ANGLES, size) == all_votes.max(1).argmax()
+        at, size = _upper(g)
+        all_votes = np.array([np.bincount(np.rint(at[0] * np.cos(a) - at[1] * np.sin(a)).astype(int), minlength=size) for a in np.radians(ANGLES)])
+        assert (raster._votes(at, ANGLES, size) == all_votes).all()
+        assert raster._strongest(at, ANGLES, size) == all_votes.max(1).argmax()
 
 
 def test_most_angles_are_not_voted_for(monkeypatch):
     made, votes = [], raster._votes
-    monkeypatch.setattr(raster, "_votes", lambda x, y, angles, *a: (made.append(len(x) * len(angles)), votes(x, y, angles, *a))[1])
+    monkeypatch.setattr(raster, "_votes", lambda at, angles, *a: (made.append(at.shape[1] * len(angles)), votes(at, angles, *a))[1])
     pixels = 0
     for k in range(41):
         raster.skew(g := rasters.slanted(k))
-        pixels += len(_upper(g)[0])
+        pixels += _upper(g)[0].shape[1]
     # 121 coarse angles and 41 fine ones before
     assert sum(made) < 90 * pixels
 
